@@ -116,11 +116,13 @@ def iqr_fences(
     )
 
 
-def average_ranks(df: DataFrame, value: str, bounded: bool = False) -> DataFrame:
-    """(value, n, avg_rank, rows_total) with ties sharing their average rank."""
-    ranked = running_totals(value_counts(df, value), [F.col(value)], {"n": "_upto"}, bounded=bounded)
+def average_ranks(
+    counts: DataFrame, value: str, n: str = "n", by: Sequence[str] = (), bounded: bool = False
+) -> DataFrame:
+    """Add ``avg_rank`` (ties share it) and ``rows_total`` to rows of (group, value, count)."""
+    ranked = running_totals(counts, [F.col(value)], {n: "_upto"}, by, bounded)
     return ranked.select(
-        value, "n",
-        (F.col("_upto") - (F.col("n") - 1) / F.lit(2.0)).alias("avg_rank"),
+        *by, value, n,
+        (F.col("_upto") - (F.col(n) - 1) / F.lit(2.0)).alias("avg_rank"),
         F.col("_upto_total").alias("rows_total"),
     )

@@ -10,6 +10,8 @@ SECTIONS = (
     ("orderloom.plans.tables", "TABLES"),
     ("orderloom.plans.orders", "ORDERS"),
     ("orderloom.plans.explore", "EXPLORE"),
+    ("orderloom.plans.business", "BUSINESS"),
+    ("orderloom.plans.named_sql", "NAMED_SQL"),
 )
 
 
