@@ -12,6 +12,7 @@ SECTIONS = (
     ("orderloom.plans.explore", "EXPLORE"),
     ("orderloom.plans.business", "BUSINESS"),
     ("orderloom.plans.named_sql", "NAMED_SQL"),
+    ("orderloom.plans.text", "TEXT"),
 )
 
 
