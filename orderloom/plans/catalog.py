@@ -13,6 +13,7 @@ SECTIONS = (
     ("orderloom.plans.business", "BUSINESS"),
     ("orderloom.plans.named_sql", "NAMED_SQL"),
     ("orderloom.plans.text", "TEXT"),
+    ("orderloom.plans.reports", "REPORTS"),
 )
 
 
