@@ -14,6 +14,7 @@ SECTIONS = (
     ("orderloom.plans.named_sql", "NAMED_SQL"),
     ("orderloom.plans.text", "TEXT"),
     ("orderloom.plans.reports", "REPORTS"),
+    ("orderloom.plans.logs", "LOGS"),
 )
 
 
