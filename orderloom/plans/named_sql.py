@@ -68,7 +68,7 @@ NEG = "CASE WHEN sentiment_label = 'Negative' THEN 1::DOUBLE ELSE 0 END"
 CHECKS = {
     "category_revenue": """SELECT category, count(DISTINCT order_id) AS total_orders, sum(price)::DOUBLE AS total_revenue,
         sum(freight_value)::DOUBLE AS total_freight FROM b_items LEFT JOIN b_products USING (product_id) GROUP BY 1""",
-    "average_score_by_category": """SELECT category, count(*) AS total_reviews, round(avg(review_score), 3) AS avg_review_score
+    "avg_score_by_category": """SELECT category, count(*) AS total_reviews, round(avg(review_score), 3) AS avg_review_score
         FROM rc GROUP BY 1 HAVING count(*) >= 100""",
     "negative_review_rate": """SELECT category, count(*) AS total_reviews,
         round(avg(CASE WHEN review_score <= 2 THEN 1::DOUBLE ELSE 0 END), 4) AS negative_review_rate

@@ -113,7 +113,7 @@ def vocabulary(star: TradeStar) -> DataFrame:
     return topics.tfidf_vocabulary(star.text_reviews, STOP_WORDS)
 
 
-add("tfidf_vocabulary", lambda s: rounded(vocabulary(s), "idf"), CHECK_TERMS + """
+add("tfidf", lambda s: rounded(vocabulary(s), "idf"), CHECK_TERMS + """
     , st AS (SELECT term, count(*) AS tf, count(DISTINCT doc) AS df FROM terms GROUP BY 1),
     n AS (SELECT count(*) AS n FROM b_text)
     SELECT term, tf, df, round(ln((1 + n)::DOUBLE / (1 + df)) + 1, 6) AS idf FROM st, n
