@@ -55,11 +55,11 @@ CHECK_MEASURES = CHECK_PRIMARY + """, long AS (
   UNION ALL SELECT 'delivery_delay_days', delay_days FROM b_delay WHERE delay_days IS NOT NULL
   UNION ALL SELECT 'seller_revenue', sum(price + freight_value)::DOUBLE FROM b_items GROUP BY seller_id)"""
 P_NAMES = [f"p{int(round(p * 100)):02d}" for p in PERCENTILES]
-add("describe_percentiles", lambda s: rounded(
-    explore.describe(measure_table(s), PERCENTILES), "mean", "std", *P_NAMES, digits=4), CHECK_MEASURES + """
+add("describe_percentiles", lambda s: rounded(rounded(
+    explore.describe(measure_table(s), PERCENTILES), "mean", "std", digits=4), *P_NAMES), CHECK_MEASURES + """
     SELECT measure, count(value) AS n, round(avg(value), 4) AS mean, round(stddev_samp(value), 4) AS std,
            min(value) AS min, max(value) AS max, """ + ", ".join(
-    f"round(quantile_cont(value, {p}), 4) AS {n}" for p, n in zip(PERCENTILES, P_NAMES)) + " FROM long GROUP BY 1")
+    f"round(quantile_cont(value, {p}), 6) AS {n}" for p, n in zip(PERCENTILES, P_NAMES)) + " FROM long GROUP BY 1")
 
 add("revenue_by_category", lambda s: rounded(explore.revenue_by_category(s.items, s.products), "pct_revenue"), """
     , g AS (SELECT category, sum(price + freight_value) AS rev, count(DISTINCT order_id) AS order_count, count(*) AS item_count
@@ -160,7 +160,7 @@ add("seller_concentration", lambda s: rounded(explore.seller_concentration(
 
 FENCE_COLUMNS = ("q1", "q3", "iqr", "lower_fence", "upper_fence")
 add("iqr_outlier_report", lambda s: rounded(explore.iqr_outlier_report(
-    measure_table(s).where("measure <> 'seller_revenue'")), *FENCE_COLUMNS, digits=4), CHECK_MEASURES + """
+    measure_table(s).where("measure <> 'seller_revenue'")), *FENCE_COLUMNS), CHECK_MEASURES + """
     , q AS (SELECT measure, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM long
             WHERE measure <> 'seller_revenue' GROUP BY 1),
     f AS (SELECT *, q3 - q1 AS iqr, q1 - 1.5::DOUBLE * (q3 - q1) AS lo, q3 + 1.5::DOUBLE * (q3 - q1) AS hi FROM q),
@@ -170,8 +170,8 @@ add("iqr_outlier_report", lambda s: rounded(explore.iqr_outlier_report(
     c AS (SELECT measure, count(*) AS n, count(*) FILTER (WHERE value < lo) AS low_outliers,
                  count(*) FILTER (WHERE value > hi) AS high_outliers, min(value) AS min, max(value) AS max
           FROM long JOIN f USING (measure) GROUP BY 1)
-    SELECT measure, round(q1, 4) AS q1, round(q3, 4) AS q3, round(iqr, 4) AS iqr, round(lo, 4) AS lower_fence,
-           round(hi, 4) AS upper_fence, n, low_outliers, high_outliers, min, max, top_1, top_2, top_3, top_4, top_5
+    SELECT measure, round(q1, 6) AS q1, round(q3, 6) AS q3, round(iqr, 6) AS iqr, round(lo, 6) AS lower_fence,
+           round(hi, 6) AS upper_fence, n, low_outliers, high_outliers, min, max, top_1, top_2, top_3, top_4, top_5
     FROM f JOIN c USING (measure) JOIN t USING (measure)""")
 add("histogram_clipped", lambda s: explore.histogram_clipped(s.orders, -900, 900, 90), """
     SELECT least(floor((least(greatest(delay_days, -900), 900) + 900) / 20) + 1, 90)::BIGINT AS bin,

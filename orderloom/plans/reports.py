@@ -185,9 +185,10 @@ add("reliable_categories", lambda s: reporting.reliable_categories(categories(s)
 add("segment_order", lambda s: reporting.segment_order(priority_report(s)), CHECK_PRIORITY_REPORT + f"""
     SELECT *, row_number() OVER (ORDER BY list_position({list(SEGMENTS)}, segment), neg_sentiment_rate DESC, category)::INT AS position FROM prep""")
 add("correlation_split", lambda s: reporting.correlation_split(
-    spearman_review(s).unionByName(spearman_category(s))).select("pair", "n", "level"), CHECK_STATS + " " + " UNION ALL ".join(
-    [f"SELECT '{p}' AS pair, (SELECT count(*) FROM dr) AS n, 'review' AS level" for p in REVIEW_PAIRS]
-    + [f"SELECT '{p}', (SELECT count(*) FROM cmx WHERE confidence = 'HIGH'), 'category'" for p in CATEGORY_PAIRS]))
+    spearman_review(s).unionByName(spearman_category(s))).select("pair", "n", "level"), CHECK_STATS + ", cp AS (" + " UNION ALL ".join(
+    [f"SELECT '{p}' AS pair, (SELECT count(*) FROM dr) AS n" for p in REVIEW_PAIRS]
+    + [f"SELECT '{p}', (SELECT count(*) FROM cmx WHERE confidence = 'HIGH')" for p in CATEGORY_PAIRS])
+    + ") SELECT pair, n, CASE WHEN n > 1000 THEN 'review' ELSE 'category' END AS level FROM cp")
 add("rate_step", lambda s: business.category_metrics(s).select(
     "category", reporting.rate_step(F.col("late_delivery_rate"), 0.1, 0.3).alias("step")), CHECK_CATEGORIES + """
     SELECT category, (4 - round(least(1::DOUBLE, greatest(0::DOUBLE, (late_delivery_rate - 0.1::DOUBLE) / (0.3::DOUBLE - 0.1::DOUBLE))) * 4))::INT AS step FROM cmx""")
