@@ -118,7 +118,7 @@ def tag_aspects(
     """Aspects whose pattern occurs in the lower-case text, or the fallback."""
     lowered = F.lower(text)
     found = matched_names(unaccent(lowered) if unaccented else lowered, patterns)
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(fallback)))
+    return once(found, lambda names: F.when(F.size(names) > 0, names).otherwise(F.array(F.lit(fallback))))
 
 
 def any_pattern(patterns: Sequence[str]) -> str:

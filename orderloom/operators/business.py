@@ -64,13 +64,18 @@ def top_complaint_aspect(rows: DataFrame, key: str = "category") -> DataFrame:
 
 
 def category_metrics(star: Star, min_reviews: int = 100) -> DataFrame:
+    """Measures, leading topic and leading complaint per category.
+
+    Measures and topic come from one pass: the parts are summed per (category, topic) and
+    those few rows once more per category.
+    """
     rows = grain.review_level_by(star, "category")
-    return (
-        grain.group_metrics(rows, "category")
-        .join(top_topic(rows), "category")
-        .join(top_complaint_aspect(rows), "category", "left")
-        .withColumn("confidence", confidence(F.col("review_count"), min_reviews))
-    )
+    per_topic = rows.groupBy("category", "topic_label").agg(*grain.metric_parts())
+    leading = F.min_by("topic_label", F.struct(-F.col("review_count"), F.col("topic_label"))).alias("top_topic")
+    measured = per_topic.groupBy("category").agg(leading, *grain.add_parts()).select(
+        "category", *grain.measures_of_parts(), "top_topic")
+    return measured.join(top_complaint_aspect(rows), "category", "left").withColumn(
+        "confidence", confidence(F.col("review_count"), min_reviews))
 
 
 def seller_metrics(star: Star, min_reviews: int = 30) -> DataFrame:

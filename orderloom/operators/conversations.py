@@ -72,8 +72,7 @@ def mentions(turns: DataFrame, vocabulary: DataFrame, max_phrase_words: int = 6,
     """Keys of the turns that use the vocabulary.
 
     Every turn offers its words, the beginnings of its words and its short word runs;
-    one equi-join against the vocabulary decides. Phrases with ``$`` count anywhere in
-    the text, so their rows offer every character run of that length.
+    one equi-join against the vocabulary decides.
     """
     def runs_of(words: Column, size: int) -> Column:
         """All runs of ``size`` neighbouring words."""
@@ -97,12 +96,7 @@ def mentions(turns: DataFrame, vocabulary: DataFrame, max_phrase_words: int = 6,
 
     offered = turns.select(*TURN, F.explode(once(words_of(F.col("norm")), offers)).alias("o")).select(
         *TURN, "o.kind", "o.term")
-    hits = offered.join(vocabulary, ["kind", "term"], "left_semi").select(*TURN)
-    money_terms = vocabulary.where((F.col("kind") == "phrase") & F.contains("term", F.lit("$"))).select("term")
-    money = turns.where(F.contains("norm", F.lit("$"))).select(*TURN, F.explode(F.expr(
-        "flatten(transform(sequence(1, length(norm)), i -> transform(sequence(1, 12), n -> substring(norm, i, n))))"
-    )).alias("term")).join(money_terms, "term", "left_semi").select(*TURN)
-    return hits.unionByName(money).distinct()
+    return offered.join(vocabulary, ["kind", "term"], "left_semi").select(*TURN).distinct()
 
 
 def _all_in(words: Column, known: Iterable[str], at_most: int) -> Column:
@@ -119,9 +113,9 @@ def classify_turns(
     farewells: Sequence[str] = v.FAREWELL_WORDS, farewell_cues: Sequence[str] = v.FAREWELL_CUES,
     capabilities: Sequence[str] = v.CAPABILITY_PATTERNS, follow_ups: Sequence[str] = v.FOLLOW_UP_CUES,
     small_talk_words: int = v.SMALL_TALK_MAX_WORDS, follow_up_words: int = v.FOLLOW_UP_MAX_WORDS,
-    max_phrase_words: int = 6,
+    anywhere: Sequence[str] = tuple(t for t in v.DOMAIN_TERMS if "$" in t), max_phrase_words: int = 6,
 ) -> DataFrame:
-    """Intent of every cleaned turn.
+    """Intent of every cleaned turn. Terms of ``anywhere`` count inside words, too.
 
     A short follow-up takes over the last real intent (project or off topic) of its
     conversation. Since the copy equals what it copies, the carry is the last known
@@ -135,13 +129,16 @@ def classify_turns(
     capable = F.lit(False)
     for pattern in capabilities:
         capable = capable | norm.rlike(pattern)
+    used = F.coalesce("mentions", F.lit(False))
+    for term in anywhere:
+        used = used | F.contains(norm, F.lit(term))
     own = (
         F.when(F.size(words) == 0, "greeting")
         .when(_all_in(words, greetings, small_talk_words), "greeting")
         .when(_all_in(words, farewells, small_talk_words) & norm.rlike(_cue(farewell_cues)), "farewell")
         .when(_all_in(words, thanks, small_talk_words), "thanks")
         .when(capable, "capabilities")
-        .when(F.col("mentions"), "project")
+        .when(used, "project")
         .when((F.size(words) <= follow_up_words) & norm.rlike(_cue(follow_ups)), "follow_up")
         .otherwise("off_topic"))
     user_intent = F.when(F.col("role") == "user", own)

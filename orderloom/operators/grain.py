@@ -96,26 +96,35 @@ def review_rows(star: Star) -> DataFrame:
         (F.col("order_freight").cast("double") / F.col("n_items")).cast(AVERAGE).alias("avg_freight"))
 
 
-def exact_mean(column: str) -> Column:
-    """Mean of a decimal column from its exact sum, whatever the order of partitions."""
-    return F.sum(column).cast("double") / F.count(column)
-
-
-def metric_columns() -> list[Column]:
-    """The ten measures over rows at (group, review) grain."""
-    return [
-        F.count("*").alias("review_count"),
-        F.avg("review_score").alias("avg_review_score"),
-        F.avg("is_neg_review").alias("neg_review_rate"),
-        F.avg("is_neg_sentiment").alias("neg_sentiment_rate"),
-        exact_mean("order_value").alias("avg_order_value"),
-        exact_mean("avg_item_price").alias("avg_item_price"),
-        exact_mean("avg_freight").alias("avg_freight"),
-        F.avg("is_late").alias("late_delivery_rate"),
-        F.count("is_late").alias("delivered_reviews"),
-        F.sum("item_value").cast("double").alias("total_item_value"),
-    ]
+MEANS = {  # name -> column averaged over the rows of a group
+    "avg_review_score": "review_score", "neg_review_rate": "is_neg_review", "neg_sentiment_rate": "is_neg_sentiment",
+    "avg_order_value": "order_value", "avg_item_price": "avg_item_price", "avg_freight": "avg_freight",
+    "late_delivery_rate": "is_late",
+}
+
+
+def metric_parts() -> list[Column]:
+    """Sums and counts that the measures are made of; they add up over subgroups."""
+    parts = [F.count("*").alias("review_count"), F.sum("item_value").alias("total_item_value")]
+    for name, column in MEANS.items():
+        parts += [F.sum(column).alias(f"_s_{name}"), F.count(column).alias(f"_n_{name}")]
+    return parts
+
+
+def add_parts() -> list[Column]:
+    """Totals of the parts of subgroups."""
+    names = ["review_count", "total_item_value", *[f"_{k}_{n}" for n in MEANS for k in "sn"]]
+    return [F.sum(n).alias(n) for n in names]
+
+
+def measures_of_parts() -> list[Column]:
+    """The ten measures. Sums of decimals and of small integers are exact, so the means do
+    not depend on the order of partitions."""
+    means = [F.try_divide(F.col(f"_s_{n}").cast("double"), F.col(f"_n_{n}")).alias(n) for n in MEANS]
+    return [F.col("review_count"), *means, F.col("_n_late_delivery_rate").alias("delivered_reviews"),
+            F.col("total_item_value").cast("double").alias("total_item_value")]
 
 
 def group_metrics(rows: DataFrame, *keys: str) -> DataFrame:
-    return rows.groupBy(*keys).agg(*metric_columns())
+    """Ten measures per group over rows at (group, review) grain."""
+    return rows.groupBy(*keys).agg(*metric_parts()).select(*keys, *measures_of_parts())

@@ -148,7 +148,9 @@ def logit_negative_review(
     """
     complete = df.select(F.col(label).cast("double").alias("label"), *[
         F.col(p).cast("double").alias(p) for p in predictors]).na.drop()
-    rows = VectorAssembler(inputCols=list(predictors), outputCol="features").transform(complete)
+    # The fit reads its rows once per iteration: cut off whatever joins produced them.
+    rows = checkpointed(VectorAssembler(inputCols=list(predictors), outputCol="features").transform(
+        complete).select("label", "features"))
     model = GeneralizedLinearRegression(
         family="binomial", link="logit", maxIter=max_iter, tol=1e-10).fit(rows)
     summary = model.summary

@@ -10,6 +10,7 @@ from orderloom.functions.vocabulary import PRICE_LABELS
 from orderloom.operators import business, grain, statistics
 from orderloom.plans.base import Registry
 from orderloom.plans.explore import rounded
+from orderloom.session import written
 from orderloom.sources.tables import TradeStar
 
 BUSINESS = Registry()
@@ -134,7 +135,11 @@ add("complaint_matrix", lambda s: rounded(business.complaint_matrix(
 
 def delivered_reviews(star: TradeStar) -> DataFrame:
     """One row per delivered review with order totals as doubles."""
-    return grain.review_level(star).where("delay_days is not null").select(
+    return totals_of(grain.review_level(star))
+
+
+def totals_of(reviews: DataFrame) -> DataFrame:
+    return reviews.where("delay_days is not null").select(
         "review_id", "order_id", "review_score", "is_late", "delay_days", "is_neg_review",
         F.col("order_items_price").cast("double").alias("price"),
         F.col("order_freight").cast("double").alias("freight_value"))
@@ -287,14 +292,15 @@ add("prioritization", lambda s: rounded(
 
 def stage_metrics_bundle(star: TradeStar) -> DataFrame:
     """The results as one JSON document; every part is a small aggregated table."""
-    reviews = grain.review_level(star)
+    reviews = written(grain.review_level(star), "review-level")
+    delivered = totals_of(reviews)
     categories = business.category_metrics(star)
     exposure = business.commercial_exposure(reviews)
     parts = {
         "review_level_rows": reviews.agg(F.count("*").alias("v")),
         "sample_sizes": business.sample_size_buckets(star),
-        "correlations": statistics.spearman_set(delivered_reviews(star), REVIEW_PAIRS),
-        "ontime_vs_late": statistics.mannwhitney_late(delivered_reviews(star)),
+        "correlations": statistics.spearman_set(delivered, REVIEW_PAIRS),
+        "ontime_vs_late": statistics.mannwhitney_late(delivered),
         "late_states": business.late_by(reviews, "state"),
         "late_categories": business.late_by(grain.review_level_by(star, "category"), "category"),
         "aspect_by_delivery": business.aspect_by_lateness(reviews),

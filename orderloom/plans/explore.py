@@ -19,6 +19,10 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
+def day_text(df: DataFrame, column: str) -> DataFrame:
+    return df.withColumn(column, F.col(column).cast("string"))
+
+
 add("monthly_volume", lambda s: explore.monthly_volume(s.orders),
     "SELECT strftime(purchase_ts, '%Y-%m') AS order_month, count(*) AS order_count FROM b_orders GROUP BY 1")
 # Months without a *late* order: the whole table has no empty month.
@@ -27,12 +31,12 @@ add("month_gaps", lambda s: explore.month_gaps(s.orders.where(
     , m AS (SELECT DISTINCT date_trunc('month', purchase_ts)::DATE AS m FROM b_delay WHERE delay_days > 2200),
     span AS (SELECT unnest(generate_series(min(m), max(m), INTERVAL 1 MONTH))::DATE AS m FROM m)
     SELECT strftime(m, '%Y-%m') AS missing_month FROM span WHERE m NOT IN (SELECT m FROM m)""")
-add("weekly_volume", lambda s: explore.weekly_volume(s.orders),
-    "SELECT date_trunc('week', purchase_ts)::DATE AS week_start, count(*) AS order_count FROM b_orders GROUP BY 1")
-add("weekly_anomalies", lambda s: rounded(explore.weekly_anomalies(s.orders), "weekly_mean", "weekly_std"), """
+add("weekly_volume", lambda s: day_text(explore.weekly_volume(s.orders), "week_start"),
+    "SELECT date_trunc('week', purchase_ts)::DATE::VARCHAR AS week_start, count(*) AS order_count FROM b_orders GROUP BY 1")
+add("weekly_anomalies", lambda s: rounded(day_text(explore.weekly_anomalies(s.orders), "week_start"), "weekly_mean", "weekly_std"), """
     , w AS (SELECT date_trunc('week', purchase_ts)::DATE AS week_start, count(*) AS order_count FROM b_orders GROUP BY 1),
     m AS (SELECT avg(order_count) AS am, stddev_samp(order_count) AS sd FROM w)
-    SELECT week_start, order_count, round(am, 6) AS weekly_mean, round(sd, 6) AS weekly_std FROM w, m
+    SELECT week_start::VARCHAR AS week_start, order_count, round(am, 6) AS weekly_mean, round(sd, 6) AS weekly_std FROM w, m
     WHERE abs(order_count - am) > 2 * sd""")
 
 PERCENTILES = (0.01, 0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95, 0.99)

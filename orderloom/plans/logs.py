@@ -162,8 +162,8 @@ add("stream_rate_limit", lambda s: _stream_to_table(
 # The last hour is still open when the stream ends: windows close behind the watermark.
 add("stream_volume", lambda s: _stream_to_table(
     s, lambda rows: limiter.stream_volume(rows, "1 day"), "volumes").select(
-    F.col("window_start").cast("timestamp_ntz").cast("date").alias("day"), "route", "requests"), """
-    SELECT ts::DATE AS day, event_type AS route, count(*) AS requests FROM events
+    F.col("window_start").cast("timestamp_ntz").cast("date").cast("string").alias("day"), "route", "requests"), """
+    SELECT ts::DATE::VARCHAR AS day, event_type AS route, count(*) AS requests FROM events
     WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY 1, 2""")
 
 

@@ -15,6 +15,7 @@ from orderloom.plans.business import (
 )
 from orderloom.plans.text import CHECK_SIGNALS, CHECK_TAGS, SIGNALS, flagged, tagged
 
+from orderloom.session import written
 from orderloom.sources.tables import TradeStar
 
 REPORTS = Registry()
@@ -24,7 +25,7 @@ add = REPORTS.add
 # --- reconciliation -------------------------------------------------------------------
 def reconcile(star: TradeStar) -> DataFrame:
     """Report totals against the tables they come from."""
-    reviews = grain.review_level(star)
+    reviews = written(grain.review_level(star), "review-level")
 
     def total(df: DataFrame, label: str, column) -> DataFrame:
         return df.agg(column.cast("double").alias("value")).select(F.lit(label).alias("label"), "value")
@@ -112,9 +113,16 @@ add("complaint_heatmap", lambda s: reporting.complaint_heatmap(grain.review_leve
     FROM big JOIN cat USING (category) JOIN b_aspects USING (order_id) GROUP BY 1""")
 add("unexpected_aspects", lambda s: reporting.unexpected_aspects(s.scored_reviews, ("Returned", "Uncategorized")), """
     SELECT aspect, count(*) AS mentions FROM b_aspects JOIN b_scored USING (order_id) WHERE aspect NOT IN ('Returned', 'Uncategorized') GROUP BY 1""")
-add("delivery_report", lambda s: reporting.delivery_report(
-    business.late_by(grain.review_level(s), "state"), business.late_by(grain.review_level_by(s, "category"), "category"),
-    business.aspect_by_lateness(grain.review_level(s)), business.monthly_metrics(s)), CHECK_LATENESS + """
+
+
+def delivery_tables(star: TradeStar) -> DataFrame:
+    reviews = written(grain.review_level(star), "review-level")
+    return reporting.delivery_report(
+        business.late_by(reviews, "state"), business.late_by(grain.review_level_by(star, "category"), "category"),
+        business.aspect_by_lateness(reviews), business.monthly_metrics(star))
+
+
+add("delivery_report", delivery_tables, CHECK_LATENESS + """
     , st AS (SELECT state AS name, count(*) AS n, avg(is_late) AS r FROM rl WHERE is_late IS NOT NULL AND state IS NOT NULL GROUP BY 1
              HAVING count(*) >= 100 ORDER BY r DESC, 1 LIMIT 10),
     ct AS (SELECT category AS name, count(*) AS n, avg(is_late) AS r FROM cat WHERE is_late IS NOT NULL GROUP BY 1
