@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from orderloom.functions.metrics import delay_days, month_of, right_closed_bin, share_pct, week_start
 from orderloom.functions.vocabulary import CONCENTRATION_PERCENTS, DELAY_BINS, DELAY_LABELS
-from orderloom.operators.ordering import iqr_fences, median_of, quantiles, running_totals
+from orderloom.operators.ordering import fences_of, median_of, quantiles, quantiles_of, ranked_values, running_totals, value_at
 from orderloom.operators.quality import union_all
 
 def everything() -> WindowSpec:
@@ -148,15 +148,23 @@ def delay_rate_by_category(
 
 
 def score_distribution(reviews: DataFrame) -> DataFrame:
-    """Count and share per score, with the overall mean, median and deviation beside it."""
-    counts = reviews.groupBy("review_score").agg(F.count("*").alias("n"))
-    moments = reviews.agg(F.avg("review_score").alias("mean"), F.stddev_samp("review_score").alias("std"))
-    median = median_of(reviews, "review_score", bounded=True)
-    return counts.select(
-        "review_score", "n", share_pct(F.col("n"), F.sum("n").over(everything())).alias("pct"),
-        moments.select("mean").scalar().alias("mean_score"),
+    """Count and share per score, with the overall mean, median and deviation beside it.
+
+    All of it comes from the counts, one row per score.
+    """
+    counts = reviews.where("review_score is not null").groupBy("review_score").agg(F.count("*").alias("n"))
+    n, score = F.col("n"), F.col("review_score")
+    total = F.sum(n).over(everything())
+    spread = counts.select(
+        "review_score", "n", total.alias("total"),
+        (F.sum(n * score).over(everything()).cast("double") / total).alias("mean_score"))
+    deviation = F.col("n") * (F.col("review_score") - F.col("mean_score")) ** 2
+    ranked = running_totals(counts, ["review_score"], {"n": "_upto"}, bounded=True)
+    median = quantiles_of(ranked, "review_score", {"median": 0.5})
+    return spread.select(
+        "review_score", "n", share_pct(F.col("n"), F.col("total")).alias("pct"), "mean_score",
         median.select("median").scalar().alias("median_score"),
-        moments.select("std").scalar().alias("std_score"))
+        F.sqrt(F.try_divide(F.sum(deviation).over(everything()), F.col("total") - 1)).alias("std_score"))
 
 
 def score_by_category(
@@ -276,20 +284,21 @@ def seller_concentration(pareto: DataFrame, thresholds: Sequence[float] = CONCEN
 
 
 def iqr_outlier_report(long: DataFrame, multiplier: float = 1.5, top: int = 5) -> DataFrame:
-    """Fences, counts outside them, extremes and the largest values per measure."""
-    long = long.where("value is not null")
-    fences = iqr_fences(long, "value", multiplier, by=["measure"])
+    """Fences, counts outside them, extremes and the largest values per measure.
+
+    Everything after the first pass reads the ranked distinct values, not the rows.
+    """
+    ranked = ranked_values(long, "value", by=["measure"])
+    fences = fences_of(ranked, "value", multiplier, by=["measure"])
+    n, value = F.col("n"), F.col("value")
     # One row per measure on the right: the number of measures is fixed by the caller.
-    counted = long.join(F.broadcast(fences), "measure").groupBy("measure").agg(
-        F.count("*").alias("n"),
-        F.count_if(F.col("value") < F.col("lower_fence")).alias("low_outliers"),
-        F.count_if(F.col("value") > F.col("upper_fence")).alias("high_outliers"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
-    rank = F.row_number().over(Window.partitionBy("measure").orderBy(F.desc("value")))
-    largest = long.withColumn("r", rank).where(F.col("r") <= top).groupBy("measure").pivot(
-        "r", list(range(1, top + 1))).agg(F.max("value"))
-    largest = largest.withColumnsRenamed({str(i): f"top_{i}" for i in range(1, top + 1)})
-    return fences.join(counted, "measure").join(largest, "measure")
+    counted = ranked.join(F.broadcast(fences), "measure").groupBy("measure").agg(
+        F.sum(n).alias("n"),
+        F.sum(F.when(value < F.col("lower_fence"), n).otherwise(0)).alias("low_outliers"),
+        F.sum(F.when(value > F.col("upper_fence"), n).otherwise(0)).alias("high_outliers"),
+        F.min(value).alias("min"), F.max(value).alias("max"),
+        *[value_at("value", F.col("_upto_total") - i).alias(f"top_{i}") for i in range(1, top + 1)])
+    return fences.join(counted, "measure")
 
 
 def histogram_clipped(orders: DataFrame, low: float = -30, high: float = 60, bins: int = 90) -> DataFrame:

@@ -71,27 +71,24 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame
     return df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
 
 
-def quantiles(
-    df: DataFrame,
-    value: str,
-    probs: dict[str, float],
-    by: Sequence[str] = (),
-    bounded: bool = False,
-) -> DataFrame:
-    """Exact linearly interpolated quantiles, one row per group (name -> probability)."""
-    ranked = running_totals(value_counts(df, value, by), [F.col(value)], {"n": "_upto"}, by, bounded)
-    here = F.col(value).cast("double")
+def ranked_values(df: DataFrame, value: str, by: Sequence[str] = (), bounded: bool = False) -> DataFrame:
+    """(group, value, n, _upto, _upto_total): distinct values with their running count."""
+    return running_totals(value_counts(df, value, by), [F.col(value)], {"n": "_upto"}, by, bounded)
 
-    def at(position: Column) -> Column:
-        inside = (F.col("_upto") - F.col("n") <= position) & (position < F.col("_upto"))
-        return F.max(F.when(inside, here))
 
+def value_at(value: str, position: Column) -> Column:
+    """Aggregate over ranked values: the value at a zero-based position of its group."""
+    inside = (F.col("_upto") - F.col("n") <= position) & (position < F.col("_upto"))
+    return F.max(F.when(inside, F.col(value).cast("double")))
+
+
+def quantiles_of(ranked: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
     picks, finals = [], []
     for name, p in probs.items():
         position = (F.col("_upto_total") - 1) * F.lit(float(p))
         picks += [
-            at(F.floor(position)).alias(f"_lo_{name}"),
-            at(F.ceil(position)).alias(f"_hi_{name}"),
+            value_at(value, F.floor(position)).alias(f"_lo_{name}"),
+            value_at(value, F.ceil(position)).alias(f"_hi_{name}"),
             F.max(position - F.floor(position)).alias(f"_w_{name}"),
         ]
         low, high, weight = F.col(f"_lo_{name}"), F.col(f"_hi_{name}"), F.col(f"_w_{name}")
@@ -99,15 +96,19 @@ def quantiles(
     return ranked.groupBy(*by).agg(*picks).select(*by, *finals)
 
 
+def quantiles(
+    df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = (), bounded: bool = False
+) -> DataFrame:
+    """Exact linearly interpolated quantiles, one row per group (name -> probability)."""
+    return quantiles_of(ranked_values(df, value, by, bounded), value, probs, by)
+
+
 def median_of(df: DataFrame, value: str, by: Sequence[str] = (), bounded: bool = False) -> DataFrame:
     return quantiles(df, value, {"median": 0.5}, by, bounded)
 
 
-def iqr_fences(
-    df: DataFrame, value: str, multiplier: float = 1.5, by: Sequence[str] = (), bounded: bool = False
-) -> DataFrame:
-    """Q1, Q3, IQR and both fences."""
-    quartiles = quantiles(df, value, {"q1": 0.25, "q3": 0.75}, by, bounded)
+def fences_of(ranked: DataFrame, value: str, multiplier: float = 1.5, by: Sequence[str] = ()) -> DataFrame:
+    quartiles = quantiles_of(ranked, value, {"q1": 0.25, "q3": 0.75}, by)
     iqr = F.col("q3") - F.col("q1")
     return quartiles.select(
         *by, "q1", "q3", iqr.alias("iqr"),
@@ -116,6 +117,13 @@ def iqr_fences(
     )
 
 
+def iqr_fences(
+    df: DataFrame, value: str, multiplier: float = 1.5, by: Sequence[str] = (), bounded: bool = False
+) -> DataFrame:
+    """Q1, Q3, IQR and both fences."""
+    return fences_of(ranked_values(df, value, by, bounded), value, multiplier, by)
+
+
 def average_ranks(
     counts: DataFrame, value: str, n: str = "n", by: Sequence[str] = (), bounded: bool = False
 ) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from orderloom.functions import vocabulary as v
+from orderloom.session import written
 
 REDACTED = "[REDACTED]"
 KEYS = ("route", "client")
@@ -129,8 +130,10 @@ def rate_limit(
     keys = list(keys)
     schema = requests.schema
     columns = requests.columns
-    counted = trailing_volume(requests, window_s, keys, time).withColumn(
-        "_us", F.unix_micros(F.col(time).cast("timestamp"))).withColumn("_cell", F.floor(F.col("_us") / F.lit(width)))
+    # Cells, calm rows, busy rows and their context all read the counted rows.
+    counted = written(trailing_volume(requests, window_s, keys, time).withColumn(
+        "_us", F.unix_micros(F.col(time).cast("timestamp"))).withColumn(
+        "_cell", F.floor(F.col("_us") / F.lit(width))), "request-volume")
     busy_cells = counted.groupBy(*keys, "_cell").agg(F.max("in_window").alias("_peak")).where(F.col("_peak") > limit)
     # Cells are windows of time, so a client has at most (time span / window) of them here.
     in_order = Window.partitionBy(*keys).orderBy("_cell")

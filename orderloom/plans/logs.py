@@ -147,7 +147,8 @@ add("oversize_requests", lambda s: requests.oversize_requests(s.raw("events").se
 def _stream_to_table(star: TradeStar, build, name: str) -> DataFrame:
     """Run a stream over the event file to its end and read what it wrote."""
     spark = star.spark
-    source = spark.readStream.schema(star.raw("events").schema).option("pathGlobFilter", "events.parquet").parquet(star.folder)
+    source = spark.readStream.schema(star.raw("events").schema).option("pathGlobFilter", "events.parquet").option(
+        "maxFilesPerTrigger", 1000).parquet(star.folder)
     rows = source.select("event_id", "ts", F.col("event_type").alias("route"), F.col("user_id").alias("client"))
     store = scratch_path(spark, name)
     query = build(rows).writeStream.format("parquet").outputMode("append").option("path", store).option(

@@ -26,6 +26,8 @@ def stream_rate_limit(requests: DataFrame, limit: int, window_s: int, late_by: s
 
     The state of a key is dropped once the watermark has passed its window. Rows of one
     micro-batch are replayed in time order; rows older than the watermark are dropped.
+    The source's ``maxFilesPerTrigger`` bounds what one key can bring into a task at once;
+    a backlog is better served by the batch job.
     """
     width = window_s * 1_000_000
 
