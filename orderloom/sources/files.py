@@ -33,12 +33,18 @@ RAW_SCHEMAS = {
 }
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """CSV with a header, quoted line breaks and doubled quotes, against a stated schema."""
+def read_csv(
+    spark: SparkSession, path: str, schema: str | T.StructType, line_breaks: bool = True
+) -> DataFrame:
+    """CSV with a header and doubled quotes, against a stated schema.
+
+    Files whose texts hold line breaks cannot be split; pass ``line_breaks=False`` for the
+    others, so that one large file is read by many tasks.
+    """
     return (
         spark.read.schema(schema)
         .option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", line_breaks)
         .option("quote", '"')
         .option("escape", '"')
         .csv(path)
@@ -46,8 +52,19 @@ def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> Data
 
 
 def read_raw_set(spark: SparkSession, paths: Mapping[str, str]) -> dict[str, DataFrame]:
-    """All raw CSV sources by logical name, dates parsed by the schema."""
-    return {name: read_csv(spark, path, RAW_SCHEMAS[name]) for name, path in paths.items()}
+    """All raw CSV sources by logical name, dates parsed by the schema.
+
+    The geolocation rows get a sequence in file order, since "the first city of a zip"
+    refers to it.
+    """
+    tables = {
+        name: read_csv(spark, path, RAW_SCHEMAS[name], line_breaks=name == "reviews")
+        for name, path in paths.items()}
+    if "geolocation" in tables:
+        tables["geolocation"] = tables["geolocation"].withColumn("seq", F.struct(
+            F.col("_metadata.file_path"), F.col("_metadata.file_block_start"),
+            F.monotonically_increasing_id().alias("row")))
+    return tables
 
 
 def source_counts(sources: Mapping[str, Callable[[], DataFrame]]) -> DataFrame:

@@ -47,6 +47,64 @@ def star_from_parquet(spark: SparkSession, folder: str, names: dict[str, str]) -
     return Star(spark, {key: spark.read.parquet(f"{folder}/{path}") for key, path in names.items()})
 
 
+class MarketplaceStar(Star):
+    """Star over the tables that ``modeling.build_star`` writes, in a folder of Parquet tables."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        super().__init__(spark)
+        self.folder = folder
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return getattr(self, name)
+
+    def raw(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}")
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        return self.raw("fact_orders").select(
+            "order_id", "customer_id", "order_status",
+            F.col("order_purchase_timestamp").alias("purchase_ts"),
+            F.col("order_estimated_delivery_date").alias("estimated_ts"),
+            F.col("order_delivered_customer_date").alias("delivered_ts"))
+
+    @cached_property
+    def items(self) -> DataFrame:
+        return self.raw("fact_order_items").select(
+            "order_id", F.col("order_item_id").alias("item_id"), "product_id", "seller_id", "shipping_limit_date",
+            F.col("price").cast(MONEY).alias("price"), F.col("freight_value").cast(MONEY).alias("freight_value"))
+
+    @cached_property
+    def customers(self) -> DataFrame:
+        return self.raw("dim_customers")
+
+    @cached_property
+    def sellers(self) -> DataFrame:
+        return self.raw("dim_sellers").select("seller_id", "state")
+
+    @cached_property
+    def products(self) -> DataFrame:
+        return self.raw("dim_products").select(
+            "product_id", F.col("product_category_name_english").alias("category"))
+
+    @cached_property
+    def payments_raw(self) -> DataFrame:
+        """The order-level payments in the layout of raw ones, one row per order."""
+        return self.raw("dim_payments").select(
+            "order_id", F.col("primary_payment_type").alias("payment_type"),
+            F.col("payment_installments_max").alias("payment_installments"),
+            F.col("total_payment_value").cast(MONEY).alias("payment_value"), F.lit(1).alias("payment_sequential"))
+
+    @cached_property
+    def reviews(self) -> DataFrame:
+        return self.raw("fact_order_reviews").select(
+            "review_id", "order_id", "review_score", "review_comment_message")
+
+    @cached_property
+    def scored_reviews(self) -> DataFrame:
+        return self.raw("nlp_reviews").withColumnRenamed("emb_topic_id", "topic_id")
+
+
 class TradeStar(Star):
     """Star over trade tables (orders, lineitem, customer, ...) of one folder.
 
