@@ -40,11 +40,10 @@ def running_totals(
             *[F.sum(c).over(whole).alias(f"{n}_total") for c, n in sums.items()],
         )
 
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # No partition count is given, so adaptive execution sizes the ranges to the data; it
+    # only ever merges neighbours, which keeps the ranges in order.
     spread = checkpointed(
-        df.repartitionByRange(parts, *[F.col(k) for k in by], *order)
-        .withColumn("_part", F.spark_partition_id())
-    )
+        df.repartitionByRange(*[F.col(k) for k in by], *order).withColumn("_part", F.spark_partition_id()))
     # At most one row per group and partition: small, whatever the group sizes.
     pieces = spread.groupBy(*by, "_part").agg(*[F.sum(c).alias(f"_{n}") for c, n in sums.items()])
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))

@@ -5,6 +5,14 @@ from pyspark.sql import functions as F
 from orderloom.operators import ordering, statistics
 
 
+@pytest.fixture(autouse=True, params=["true", "false"], ids=["merged ranges", "all ranges"])
+def coalescing(spark, request):
+    """Ranges as adaptive execution merges them, and as many as there are shuffle partitions."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", request.param)
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
 @pytest.fixture(scope="module")
 def skewed(spark):
     """Three groups, one of which holds most rows, with many ties."""
@@ -44,6 +52,16 @@ def test_running_totals_over_many_partitions(spark):
     assert {r.upto_total for r in got} == {total}
 
 
+def test_ranges_are_really_split(spark, coalescing):
+    """The unmerged setting must exercise several ranges, or the tests above prove little."""
+    from orderloom.session import checkpointed
+    df = spark.range(2000).repartitionByRange("id").withColumn("p", F.spark_partition_id())
+    parts = checkpointed(df).groupBy("p").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).orderBy("p").collect()
+    assert all(a.hi < b.lo for a, b in zip(parts, parts[1:]))
+    if spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled") == "false":
+        assert len(parts) > 1
+
+
 def average_rank(values):
     order = sorted(values)
     first = {}
