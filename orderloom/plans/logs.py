@@ -135,8 +135,21 @@ def request_rows(star: TradeStar) -> DataFrame:
 add("request_volume", lambda s: requests.trailing_volume(request_rows(s), 3600).select("event_id", "in_window"), """
     SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS in_window
     FROM events""")
-add("rate_limit_flags", lambda s: requests.rate_limit(request_rows(s), 2, 3600).select("event_id", "client", "blocked"))
-add("rate_limit_log_once", lambda s: requests.rate_limit(request_rows(s), 2, 3600).where("logged").select("event_id", "client", "ts"))
+# With two requests per hour the state is the last two admitted times and the last logged one.
+CHECK_LIMIT = """, e AS (SELECT event_id, ts, user_id AS client, epoch_us(ts) AS us,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+lim AS (SELECT * FROM (WITH RECURSIVE r AS (
+    SELECT event_id, ts, client, rn, false AS blocked, false AS logged, us AS newer, NULL::BIGINT AS older, NULL::BIGINT AS lg FROM e WHERE rn = 1
+    UNION ALL
+    SELECT event_id, ts, client, rn, blocked, logged, CASE WHEN blocked THEN newer ELSE us END, CASE WHEN blocked THEN older ELSE newer END,
+           CASE WHEN logged THEN us ELSE lg END
+    FROM (SELECT n.event_id, n.ts, n.client, n.rn, n.us, r.newer, r.older, r.lg, coalesce(n.us - r.older < 3600000000, false) AS blocked,
+                 coalesce(n.us - r.older < 3600000000, false) AND coalesce(n.us - r.lg >= 3600000000, true) AS logged
+          FROM r JOIN e n ON n.client = r.client AND n.rn = r.rn + 1)) SELECT * FROM r))"""
+add("rate_limit_flags", lambda s: requests.rate_limit(request_rows(s), 2, 3600).select("event_id", "client", "blocked"),
+    CHECK_LIMIT + " SELECT event_id, client, blocked FROM lim")
+add("rate_limit_log_once", lambda s: requests.rate_limit(request_rows(s), 2, 3600).where("logged").select("event_id", "client", "ts"),
+    CHECK_LIMIT + " SELECT event_id, client, ts FROM lim WHERE logged")
 add("oversize_requests", lambda s: requests.oversize_requests(s.raw("events").select(
     "event_id", F.col("event_type").alias("route"), F.col("value").alias("size")), {"click": 100.0, "view": 150.0}), """
     SELECT event_id, event_type AS route, value AS size, m AS max_size
@@ -159,7 +172,7 @@ def _stream_to_table(star: TradeStar, build, name: str) -> DataFrame:
 
 add("stream_rate_limit", lambda s: _stream_to_table(
     s, lambda rows: limiter.stream_rate_limit(rows.withColumn("route", F.lit("all")), 2, 3600), "limits").select(
-    "event_id", "client", "blocked"))
+    "event_id", "client", "blocked"), CHECK_LIMIT + " SELECT event_id, client, blocked FROM lim")
 # The last hour is still open when the stream ends: windows close behind the watermark.
 add("stream_volume", lambda s: _stream_to_table(
     s, lambda rows: limiter.stream_volume(rows, "1 day"), "volumes").select(

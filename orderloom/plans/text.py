@@ -146,7 +146,8 @@ def nmf(star: TradeStar, rounds: int = 12):
 
 add("nmf_topics", lambda s: nmf(s)[1].select("topic_id", F.array_join("top_terms", ", ").alias("top_terms"), "review_count"))
 add("embed_text", lambda s: topics.hashed_embeddings(s.text_reviews).select(
-    "review_id", "order_id", F.size("embedding").alias("dimensions")))
+    "review_id", "order_id", F.size("embedding").alias("dimensions")),
+    "SELECT review_id, order_id, 256::INT AS dimensions FROM b_text")
 add("embedding_topics", lambda s: topics.embedding_topics(s.raw("embeddings")).groupBy("topic_id").agg(
     F.count("*").alias("review_count")))
 
