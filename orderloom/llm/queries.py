@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderloom.llm import curriculum, packing
+from orderloom.llm import checks, curriculum, packing, parity, private_data, recompress, toxicity
 from orderloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +31,24 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_pack_sequences")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed_sequences(table(spark, folder, "documents"), packing.public_tokenizer())
+
+
+@query("op8_parity_join", checks.SHINGLE_COMPONENTS)
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return parity.linked(table(spark, folder, "documents"))
+
+
+@query("op9_recompression_dedup", checks.KEPT_WORDS)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return recompress.repeats(table(spark, folder, "documents"))
+
+
+@query("op6_private_spans")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return private_data.spans(table(spark, folder, "documents"))
+
+
+@query("op7_toxicity_chain")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.scores(docs, toxicity.train(docs, table(spark, folder, "labels")))
