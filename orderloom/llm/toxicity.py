@@ -1,9 +1,10 @@
-"""Toxicity by classifier chains of linear models over hashed words.
+"""Toxicity by classifier chains of linear models over hashed words and stems.
 
 Categories are predicted in order, and each model also sees the probabilities of the categories
 before it. While training, these come from models that did not see the document (out-of-fold), so
-later models learn how reliable the earlier ones are. A model keeps the hashed words whose presence
-separates its labels by a z-score, so that long texts do not add up noise.
+later models learn how reliable the earlier ones are. Features are the shares of a text's words that
+are a hashed word or begin with a hashed stem; a model keeps those whose mean separates its labels by
+a z-score, so that long texts do not add up noise.
 
 The models are fitted on the driver from a bounded sample of labelled documents; scoring reads every
 whole text.
@@ -17,6 +18,7 @@ table: empty result. Other columns: ignored by ``scores``, kept by ``accepted``.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -29,10 +31,12 @@ from orderloom.llm.common import map_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 18
-SAMPLE_DOCS = 8000           # bound of the labelled sample
+SAMPLE_DOCS = 4000           # bound of the labelled sample
 FOLDS = 5
-MIN_Z = 4.0
-MAX_WORDS = 512              # words of one model, the best by z-score
+STEMS = (4, 5, 6, 7)         # lengths of the word beginnings that count besides whole words
+DAMPING = 50                 # words added to a text's length before shares are taken
+MIN_Z = 6.0
+MAX_WORDS = 128              # words and stems of one model, the best by z-score
 THRESHOLD = 0.5
 # Seeds that split the one toxic label into categories (weak labels): insults aimed at a person, and contempt.
 INSULTS = ("idiot", "moron", "loser", "clown", "scum")
@@ -49,24 +53,35 @@ def default_categories() -> dict[str, Column]:
 
 
 class Buckets(dict):
-    """Word to hash bucket; bounded."""
+    """Word to the hash buckets of the word and its stems (of ``wanted`` ones only, if given); bounded."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, wanted: set[int] | None = None, limit: int = 300_000):
         super().__init__()
         import xxhash
 
-        self.limit, self.digest = limit, xxhash.xxh3_64_intdigest
+        self.wanted, self.limit, self.digest = wanted, limit, xxhash.xxh3_64_intdigest
 
-    def __missing__(self, word: str) -> int:
-        value = self.digest(word.encode()) % BUCKETS
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        parts = {word + "$"} | {word[:k] for k in STEMS if len(word) >= k}
+        value = tuple(sorted({self.digest(p.encode()) % BUCKETS for p in parts}))
+        if self.wanted is not None:
+            value = tuple(b for b in value if b in self.wanted)
         if len(self) >= self.limit:
             self.clear()
         self[word] = value
         return value
 
 
-def word_buckets(text: str, buckets: Buckets) -> set[int]:
-    return set(map(buckets.__getitem__, set(WORD.findall(text.lower()))))
+Doc = tuple[np.ndarray, np.ndarray]   # sorted buckets, and how much of the text they make
+
+
+def document_buckets(text: str, buckets: Buckets) -> Doc:
+    """Buckets of a whole text with log(1 + percent of its words); short texts are damped."""
+    words = WORD.findall(text.lower())
+    counts = Counter(b for found in map(buckets.__getitem__, words) if found for b in found)
+    at = np.array(sorted(counts), np.int64)
+    share = np.array([counts[b] for b in at.tolist()], float) / (len(words) + DAMPING)
+    return at, np.log1p(100 * share)
 
 
 @dataclass
@@ -89,31 +104,48 @@ def log_odds(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def select_words(docs: Sequence[np.ndarray], y: np.ndarray, min_z: float = MIN_Z, most: int = MAX_WORDS) -> np.ndarray:
-    """Buckets whose presence differs between the classes by at least ``min_z`` standard errors."""
-    flat = np.concatenate([np.empty(0, np.int64), *docs])
-    rows = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    all_ = np.bincount(flat, minlength=BUCKETS).astype(float)
-    hits = np.bincount(flat[y[rows]], minlength=BUCKETS).astype(float)
-    n1, n = max(int(y.sum()), 1), len(y)
-    n0 = max(n - n1, 1)
-    rate = all_ / n
-    z = np.abs(hits / n1 - (all_ - hits) / n0) / np.sqrt(np.maximum(rate * (1 - rate), 1e-12) * (1 / n1 + 1 / n0))
-    z[(all_ < 5) | (rate > 0.98)] = 0
+def bucket_sums(docs: Sequence[Doc], y: np.ndarray, fold: np.ndarray) -> dict[tuple[int, bool], np.ndarray]:
+    """Per fold and class: documents, sum and sum of squares of every bucket; the last entry counts documents."""
+    sums = {}
+    for f in np.unique(fold):
+        for hit in (False, True):
+            own = [docs[i] for i in np.flatnonzero((fold == f) & (y == hit))]
+            flat = np.concatenate([np.empty(0, np.int64), *[d[0] for d in own]])
+            value = np.concatenate([np.empty(0), *[d[1] for d in own]])
+            sums[int(f), hit] = np.vstack([np.append(np.bincount(flat, w, BUCKETS), len(own))
+                                           for w in (None, value, value * value)])
+    return sums
+
+
+def select_words(
+    sums: dict[tuple[int, bool], np.ndarray], without: int | None = None, min_z: float = MIN_Z, most: int = MAX_WORDS,
+) -> np.ndarray:
+    """Buckets whose mean differs between the classes by at least ``min_z`` standard errors, one fold left out."""
+    one, zero = (sum((v for (f, hit), v in sums.items() if hit is side and f != without),
+                     np.zeros((3, BUCKETS + 1))) for side in (True, False))
+    n1, n0 = max(one[0, -1], 1), max(zero[0, -1], 1)
+    count, total, squares = (one + zero)[:, :-1]
+    spread = squares / (n1 + n0) - (total / (n1 + n0)) ** 2
+    z = np.abs(one[1, :-1] / n1 - zero[1, :-1] / n0) / np.sqrt(np.maximum(spread, 1e-9) * (1 / n1 + 1 / n0))
+    z[count < 5] = 0
     best = np.argsort(-z, kind="stable")[:most]
     return np.sort(best[z[best] >= min_z])
 
 
-def presence(docs: Sequence[np.ndarray], words: np.ndarray) -> np.ndarray:
+def presence(docs: Sequence[Doc], words: np.ndarray) -> np.ndarray:
     out = np.zeros((len(docs), len(words)))
-    for k, d in enumerate(docs):
+    for k, (d, value) in enumerate(docs):
         at = np.searchsorted(words, d)
-        at, d = at[at < len(words)], d[at < len(words)]
-        out[k, at[words[at] == d]] = 1
+        inside = at < len(words)
+        at, d, value = at[inside], d[inside], value[inside]
+        same = words[at] == d
+        out[k, at[same]] = value[same]
     return out
 
 
-def fit_linear(docs: Sequence[np.ndarray], before: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> Linear:
+def fit_linear(
+    docs: Sequence[Doc], words: np.ndarray, before: np.ndarray, y: np.ndarray, ridge: float = 0.5,
+) -> Linear:
     """Newton steps of the ridge-penalised likelihood."""
     rate = (y.sum() + 0.5) / (len(y) + 1)
     constant = Linear(np.empty(0, np.int64), np.zeros(0), np.zeros(before.shape[1]), float(log_odds(np.array([rate]))[0]))
@@ -121,20 +153,29 @@ def fit_linear(docs: Sequence[np.ndarray], before: np.ndarray, y: np.ndarray, ri
         if len(y) == 0:
             constant.bias = -30.0
         return constant
-    words = select_words(docs, y)
     x = np.hstack([presence(docs, words), log_odds(before), np.ones((len(y), 1))])
     w = np.zeros(x.shape[1])
     w[-1] = constant.bias
     penalty = np.full(len(w), ridge)
     penalty[-1] = 1e-6
-    for _ in range(30):
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(np.logaddexp(0, z).sum() - z @ y + 0.5 * penalty @ (w * w))
+
+    now = loss(w)
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         g = x.T @ (p - y) + penalty * w
         h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty)
         step = np.linalg.solve(h, g)
-        w -= step / max(1.0, np.abs(step).max() / 4)
-        if np.abs(step).max() < 1e-6:
+        after = loss(w - step)
+        while after > now and np.abs(step).max() > 1e-7:
+            step /= 2
+            after = loss(w - step)
+        if now - after < 1e-9 * (1 + abs(now)):
             break
+        w, now = w - step, after
     k = len(words)
     return Linear(words, w[:k], w[k:-1], float(w[-1]))
 
@@ -144,23 +185,24 @@ class Chain:
     names: list[str]
     models: list[Linear]
 
-    def probabilities(self, docs: Sequence[np.ndarray]) -> np.ndarray:
+    def probabilities(self, docs: Sequence[Doc]) -> np.ndarray:
         p = np.zeros((len(docs), 0))
         for model in self.models:
             p = np.hstack([p, model.probability(presence(docs, model.words), p)[:, None]])
         return p
 
 
-def fit_chain(names: Sequence[str], docs: Sequence[np.ndarray], labels: np.ndarray, fold: np.ndarray) -> Chain:
+def fit_chain(names: Sequence[str], docs: Sequence[Doc], labels: np.ndarray, fold: np.ndarray) -> Chain:
     """``labels``: documents by categories (bool); ``fold``: each document's fold."""
     models, before = [], np.zeros((len(docs), 0))
     for k in range(len(names)):
         y = labels[:, k].astype(bool)
-        models.append(fit_linear(docs, before, y))
+        sums = bucket_sums(docs, y, fold)
+        models.append(fit_linear(docs, select_words(sums), before, y))
         out = np.zeros(len(docs))
         for f in np.unique(fold):
             train, test = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-            model = fit_linear([docs[i] for i in train], before[train], y[train])
+            model = fit_linear([docs[i] for i in train], select_words(sums, int(f)), before[train], y[train])
             out[test] = model.probability(presence([docs[i] for i in test], model.words), before[test])
         before = np.hstack([before, out[:, None]])
     return Chain(list(names), models)
@@ -183,28 +225,29 @@ def train(
     def step(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = Buckets()
         for batch in source:
-            found = [sorted(word_buckets(t, buckets)) for t in batch.column(1).to_pylist()]
+            found = [document_buckets(t, buckets) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found, pa.list_(pa.int32())), batch.column(2)], ["doc_id", "words", "y"])
+                [batch.column(0), pa.array([d[0] for d in found], pa.list_(pa.int32())),
+                 pa.array([d[1] for d in found], pa.list_(pa.float32())), batch.column(2)],
+                ["doc_id", "words", "values", "y"])
 
-    found = map_batches(rows, step, "doc_id long, words array<int>, y array<int>").toArrow().to_pydict()
-    order = sorted(range(len(found["doc_id"])), key=lambda i: (found["doc_id"][i], found["words"][i], found["y"][i]))
-    words = [np.array(found["words"][i], np.int64) for i in order]
-    y = np.array([found["y"][i] for i in order], bool).reshape(len(order), len(categories))
-    fold = np.array([found["doc_id"][i] * 2654435761 % 4294967296 % folds for i in order], np.int64)
-    return fit_chain(list(categories), words, y, fold)
+    found = map_batches(rows, step, "doc_id long, words array<int>, values array<float>, y array<int>").toArrow()
+    # Rows in an order that does not depend on partitions.
+    found = found.append_column("sum", pa.array([float(v.values.to_numpy().sum()) for v in found["values"]], pa.float64()))
+    found = found.sort_by([("doc_id", "ascending"), ("sum", "ascending")]).combine_chunks()
+    docs_ = [(w.values.to_numpy().astype(np.int64), v.values.to_numpy().astype(float))
+             for w, v in zip(found["words"], found["values"])]
+    y = np.array(found["y"].to_pylist(), bool).reshape(len(docs_), len(categories))
+    fold = np.array([i * 2654435761 % 4294967296 % folds for i in found["doc_id"].to_pylist()], np.int64)
+    return fit_chain(list(categories), docs_, y, fold)
 
 
-def _probabilities(chain: Chain, texts: list[str], buckets: Buckets, chosen: np.ndarray) -> np.ndarray:
-    docs = []
-    wanted = set(chosen.tolist())
-    for text in texts:
-        docs.append(np.array(sorted(word_buckets(text, buckets) & wanted), np.int64))
-    return chain.probabilities(docs)
+def _probabilities(chain: Chain, texts: list[str], buckets: Buckets) -> np.ndarray:
+    return chain.probabilities([document_buckets(t, buckets) for t in texts])
 
 
-def _chosen(chain: Chain) -> np.ndarray:
-    return np.unique(np.concatenate([np.empty(0, np.int64), *[m.words for m in chain.models]]))
+def _wanted(chain: Chain) -> set[int]:
+    return {int(b) for m in chain.models for b in m.words}
 
 
 def scores(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFrame:
@@ -212,9 +255,9 @@ def scores(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataF
     columns = [f"p_{n}" for n in chain.names]
 
     def step(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets, chosen = Buckets(), _chosen(chain)
+        buckets = Buckets(_wanted(chain))
         for batch in source:
-            p = _probabilities(chain, [t or "" for t in batch.column(1).to_pylist()], buckets, chosen)
+            p = _probabilities(chain, [t or "" for t in batch.column(1).to_pylist()], buckets)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *[pa.array(p[:, k]) for k in range(p.shape[1])], pa.array(p[:, -1] >= threshold)],
                 ["doc_id", *columns, "rejected"])
@@ -228,9 +271,9 @@ def accepted(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> Dat
     where = docs.columns.index("text")
 
     def step(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets, chosen = Buckets(), _chosen(chain)
+        buckets = Buckets(_wanted(chain))
         for batch in source:
-            p = _probabilities(chain, [t or "" for t in batch.column(where).to_pylist()], buckets, chosen)
+            p = _probabilities(chain, [t or "" for t in batch.column(where).to_pylist()], buckets)
             yield batch.filter(pa.array(p[:, -1] < threshold))
 
     return map_batches(docs, step, docs.schema)
