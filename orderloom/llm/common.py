@@ -46,24 +46,74 @@ def row_key(df: DataFrame) -> Column:
     return F.xxhash64(*[F.coalesce(df[c].cast("string"), F.lit("\x00null")) for c in df.columns])
 
 
-class Names(dict):
-    """Word (bytes) to 64-bit name, the same in every process; emptied when ``limit`` is reached."""
-
-    def __init__(self, limit: int = 300_000, seed: int = 0):
-        super().__init__()
-        import xxhash
-
-        self.limit, self.seed, self.digest = limit, seed, xxhash.xxh3_64_intdigest
-
-    def __missing__(self, word: bytes) -> int:
-        value = self.digest(word, self.seed)
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = value
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def _byte_values(fold_case: bool) -> np.ndarray:
+    """A random 64-bit number per byte; 0 for the separators."""
+    values = np.random.default_rng(20_240_601).integers(1, 2**64, 256, dtype=np.uint64, endpoint=False)
+    if fold_case:
+        values[65:91] = values[97:123]
+    values[[9, 10, 11, 12, 13, 32]] = 0
+    return values
+
+
+BYTES = {fold: _byte_values(fold) for fold in (False, True)}
+BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _powers(count: int) -> np.ndarray:
+    factors = np.full(count, BASE, np.uint64)
+    factors[0] = 1
+    return np.cumprod(factors, dtype=np.uint64)
+
+
+POWERS = _powers(4096)
+
+
+def _names(data: np.ndarray, bounds: np.ndarray, fold_case: bool) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit names of the words of several texts, and where each text's words begin and end."""
+    global POWERS
+    values = BYTES[fold_case]
+    inside = BYTES_INSIDE[data]
+    begin = inside.copy()
+    begin[1:] &= ~inside[:-1]
+    firsts = bounds[:-1][bounds[:-1] < len(data)]
+    begin[firsts] = inside[firsts]
+    starts = np.flatnonzero(begin)
+    if len(starts) == 0:
+        return np.empty(0, np.uint64), np.zeros(len(bounds), np.int64)
+    widths = np.diff(np.append(starts, len(data)))
+    place = np.arange(starts[0], len(data), dtype=np.int32)
+    place -= np.repeat(starts.astype(np.int32), widths)
+    most = int(widths.max())
+    if most > len(POWERS):
+        POWERS = _powers(most)
+    terms = values[data[starts[0] :]]
+    terms *= POWERS[place]
+    return mix(np.add.reduceat(terms, starts - starts[0])), np.searchsorted(starts, bounds)
+
+
+BYTES_INSIDE = BYTES[False] != 0
+
+
+def named_slices(
+    column: pa.Array, fold_case: bool = False, limit: int = 1 << 20,
+) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, last, names, begins): the words of texts ``first`` to ``last`` (exclusive) of a binary column.
+
+    A word's name is a hash of its bytes, the same in every process; with ``fold_case`` A-Z count as
+    a-z. Text k's words are ``names[begins[k - first] : begins[k - first + 1]]``. A slice holds
+    ``limit`` bytes, or one text: that bounds the memory.
+    """
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    held = column.buffers()[2]
+    data = np.frombuffer(held, np.uint8) if held is not None else np.empty(0, np.uint8)
+    first = 0
+    while first < len(column):
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + limit, side="right")) - 1)
+        last = min(last, len(column))
+        part = data[offsets[first] : offsets[last]]
+        names, begins = _names(part, offsets[first : last + 1] - offsets[first], fold_case)
+        yield first, last, names, begins
+        first = last
 
 
 def mix(values: np.ndarray) -> np.ndarray:
@@ -145,5 +195,5 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return links.select(F.col("u").alias("id"), F.col("v").alias("component")).union(heads)
 
 
-__all__ = ["BLANKS", "Names", "batches", "checkpointed", "components", "map_batches", "mix", "rolling", "row_key",
+__all__ = ["BLANKS", "named_slices", "batches", "checkpointed", "components", "map_batches", "mix", "rolling", "row_key",
            "signed", "table", "text_bytes", "written", "Window", "F"]

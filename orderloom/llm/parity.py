@@ -30,12 +30,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderloom.llm.common import Names, components, map_batches, mix, rolling, signed, text_bytes, written
+from orderloom.llm.common import components, map_batches, mix, named_slices, rolling, signed, text_bytes, written
 
 SHINGLE = 5
 PERCENT = 75
@@ -43,10 +42,17 @@ BLOCK = 512                 # members of a shared key that one task compares at
 CELL, CONTENT, BIT = np.uint64(0x51ED270B7A14F3C5), np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25)
 
 
-def shingles(text: bytes, names: Names, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct shingle hashes of a whole text."""
-    words = text.lower().split()      # bytes: lower-cases A-Z only, splits at \x20 \x09-\x0D only
-    return np.unique(rolling(names.of(words), size)) if words else np.empty(0, np.uint64)
+def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> Iterator[np.ndarray]:
+    """Sorted distinct shingle hashes of each whole text (a binary column)."""
+    for first, last, names, begins in named_slices(texts, fold_case=True):
+        runs = rolling(names, size) if len(names) >= size else np.empty(0, np.uint64)
+        for k in range(last - first):
+            b, e = begins[k], begins[k + 1]
+            if e - b >= size:
+                found = np.sort(runs[b : e - size + 1])
+                yield found[np.append(True, found[1:] != found[:-1])]
+            else:
+                yield rolling(names[b:e], size)
 
 
 def _digest(found: np.ndarray, seed: int) -> tuple[int, int]:
@@ -86,14 +92,16 @@ def hamming(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def _first_cells(found: np.ndarray, level: int, most: int) -> tuple[np.ndarray, bool]:
+def _first_cells(place: np.ndarray, content: np.ndarray, level: int, most: int) -> tuple[np.ndarray, bool]:
     """Keys of the first ``most + 1`` filled cells, and whether there are as many."""
-    cell = mix(found ^ CELL) % np.uint64(cells_in(level))
+    cells = cells_in(level)
+    cell = (place * np.uint64(cells)) >> np.uint64(32)
+    cell = cell.astype(np.uint16 if cells <= 65_536 else np.uint32)
     order = np.argsort(cell, kind="stable")
-    cell, content = cell[order], mix(found + CONTENT)[order]
-    starts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+    cell = cell[order]
+    starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
     enough = len(starts) > most
-    values = np.bitwise_xor.reduceat(content, starts)[: most + 1]
+    values = np.bitwise_xor.reduceat(content[order], starts)[: most + 1]
     return mix(values ^ mix(cell[starts[: most + 1]] + np.uint64((level + 1) << 40))), enough
 
 
@@ -101,11 +109,12 @@ def join_keys(found: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """The keys that a set offers; two linked sets share at least one."""
     n = len(found)
     level = band(n)
-    keys, enough = _first_cells(found, level, most_differences(n, n * 100 // percent, percent))
+    place, content = mix(found ^ CELL) >> np.uint64(32), mix(found + CONTENT)
+    keys, enough = _first_cells(place, content, level, most_differences(n, n * 100 // percent, percent))
     parts, all_enough = [keys], enough
     below = (1 << level) - 1                   # the largest size in the band below
     if level and 100 * below >= percent * n:
-        keys, enough = _first_cells(found, level - 1, most_differences(n, below, percent))
+        keys, enough = _first_cells(place, content, level - 1, most_differences(n, below, percent))
         parts.append(keys)
         all_enough &= enough
     if not all_enough:
@@ -118,11 +127,9 @@ def document_sets(docs: DataFrame, seed: int = 0) -> DataFrame:
     """doc_id, n_shingles, node and check (two halves of the set's digest), sketch."""
 
     def step(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = Names()
         for batch in source:
             sizes, high, low, sketches = [], [], [], []
-            for text in batch.column(1).to_pylist():
-                found = shingles(text, names)
+            for found in shingle_sets(batch.column(1)):
                 a, b = _digest(found, seed) if len(found) else (0, 0)
                 sizes.append(len(found))
                 high.append(a)
@@ -141,11 +148,10 @@ def offered_keys(docs: DataFrame, seed: int = 0, percent: int = PERCENT) -> Data
     """key, node: every distinct set once per map task."""
 
     def step(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, seen = Names(), set()
+        seen = set()
         for batch in source:
             keys, nodes = [], []
-            for text in batch.column(0).to_pylist():
-                found = shingles(text, names)
+            for found in shingle_sets(batch.column(0)):
                 if not len(found):
                     continue
                 node = _digest(found, seed)[0]
@@ -179,34 +185,37 @@ def _within_bound(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
     return map_batches(joined.select("a", "b", "n_a", "s_a", "n_b", "s_b"), step, "a long, b long")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, seed: int, percent: int) -> DataFrame:
+def _verified(
+    pairs: DataFrame, nodes: DataFrame, docs: DataFrame, seed: int, percent: int, repeated_ids: bool,
+) -> DataFrame:
     """The pairs that link, by their whole texts; each node's text is that of its first document."""
     ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = nodes.join(ids, "node").select("node", F.col("first_doc").alias("_first"))
 
     def own(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = Names()
         for batch in source:   # a doc_id may come with several texts: only the node's own counts
-            texts, expected = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            keep = [int(np.uint64(_digest(shingles(t, names), seed)[0]).astype(np.int64)) == e
-                    for t, e in zip(texts, expected)]
+            keep = [int(np.uint64(_digest(found, seed)[0]).astype(np.int64)) == node
+                    for found, node in zip(shingle_sets(batch.column(1)), batch.column(0).to_pylist())]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     texts = docs.select(F.col("doc_id").alias("_id"), text_bytes().alias("text")).join(
         wanted, F.col("_id").eqNullSafe(F.col("_first"))).select("node", "text")
-    texts = written(map_batches(texts, own, "node long, text binary"), "candidates").dropDuplicates(["node"])
+    if repeated_ids:
+        texts = map_batches(texts, own, "node long, text binary").dropDuplicates(["node"])
+    texts = written(texts, "candidates")
 
     def step(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, last, left = Names(), None, None
+        last, left = None, None
         for batch in source:
-            a, b, ta, tb = (batch.column(k).to_pylist() for k in range(4))
+            a = batch.column(0).to_pylist()
+            new = [k for k, x in enumerate(a) if x != (a[k - 1] if k else last)]   # rows come sorted by a
+            lefts = dict(zip(new, shingle_sets(batch.column(2).take(pa.array(new, pa.int64())))))
             keep = []
-            for x, text, other in zip(a, ta, tb):
-                if x != last:          # rows come sorted by a
-                    last, left = x, shingles(text, names)
-                right = shingles(other, names)
+            for k, right in enumerate(shingle_sets(batch.column(3))):
+                left = lefts.get(k, left)
                 both = len(np.intersect1d(left, right, assume_unique=True))
                 keep.append(100 * both >= percent * (len(left) + len(right) - both))
+            last = a[-1] if a else last
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
     joined = (pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
@@ -214,24 +223,77 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, seed: int, pe
     return map_batches(joined.select("a", "b", "ta", "tb"), step, "a long, b long")
 
 
-def _block_pairs(percent: int):
-    """Pairs of two blocks of one group that sizes and sketches allow and no component joins yet."""
+def _packed(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of 64-bit words, all folded to the shortest."""
+    width = min(map(len, sketches)) // 8
+    out = np.empty((len(sketches), width), np.uint64)
+    for k, sketch in enumerate(sketches):
+        row = np.frombuffer(sketch, np.uint64)
+        while len(row) > width:
+            row = row[: len(row) // 2] ^ row[len(row) // 2 :]
+        out[k] = row
+    return out
+
+
+def _close(left: tuple, right: tuple, inside: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of two blocks (node, comp, n, sketches) the pairs in several components that sizes and sketches allow."""
+    (a, ca, na, sa), (b, cb, nb, sb) = left, right
+    if sa.shape[1] != sb.shape[1]:
+        wide, width = (sa, sb.shape[1]) if sa.shape[1] > sb.shape[1] else (sb, sa.shape[1])
+        while wide.shape[1] > width:
+            wide = wide[:, : wide.shape[1] // 2] ^ wide[:, wide.shape[1] // 2 :]
+        sa, sb = (wide, sb) if sa.shape[1] > width else (sa, wide)
+    out_a, out_b = [], []
+    for k in range(len(a)):
+        m = slice(k + 1, None) if inside else slice(None)
+        allowed = (na[k] + nb[m]) * (100 - percent) // (100 + percent)
+        fine = (cb[m] != ca[k]) & (100 * np.minimum(na[k], nb[m]) >= percent * np.maximum(na[k], nb[m]))
+        if fine.any():
+            at = np.flatnonzero(fine)
+            near = np.bitwise_count(sb[m][at] ^ sa[k]).sum(1) <= allowed[at]
+            hits = b[m][at[near]]
+            out_a.append(np.full(len(hits), a[k]))
+            out_b.append(hits)
+    if not out_a:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    x, y = np.concatenate(out_a), np.concatenate(out_b)
+    return np.minimum(x, y), np.maximum(x, y)
+
+
+def block_pairs(dealt: DataFrame, percent: int) -> DataFrame:
+    """(a, b) from rows sorted by (grp, lo, hi, block): one pass that holds two blocks at a time."""
 
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        low, high = int(frame["lo"].iloc[0]), int(frame["hi"].iloc[0])
-        left = frame[frame["block"] == low]
-        right = left if low == high else frame[frame["block"] == high]
-        out = []
-        right_rows = list(zip(right["node"], right["comp"], right["n"], right["sketch"]))
-        for a, ca, na, sa in zip(left["node"], left["comp"], left["n"], left["sketch"]):
-            for b, cb, nb, sb in right_rows:
-                if ca == cb or (low == high and a >= b) or 100 * min(na, nb) < percent * max(na, nb):
-                    continue
-                if hamming(sa, sb) <= most_differences(int(na), int(nb), percent):
-                    out.append((min(a, b), max(a, b)))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+    def step(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        key = None
+
+        def done() -> pa.RecordBatch | None:
+            blocks = {}
+            for block, *rest in held:
+                blocks.setdefault(block, []).append(rest)
+            parts = []
+            for rows in blocks.values():
+                node, comp, n, sketch = zip(*rows)
+                parts.append((np.array(node), np.array(comp), np.array(n), _packed(list(sketch))))
+            if key[1] != key[2] and len(parts) < 2:
+                return None
+            a, b = _close(parts[0], parts[-1], key[1] == key[2], percent)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"]) if len(a) else None
+
+        for batch in source:
+            for grp, lo, hi, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (grp, lo, hi) != key:
+                    if len(held) > 1 and (out := done()) is not None:
+                        yield out
+                    key, held = (grp, lo, hi), []
+                held.append(tuple(row))
+        if len(held) > 1 and (out := done()) is not None:
+            yield out
 
-    return compare
+    order = ["grp", "lo", "hi"]
+    return map_batches(
+        dealt.select(*order, "block", "node", "comp", "n", "sketch").repartition(*order).sortWithinPartitions(*order, "block"),
+        step, "a long, b long", 4096)
 
 
 def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -246,6 +308,7 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     else:
         raise RuntimeError("set names clash")
 
+    repeated_ids = not sets.groupBy("doc_id").count().where("count > 1").isEmpty()
     # Rows with one key meet once; of each key only its members and its smallest member go on.
     key = Window.partitionBy("key")
     shared = offered_keys(docs, seed, percent).select(
@@ -256,11 +319,12 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     stars = members.where("head <> node").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     stars = written(_within_bound(stars, nodes, percent), "stars")
-    edges = written(_verified(stars, nodes, docs, seed, percent), "edges")
+    edges = written(_verified(stars, nodes, docs, seed, percent, repeated_ids), "edges")
     found = components(edges)
 
     # Groups that the stars left in several components.
-    placed = members.join(found.withColumnRenamed("id", "node"), "node", "left").select(
+    # In these the smallest member has met all others.
+    placed = members.where("head <> node").join(found.withColumnRenamed("id", "node"), "node", "left").select(
         "grp", "node", F.coalesce("component", "node").alias("comp"))
     torn = placed.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")
                                      ).where("lo < hi").select("grp", "size")
@@ -273,10 +337,10 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
             "grp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
             "block", "node", "comp", "n", "sketch")
-        more = dealt.groupBy("grp", "lo", "hi").applyInPandas(_block_pairs(percent), "a long, b long").distinct()
+        more = block_pairs(dealt, percent).distinct()
         more = written(more.join(stars, ["a", "b"], "left_anti"), "pairs")
         if not more.isEmpty():
-            edges = edges.union(written(_verified(more, nodes, docs, seed, percent), "edges"))
+            edges = edges.union(written(_verified(more, nodes, docs, seed, percent, repeated_ids), "edges"))
             found = components(edges)
 
     firsts = nodes.select("node", "first_doc").join(found.withColumnRenamed("id", "node"), "node", "left").select(
