@@ -13,7 +13,7 @@ by hash, and a window goes when it also starts in a document with a smaller doc_
 exact whatever the number of rounds, which only decides how few candidates are left.
 
 Equal texts form one class: only the class's smallest doc_id takes part, the others lose every
-window. Of windows that repeat within a batch of documents only the first leaves the map task, so a
+window. Symbols and windows that repeat within a batch of documents leave the map task once, so a
 passage that a third of all documents share is not gathered in one task.
 
 Defined cases. Null, empty or blank text: no words, nothing removed, hash of the empty string. Fewer
@@ -32,9 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderloom.llm.common import Names, map_batches, mix, rolling, signed, text_bytes, written
+from orderloom.llm.common import map_batches, mix, named_slices, rolling, signed, text_bytes, written
 
 WINDOW = 50
+SIZES = 1 << 16              # a context's size, or a run of windows, within a packed place
 ROUNDS = 7
 RUNS_EVERY = 3
 PAIR_A, PAIR_B, RUN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xFF51AFD7ED558CCD)
@@ -102,67 +103,74 @@ def symbols(names: np.ndarray, begins: np.ndarray, rounds: int = ROUNDS, runs_ev
     return name, low, high, doc
 
 
-def _numbered(texts: list[bytes], names: Names) -> tuple[np.ndarray, np.ndarray]:
-    words = [t.split() for t in texts]
-    counts = np.array([len(w) for w in words], np.int64)
-    found = [names.of(w) for w in words if w]
-    return (np.concatenate(found) if found else np.empty(0, np.uint64)), np.cumsum(counts) - counts
-
-
 def text_symbols(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
-    """symbol, class, low, size: the symbols whose context a window can hold, once per text and task."""
+    """symbol, class, place: the symbols whose context a window can hold, once per text and task.
+
+    ``place`` is the context's start and size in one number, -1 for a symbol of several texts.
+    """
 
     def step(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, seen = Names(), set()
+        seen = set()
         for batch in source:
-            classes, texts = [], []
-            for c, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if c in seen:
-                    continue
-                if len(seen) < 500_000:
-                    seen.add(c)
-                classes.append(c)
-                texts.append(text)
-            if not texts:
+            fresh = []
+            for k, c in enumerate(batch.column(0).to_pylist()):
+                if c not in seen:
+                    fresh.append(k)
+                    if len(seen) < 500_000:
+                        seen.add(c)
+            if not fresh:
                 continue
-            words, begins = _numbered(texts, names)
-            ends = np.append(begins[1:], len(words))
-            name, low, high, doc = symbols(words, begins, rounds)
-            use = (high - low <= window) & (low >= begins[doc]) & (high <= ends[doc])
-            name, low, high, doc = name[use], low[use], high[use], doc[use]
-            yield pa.RecordBatch.from_arrays(
-                [signed(name), pa.array(np.array(classes, np.int64)[doc]), pa.array((low - begins[doc]).astype(np.int32)),
-                 pa.array((high - low).astype(np.int16))], ["symbol", "class", "low", "size"])
-
-    return map_batches(docs.select("class", "text"), step, "symbol long, class long, low int, size short")
+            batch = batch.take(pa.array(fresh, pa.int64()))
+            classes = batch.column(0).to_numpy()
+            for first, last, words, edges in named_slices(batch.column(1)):
+                begins, ends = edges[:-1], edges[1:]
+                name, low, high, doc = symbols(words, begins, rounds)
+                use = (high - low <= window) & (low >= begins[doc]) & (high <= ends[doc])
+                name, low, high, doc = name[use], low[use], high[use], doc[use]
+                own = classes[first:last][doc]
+                place = (low - begins[doc]) * SIZES + (high - low)
+                # Of a symbol that several texts of the slice share, one row tells the others so.
+                order = np.lexsort((own, name))
+                name_, own_ = name[order], own[order]
+                start = np.flatnonzero(np.append(True, name_[1:] != name_[:-1])) if len(name_) else np.empty(0, np.int64)
+                end = np.append(start[1:], len(name_)) - 1
+                shared = own_[start] != own_[end] if len(start) else np.empty(0, bool)
+                single = np.sort(order[np.repeat(~shared, end - start + 1)])
+                several = start[shared]
+                yield pa.RecordBatch.from_arrays(
+                    [signed(np.append(name[single], name_[several])), pa.array(np.append(own[single], own_[several])),
+                     pa.array(np.append(place[single], np.full(len(several), -1)))], ["symbol", "class", "place"])
+
+    return map_batches(docs.select("class", "text"), step, "symbol long, class long, place long")
 
 
 def candidate_windows(reps: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Windows that no text's own symbol rules out: hash, class, doc_id, start, run, done.
+    """Windows that no text's own symbol rules out: hash, class, doc_id, place.
 
-    ``done`` rows are runs of windows that an earlier document of the same batch already has.
+    ``place`` is a start and a run of windows in one number; a run of 0 is one window to compare,
+    others are runs of windows that an earlier document of the same batch already has.
     """
 
     def step(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = Names()
         for batch in source:
             hashes, classes, ids, starts = [], [], [], []
-            for c, doc_id, text, own in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3)):
-                words = text.split()
-                n = len(words) - window + 1
+            named = ((names, begins[k], begins[k + 1]) for first, last, names, begins in named_slices(batch.column(2))
+                     for k in range(last - first))
+            for c, doc_id, own, (names, b, e) in zip(
+                    batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), named):
+                n = e - b - window + 1
                 if n <= 0:
                     continue
                 open_ = np.ones(n, bool)
                 if own.is_valid and len(own.values):
-                    low = own.values.field(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                    size = own.values.field(1).to_numpy(zero_copy_only=False).astype(np.int64)
+                    low, size = np.divmod(own.values.to_numpy(zero_copy_only=False), SIZES)
                     ruled = np.zeros(n + 1, np.int64)
                     np.add.at(ruled, np.clip(low + size - window, 0, n), 1)
                     np.add.at(ruled, np.minimum(low + 1, n), -1)
                     open_ = np.cumsum(ruled)[:n] <= 0
                 at = np.flatnonzero(open_)
                 if len(at):
-                    hashes.append(rolling(names.of(words), window)[at])
+                    hashes.append(rolling(names[b:e], window)[at])
                     starts.append(at)
                     classes.append(np.full(len(at), c, np.int64))
                     ids.append(np.full(len(at), doc_id, np.int64))
@@ -174,23 +182,26 @@ def candidate_windows(reps: DataFrame, window: int = WINDOW) -> DataFrame:
             new = np.append(True, h[1:] != h[:-1])
             first_doc = d[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))]
             late = d > first_doc
-            keep = ~late
-            parts = [(h[keep], c[keep], d[keep], s[keep], np.ones(keep.sum(), np.int64), np.zeros(keep.sum(), bool))]
+            keep = np.flatnonzero(~late)
+            keep = keep[np.lexsort((s[keep], c[keep]))]     # neighbours stay together and compress well
+            parts = [(h[keep], c[keep], d[keep], s[keep] * SIZES)]
             if late.any():
                 c2, d2, s2 = c[late], d[late], s[late]
                 order = np.lexsort((s2, c2))
                 c2, d2, s2 = c2[order], d2[order], s2[order]
-                new = np.append(True, (c2[1:] != c2[:-1]) | (s2[1:] != s2[:-1] + 1))
-                at = np.flatnonzero(new)
+                at = np.flatnonzero(np.append(True, (c2[1:] != c2[:-1]) | (s2[1:] != s2[:-1] + 1)))
                 run = np.diff(np.append(at, len(s2)))
-                own = mix(c2[at].view(np.uint64) + s2[at].astype(np.uint64))
-                parts.append((own, c2[at], d2[at], s2[at], run, np.ones(len(at), bool)))
-            h, c, d, s, run, done = map(np.concatenate, zip(*parts))
+                more = -(-run // (SIZES - 1))               # long runs in parts
+                at, left = np.repeat(at, more), np.repeat(run, more)
+                part = np.arange(len(at)) - np.repeat(np.cumsum(more) - more, more)
+                begin = s2[at] + part * (SIZES - 1)
+                run = np.minimum(left - part * (SIZES - 1), SIZES - 1)
+                parts.append((mix(c2[at].view(np.uint64) + begin.astype(np.uint64)), c2[at], d2[at], begin * SIZES + run))
+            h, c, d, place = map(np.concatenate, zip(*parts))
             yield pa.RecordBatch.from_arrays(
-                [signed(h), pa.array(c), pa.array(d), pa.array(s.astype(np.int32)), pa.array(run.astype(np.int32)),
-                 pa.array(done)], ["hash", "class", "doc_id", "start", "run", "done"])
+                [signed(h), pa.array(c), pa.array(d), pa.array(place)], ["hash", "class", "doc_id", "place"])
 
-    return map_batches(reps, step, "hash long, class long, doc_id long, start int, run int, done boolean")
+    return map_batches(reps, step, "hash long, class long, doc_id long, place long")
 
 
 def _kept(window: int, full: bool):
@@ -207,8 +218,8 @@ def _kept(window: int, full: bool):
                 if copy and n >= window:
                     stay = []
                 elif runs.is_valid and len(runs.values):
-                    start = runs.values.field(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                    run = runs.values.field(1).to_numpy(zero_copy_only=False).astype(np.int64)
+                    start, run = np.divmod(runs.values.to_numpy(zero_copy_only=False), SIZES)
+                    run = np.maximum(run, 1)
                     cover = np.zeros(n + 1, np.int64)
                     np.add.at(cover, start, 1)
                     np.add.at(cover, start + run - 1 + window, -1)
@@ -238,10 +249,11 @@ def _joined(docs: DataFrame, window: int, rounds: int) -> DataFrame:
             break
     else:
         raise RuntimeError("text names clash")
-    found = written(text_symbols(texts.where("doc_id is not null"), window, rounds), "symbols")
-    shared = found.groupBy("symbol").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi")
-    own = found.join(shared.select("symbol"), "symbol", "left_anti").groupBy("class").agg(
-        F.collect_list(F.struct("low", "size")).alias("own"))
+    one = Window.partitionBy("symbol")
+    own = (text_symbols(texts.where("doc_id is not null"), window, rounds)
+           .select("class", "place", F.min("class").over(one).alias("lo"), F.max("class").over(one).alias("hi"),
+                   F.min("place").over(one).alias("least")).where("lo = hi and least >= 0")
+           .groupBy("class").agg(F.collect_list("place").alias("own")))
     reps = classes.select("class", "first").join(own, "class", "left").select(
         F.col("class").alias("c"), F.col("first").alias("d"), "own")
     base = texts.where("doc_id is not null").select("doc_id", "class", "text")
@@ -249,9 +261,9 @@ def _joined(docs: DataFrame, window: int, rounds: int) -> DataFrame:
         base.join(reps, (base["doc_id"] == F.col("d")) & (base["class"] == F.col("c")))
         .select("class", "doc_id", "text", "own"), window)
     same = Window.partitionBy("hash")
-    gone = windows.select("class", "start", "run", "done", "doc_id", F.min("doc_id").over(same).alias("least")).where(
-        "done or least < doc_id")
-    runs = gone.groupBy("class").agg(F.collect_list(F.struct("start", "run")).alias("runs"))
+    gone = windows.select("class", "place", "doc_id", F.min("doc_id").over(same).alias("least")).where(
+        F.expr(f"place % {SIZES} > 0 or least < doc_id"))
+    runs = gone.groupBy("class").agg(F.collect_list("place").alias("runs"))
     info = (marks.select("doc_id", "class").distinct().join(classes.select("class", "first"), "class")
             .join(runs, "class", "left").select(
                 F.col("doc_id").alias("d"), F.col("class").alias("c"), (F.col("doc_id") > F.col("first")).alias("copy"),
