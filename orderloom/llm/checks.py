@@ -1,5 +1,7 @@
 """SQL of the queries that SQL can express, in the checking engine's dialect."""
 
+from orderloom.llm.license_texts import KNOWN, SPELLINGS
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -34,3 +36,72 @@ SELECT words.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT A
        sha256(coalesce(t, '')) AS kept_sha256
 FROM words LEFT JOIN kept ON kept.doc_id = words.doc_id
 """
+
+VECTOR_LINKS = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[64] AS e FROM embeddings),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+          WHERE array_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM v UNION SELECT r.x, l.y FROM reach r JOIN links l ON l.x = r.y)
+SELECT v.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, component_id = v.vec_id AS kept FROM v
+LEFT JOIN (SELECT x, count(*) AS n FROM links GROUP BY 1) c ON c.x = v.vec_id
+JOIN (SELECT x, min(y) AS component_id FROM reach GROUP BY 1) r ON r.x = v.vec_id
+"""
+
+
+def _signatures(source: str, name: str, column: str) -> str:
+    """CTEs that end in ``name`` (doc_id, sigs): the sorted distinct hashes of a text column."""
+    return f"""
+{name}_w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower({column}), '[^\\p{{L}}\\p{{N}}]+'), lambda x : x <> '') AS w FROM {source}),
+{name}_p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM {name}_w),
+{name}_c AS (SELECT doc_id, i, w[i] AS x, i = 1 OR length(w[i - 1]) <= 3 OR length(w[i - 1]) = 7 AS starts FROM {name}_p
+             WHERE length(w[i]) > 3),
+{name}_s AS (SELECT doc_id, starts, x || ' ' || coalesce(lead(x) OVER q, '') || ' ' || coalesce(lead(x, 2) OVER q, '') AS chain
+             FROM {name}_c WINDOW q AS (PARTITION BY doc_id ORDER BY i)),
+{name} AS (SELECT {source}.doc_id, coalesce(list_sort(list(DISTINCT left(md5(chain), 8)) FILTER (WHERE starts)), []) AS sigs
+           FROM {source} LEFT JOIN {name}_s ON {name}_s.doc_id = {source}.doc_id GROUP BY 1)"""
+
+
+def _likeness(a: str, b: str) -> str:
+    return (f"CASE WHEN len({a}) + len({b}) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect({a}, {b}))::DOUBLE / "
+            f"(len({a}) + len({b}) - len(list_intersect({a}, {b}))) END")
+
+
+SPOT_SIGNATURES = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+n AS (SELECT doc_id, text, coalesce(lead(doc_id) OVER q, first(doc_id) OVER (ORDER BY doc_id DESC)) AS next_id FROM d
+      WINDOW q AS (ORDER BY doc_id DESC)),
+e AS (SELECT n.doc_id, n.next_id, length(n.text) AS n_chars,
+             left(n.text, length(n.text) - length(n.text) // 2) || left(m.text, length(n.text) // 2) AS edited
+      FROM n JOIN d m ON m.doc_id = n.next_id),
+{_signatures("d", "own", "text")},
+{_signatures("e", "alt", "edited")}
+SELECT e.doc_id, n_chars::BIGINT AS n_chars, sha256(edited) AS edited_sha256, array_to_string(own.sigs, '') AS fingerprint,
+       array_to_string(alt.sigs, '') AS edited_fingerprint, {_likeness("own.sigs", "alt.sigs")} AS near_edited,
+       {_likeness("own.sigs", "nxt.sigs")} AS near_next
+FROM e JOIN own USING (doc_id) JOIN alt USING (doc_id) JOIN own nxt ON nxt.doc_id = e.next_id
+"""
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _canonical(column: str) -> str:
+    line = r"(?m)^[^\p{L}\p{N}\n]*(?:©|\(c\)|copyright\s+(?:©|\(c\)|[0-9]|holder:)|all rights reserved)[^\n]*$"
+    out = f"regexp_replace(lower({column}), {_text(line)}, ' ', 'g')"
+    out = f"' ' || trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
+    for kept, other in SPELLINGS:
+        out = f"replace({out}, ' {other} ', ' {kept} ')"
+    return f"trim({out})"
+
+
+LICENSES = f"""
+WITH known AS (SELECT name, sha256({_canonical("t")}) AS h FROM (VALUES {", ".join(f"({_text(k)}, {_text(v)})" for k, v in KNOWN.items())}) k(name, t)),
+units AS (SELECT doc_id, true AS whole, coalesce(text, '') AS u FROM documents
+          UNION ALL SELECT doc_id, false, unnest(string_split(coalesce(text, ''), chr(10))) FROM documents),
+hits AS (SELECT doc_id, whole, name FROM (SELECT doc_id, whole, sha256({_canonical("u")}) AS h FROM units
+         WHERE regexp_matches(lower(u), 'licen|permi|software|redistribut|warrant|copyright')) JOIN known USING (h)),
+found AS (SELECT doc_id, min(name) FILTER (WHERE whole) AS license,
+                 array_to_string(list_sort(list(DISTINCT name) FILTER (WHERE NOT whole)), ',') AS notices FROM hits GROUP BY 1)
+SELECT d.doc_id, license, coalesce(notices, '') AS notices FROM documents d LEFT JOIN found ON found.doc_id = d.doc_id
+"""

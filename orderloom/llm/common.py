@@ -43,7 +43,7 @@ def text_bytes(column: str = "text") -> Column:
 
 def row_key(df: DataFrame) -> Column:
     """One number for equal rows; rows that differ in any column differ in it."""
-    return F.xxhash64(*[F.coalesce(df[c].cast("string"), F.lit("\x00null")) for c in df.columns])
+    return F.xxhash64(*[F.coalesce(df[f"`{c}`"].cast("string"), F.lit("\x00null")) for c in df.columns])
 
 
 def _byte_values(fold_case: bool) -> np.ndarray:
@@ -116,6 +116,18 @@ def named_slices(
         first = last
 
 
+def sampled(df: DataFrame, key: Column, limit: int, spare: int = 1) -> DataFrame:
+    """At most ``limit`` rows, those with the smallest keys (a hash) below a cut.
+
+    The cut leaves about ``2 * spare * limit`` rows, so what the tasks send does not grow with the
+    table; ``spare`` allows for filters that follow.
+    """
+    count = df.count()
+    cut = min(1.0, 2 * spare * limit / max(count, 1))
+    kept = df if cut == 1.0 else df.where(F.pmod(key, F.lit(1 << 31)) < int(cut * (1 << 31)))
+    return kept.orderBy(F.pmod(key, F.lit(1 << 31)), *df.columns).limit(limit)
+
+
 def mix(values: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (multiply, xor, shift), elementwise."""
     x = values ^ (values >> np.uint64(32))

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orderloom.llm import checks, curriculum, packing, parity, private_data, recompress, toxicity
+from orderloom.llm import (
+    checks, curriculum, lattice, licenses, packing, parity, private_data, recompress, resampling, spotsigs, toxicity,
+)
 from orderloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,3 +54,23 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return toxicity.scores(docs, toxicity.train(docs, table(spark, folder, "labels")))
+
+
+@query("op3_lattice_links", checks.VECTOR_LINKS)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return lattice.linked(table(spark, folder, "embeddings"))
+
+
+@query("op2_spot_signatures", checks.SPOT_SIGNATURES)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return spotsigs.edited_likeness(table(spark, folder, "documents"))
+
+
+@query("op1_importance_resampling")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return resampling.resample(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op5_license_digests", checks.LICENSES)
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
