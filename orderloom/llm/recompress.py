@@ -239,9 +239,11 @@ def _kept(window: int, full: bool):
 
 def _joined(docs: DataFrame, window: int, rounds: int) -> DataFrame:
     """doc_id, text (bytes), copy, runs and the other columns of every row."""
+    others = [docs[c] for c in docs.columns if c not in ("doc_id", "text")]
+    rest = [F.struct(*others).alias("_rest")] if others else []
     for seed in range(4):
         name, check = F.xxhash64(F.lit(seed), "text"), F.xxhash64("text", F.lit(seed))
-        texts = docs.withColumn("text", text_bytes()).withColumn("class", name)
+        texts = docs.select("doc_id", text_bytes().alias("text"), *rest).withColumn("class", name)
         marks = written(texts.where("doc_id is not null").select("doc_id", "class", check.alias("check")), "classes")
         classes = marks.groupBy("class").agg(
             F.min("doc_id").alias("first"), (F.min("check") != F.max("check")).alias("clash"))
@@ -268,13 +270,12 @@ def _joined(docs: DataFrame, window: int, rounds: int) -> DataFrame:
             .join(runs, "class", "left").select(
                 F.col("doc_id").alias("d"), F.col("class").alias("c"), (F.col("doc_id") > F.col("first")).alias("copy"),
                 F.when(F.col("doc_id") == F.col("first"), F.col("runs")).alias("runs")))
-    rest = [F.struct(*[texts[c] for c in docs.columns if c not in ("doc_id", "text")]).alias("_rest")] if set(
-        docs.columns) - {"doc_id", "text"} else []
-    left = base if not rest else texts.where("doc_id is not null").select("doc_id", "class", "text", *rest)
+    carried = ["_rest"] * bool(rest)
+    left = base if not rest else texts.where("doc_id is not null").select("doc_id", "class", "text", *carried)
     known = left.join(info, (left["doc_id"] == F.col("d")) & (left["class"] == F.col("c")), "left").select(
-        "doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "runs", *["_rest"] * bool(rest))
+        "doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "runs", *carried)
     return known.unionByName(texts.where("doc_id is null").select(
-        "doc_id", "text", *rest, F.lit(False).alias("copy"), F.lit(None).cast(known.schema["runs"].dataType).alias("runs")))
+        "doc_id", "text", *carried, F.lit(False).alias("copy"), F.lit(None).cast(known.schema["runs"].dataType).alias("runs")))
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
