@@ -12,9 +12,10 @@ differences one of the first D + 1 filled cells of two linked sets is equal (pig
 document offers these cells as join keys. The few documents with fewer filled cells offer all of
 them and, among themselves, the first shingles in hash order that any linked pair must share.
 
-Verification. Documents that share a key are compared with the smallest of them; then the groups
-that are still in several components are compared pair by pair inside blocks of bounded size. A
-pair first has to pass the bit sketches' Hamming bound, then the exact comparison of both texts.
+Verification. Documents that share a key are compared with the smallest of them. Groups that are
+still in several components then compare the closest pair of every two components, and what is left
+after that pair by pair, inside blocks of bounded size. A pair first has to pass the bit sketches'
+Hamming bound, then the exact comparison of both texts.
 Copies (equal sets) are one node throughout and leave a map task once, so a group of copies is
 never expanded. Nothing is dropped: every linked pair shares a key and is either compared or already
 in one component.
@@ -76,8 +77,8 @@ def cells_in(level: int) -> int:
 
 
 def bit_sketch(found: np.ndarray) -> bytes:
-    """Parity bits, two to four per shingle; folding halves the sketch of the next band onto this one."""
-    bits = max(64, 2 << band(len(found)))
+    """Parity bits, four to eight per shingle; folding halves the sketch of the next band onto this one."""
+    bits = max(64, 8 << band(len(found)))
     at = (mix(found + BIT) & np.uint64(bits - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).tobytes()
 
@@ -235,32 +236,42 @@ def _packed(sketches: list[bytes]) -> np.ndarray:
     return out
 
 
-def _close(left: tuple, right: tuple, inside: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of two blocks (node, comp, n, sketches) the pairs in several components that sizes and sketches allow."""
+def _close(left: tuple, right: tuple, inside: bool, percent: int, best: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Of two blocks (node, comp, n, sketches) the pairs in several components that sizes and sketches allow.
+
+    With ``best``, the closest pair of every two components only.
+    """
     (a, ca, na, sa), (b, cb, nb, sb) = left, right
     if sa.shape[1] != sb.shape[1]:
         wide, width = (sa, sb.shape[1]) if sa.shape[1] > sb.shape[1] else (sb, sa.shape[1])
         while wide.shape[1] > width:
             wide = wide[:, : wide.shape[1] // 2] ^ wide[:, wide.shape[1] // 2 :]
         sa, sb = (wide, sb) if sa.shape[1] > width else (sa, wide)
-    out_a, out_b = [], []
+    out_a, out_b, far = [], [], []
     for k in range(len(a)):
         m = slice(k + 1, None) if inside else slice(None)
         allowed = (na[k] + nb[m]) * (100 - percent) // (100 + percent)
         fine = (cb[m] != ca[k]) & (100 * np.minimum(na[k], nb[m]) >= percent * np.maximum(na[k], nb[m]))
         if fine.any():
             at = np.flatnonzero(fine)
-            near = np.bitwise_count(sb[m][at] ^ sa[k]).sum(1) <= allowed[at]
-            hits = b[m][at[near]]
-            out_a.append(np.full(len(hits), a[k]))
-            out_b.append(hits)
+            differ = np.bitwise_count(sb[m][at] ^ sa[k]).sum(1)
+            near = differ <= allowed[at]
+            hits = at[near]
+            out_a.append(np.full(len(hits), k))
+            out_b.append(hits + (k + 1 if inside else 0))
+            far.append(differ[near] / (na[k] + nb[m][hits]))
     if not out_a:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    x, y = np.concatenate(out_a), np.concatenate(out_b)
-    return np.minimum(x, y), np.maximum(x, y)
+    i, j = np.concatenate(out_a), np.concatenate(out_b)
+    if best and len(i):
+        lo, hi = np.minimum(ca[i], cb[j]), np.maximum(ca[i], cb[j])
+        order = np.lexsort((np.concatenate(far), hi, lo))
+        first = np.append(True, (lo[order][1:] != lo[order][:-1]) | (hi[order][1:] != hi[order][:-1]))
+        i, j = i[order[first]], j[order[first]]
+    return np.minimum(a[i], b[j]), np.maximum(a[i], b[j])
 
 
-def block_pairs(dealt: DataFrame, percent: int) -> DataFrame:
+def block_pairs(dealt: DataFrame, percent: int, best: bool) -> DataFrame:
     """(a, b) from rows sorted by (grp, lo, hi, block): one pass that holds two blocks at a time."""
 
     def step(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +288,7 @@ def block_pairs(dealt: DataFrame, percent: int) -> DataFrame:
                 parts.append((np.array(node), np.array(comp), np.array(n), _packed(list(sketch))))
             if key[1] != key[2] and len(parts) < 2:
                 return None
-            a, b = _close(parts[0], parts[-1], key[1] == key[2], percent)
+            a, b = _close(parts[0], parts[-1], key[1] == key[2], percent, best)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"]) if len(a) else None
 
         for batch in source:
@@ -296,6 +307,25 @@ def block_pairs(dealt: DataFrame, percent: int) -> DataFrame:
         step, "a long, b long", 4096)
 
 
+def _torn_groups(members: DataFrame, found: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Groups in several components, dealt out so that one task holds two blocks of a group.
+
+    The smallest member has met all others and stays out.
+    """
+    placed = members.where("head <> node").join(found.withColumnRenamed("id", "node"), "node", "left").select(
+        "grp", "node", F.coalesce("component", "node").alias("comp"))
+    torn = placed.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")
+                                     ).where("lo < hi").select("grp", "size")
+    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
+    placed = placed.join(torn, "grp").join(nodes.select("node", "n", "sketch"), "node").select(
+        "grp", "node", "comp", "n", "sketch", blocks.alias("blocks"),
+        F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
+    # A member meets every block of its group once.
+    return written(placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "grp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "comp",
+        "n", "sketch"), "torn")
+
+
 def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every document row."""
     for seed in range(4):
@@ -322,25 +352,17 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     edges = written(_verified(stars, nodes, docs, seed, percent, repeated_ids), "edges")
     found = components(edges)
 
-    # Groups that the stars left in several components.
-    # In these the smallest member has met all others.
-    placed = members.where("head <> node").join(found.withColumnRenamed("id", "node"), "node", "left").select(
-        "grp", "node", F.coalesce("component", "node").alias("comp"))
-    torn = placed.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")
-                                     ).where("lo < hi").select("grp", "size")
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    placed = written(placed.join(torn, "grp").join(nodes.select("node", "n", "sketch"), "node").select(
-        "grp", "node", "comp", "n", "sketch", blocks.alias("blocks"),
-        F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block")), "torn")
-    if not placed.isEmpty():
-        # A member meets every block of its group once; one task holds two blocks.
-        dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-            "grp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
-            "block", "node", "comp", "n", "sketch")
-        more = block_pairs(dealt, percent).distinct()
-        more = written(more.join(stars, ["a", "b"], "left_anti"), "pairs")
+    # Groups that the stars left in several components: closest pairs first, then all of what is left.
+    tested = stars
+    for best in (True, False):
+        dealt = _torn_groups(members, found, nodes)
+        if dealt.isEmpty():
+            break
+        more = block_pairs(dealt, percent, best).distinct()
+        more = written(more.join(tested, ["a", "b"], "left_anti"), "pairs")
         if not more.isEmpty():
             edges = edges.union(written(_verified(more, nodes, docs, seed, percent, repeated_ids), "edges"))
+            tested = tested.union(more)
             found = components(edges)
 
     firsts = nodes.select("node", "first_doc").join(found.withColumnRenamed("id", "node"), "node", "left").select(
@@ -356,10 +378,10 @@ def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One document of each group: the one with the smallest doc_id. Documents without words stay."""
     found = written(linked(docs, percent), "linked")
     dropped = found.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(dropped, F.col("doc_id") == F.col("_id"), "left_anti")
-    repeated = found.groupBy("doc_id").count().where("count > 1 and doc_id is not null")
-    if repeated.isEmpty():
+    kept = docs.join(dropped, docs["doc_id"] == dropped["_id"], "left_anti")
+    again = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("n_shingles").alias("most")).where(
+        "rows > 1 and most > 0 and doc_id is not null").select(F.col("doc_id").alias("_again"))
+    if again.isEmpty():
         return kept
-    again = repeated.select(F.col("doc_id").alias("_id"))
-    return kept.join(again, F.col("doc_id") == F.col("_id"), "left_anti").unionByName(
-        kept.join(again, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"]))
+    return kept.join(again, kept["doc_id"] == again["_again"], "left_anti").unionByName(
+        kept.join(again, kept["doc_id"] == again["_again"], "left_semi").dropDuplicates(["doc_id"]))
