@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from orderloom.functions.vocabulary import NO_ASPECT
 
 MICROS_PER_DAY = 86_400_000_000.0
+# A string, None, a truth value or a number, as lists of aspects are written out.
+LITERAL = r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|None|True|False|[-+]?[0-9]+(?:\.[0-9]+)?"""
 
 
 def delay_days(delivered: Column, estimated: Column) -> Column:
@@ -35,12 +37,19 @@ def expected_sentiment(score: Column) -> Column:
 
 
 def parse_aspects(cell: Column, fallback: str = NO_ASPECT) -> Column:
-    """Aspect array from a string cell: a quoted list, a bare name, blank or NULL."""
+    """Aspect array from a string cell: a list of literals, one literal, a bare name, blank or NULL.
+
+    A quoted item ends at the quote it began with; escaped characters stand for themselves.
+    """
     text = F.trim(cell)
-    listed = F.from_json(F.translate(text, "'", '"'), "array<string>")
+    items = F.regexp_extract_all(text, F.lit(LITERAL), F.lit(0))
+    plain = F.transform(items, lambda x: F.when(
+        x.rlike("^['\"]"), F.regexp_replace(F.substr(x, F.lit(2), F.length(x) - 2), r"\\(.)", "$1")).otherwise(x))
+    many = rf"(?:{LITERAL})\s*(?:,\s*(?:{LITERAL})\s*)*,?\s*"
+    listed = text.rlike(rf"^[\[(]\s*(?:{many})?[\])]$|^(?:{LITERAL})$")
     return F.coalesce(
-        F.when(F.size(listed) > 0, listed),
-        F.when((F.length(text) > 0) & ~text.rlike(r"^\[\s*\]$"), F.array(cell)),
+        F.when(listed & (F.size(plain) > 0), plain),
+        F.when(~listed & (F.length(text) > 0), F.array(cell)),
         F.array(F.lit(fallback)),
     )
 

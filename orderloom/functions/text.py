@@ -16,20 +16,29 @@ BETWEEN_WORDS = r"[^\p{L}\p{N}_]+"
 
 
 @lru_cache(maxsize=1)
-def _accent_table() -> tuple[str, str]:
-    """Accented Latin letters and their base letters, derived from Unicode decompositions."""
-    accented, plain = [], []
-    for code in (*range(0x00C0, 0x0250), *range(0x1E00, 0x1F00)):
-        base = [c for c in unicodedata.normalize("NFD", chr(code)) if unicodedata.category(c) != "Mn"]
-        if len(base) == 1 and base[0] != chr(code) and base[0].isascii():
-            accented.append(chr(code))
-            plain.append(base[0])
-    return "".join(accented), "".join(plain)
+def _plain_forms() -> tuple[str, str, dict[str, str]]:
+    """Characters whose compatibility decomposition has one ASCII character, those characters, and
+    the few that stand for several (ligatures, fractions, signs)."""
+    marked, plain, several = [], [], {}
+    for code in (*range(0x00A0, 0xD800), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F200)):
+        letter = chr(code)
+        ascii_ = "".join(c for c in unicodedata.normalize("NFKD", letter) if c.isascii())
+        if len(ascii_) == 1:
+            marked.append(letter)
+            plain.append(ascii_)
+        elif ascii_:
+            several[letter] = ascii_
+    return "".join(marked), "".join(plain), several
 
 
 def unaccent(text: Column) -> Column:
-    accented, plain = _accent_table()
-    return F.regexp_replace(F.translate(text, accented, plain), r"\p{Mn}", "")
+    """Compatibility forms and accented letters as their ASCII characters; combining marks go."""
+    marked, plain, several = _plain_forms()
+    known = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    spelled = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(known, c), c)), "")
+    # Texts with such characters are rare; only they are taken apart.
+    whole = F.when(text.rlike(f"[{''.join(several)}]"), spelled).otherwise(text)
+    return F.regexp_replace(F.translate(whole, marked, plain), r"\p{Mn}", "")
 
 
 def fold(text: Column) -> Column:

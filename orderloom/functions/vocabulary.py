@@ -168,6 +168,8 @@ SECRET_PATTERNS = (
 )
 WINDOWS_PATH = r"""[A-Za-z]:[\\/](?:[^\s'"`\\/]+[\\/])*([^\s'"`\\/]*)"""
 UNIX_PATH = r"""(?<![\w.])/(?:[^\s'"`/]+/)+([^\s'"`/]*)"""
+HIDDEN_PATHS = (r"""[A-Za-z]:[\\/][^\s"'`]*""", r"(?<![\w.])/(?:[\w.-]+/)+[\w.-]*")
+HIDDEN_PATH = "<path>"
 EVENT_TYPES = (
     "sql_blocked", "sql_sandbox_denied", "rate_limited",
     "request_too_large", "prompt_injection_suspected", "integrity_mismatch",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orderloom.functions import vocabulary as v
@@ -20,8 +20,7 @@ def clean_turns(
     """User and assistant turns with text: the last ``keep`` of each conversation, clipped.
 
     The row number is limited while rows are still unshuffled (group limit), so a
-    conversation of any length sends at most ``keep`` rows per task. Everything below
-    works on cleaned turns, whose conversations are short.
+    conversation of any length sends at most ``keep`` rows per task.
     """
     spoken = turns.where(F.col("role").isin("user", "assistant") & (F.length(F.regexp_replace("text", r"\s+", "")) > 0))
     rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
@@ -29,6 +28,35 @@ def clean_turns(
         *TURN, "role", F.substring("text", 1, clip).alias("text"))
 
 
+def spoken_turns(turns: DataFrame) -> DataFrame:
+    """All user and assistant turns with text, whole."""
+    return turns.where(
+        F.col("role").isin("user", "assistant") & (F.length(F.regexp_replace("text", r"\s+", "")) > 0)
+    ).select(*TURN, "role", "text")
+
+
+def carried(df: DataFrame, value: Column, name: str, cell: int = 256) -> DataFrame:
+    """Add the last known ``value`` at or before each turn of its conversation.
+
+    Turns are cut into cells of ``cell`` turn numbers. A window never holds more than a cell, and
+    the cells of a conversation hand over one value each, so a conversation of any length is
+    shared by many tasks.
+    """
+    staged = df.withColumn("_value", value).withColumn("_cell", F.floor(F.col("turn") / F.lit(cell)))
+    ends = staged.where(F.col("_value").isNotNull()).groupBy("conv_id", "_cell").agg(
+        F.max_by("_value", "turn").alias("_end"))
+    cells = staged.select("conv_id", "_cell").distinct().join(ends, ["conv_id", "_cell"], "left")
+    earlier = Window.partitionBy("conv_id").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select(
+        F.col("conv_id").alias("_conv"), F.col("_cell").alias("_of"),
+        F.last("_end", ignorenulls=True).over(earlier).alias("_before"))
+    inside = Window.partitionBy("conv_id", "_cell").orderBy("turn").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    here = staged.withColumn("_inside", F.last("_value", ignorenulls=True).over(inside))
+    return here.join(cells, F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("_cell").eqNullSafe(F.col("_of"))).select(
+        *df.columns, F.coalesce("_inside", "_before").alias(name))
+
+
 def chat_normalise(text: Column) -> Column:
     """Lower case without accents, repeats of three or more collapsed, symbols to spaces."""
     plain = unaccent(F.lower(text))
@@ -68,12 +96,18 @@ def project_vocabulary(
     return direct.unionByName(words).distinct()
 
 
-def mentions(turns: DataFrame, vocabulary: DataFrame, max_phrase_words: int = 6, min_prefix: int = 4) -> DataFrame:
+def mentions(turns: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Keys of the turns that use the vocabulary.
 
-    Every turn offers its words, the beginnings of its words and its short word runs;
-    one equi-join against the vocabulary decides.
+    Every turn offers its words, and the beginnings and word runs of the lengths that the
+    vocabulary's prefixes and phrases have (a few numbers on the driver); one equi-join against the
+    vocabulary decides.
     """
+    measure = F.when(F.col("kind") == "phrase", F.size(words_of(F.col("term")))).otherwise(F.length("term"))
+    lengths: dict[str, list[int]] = {"phrase": [], "prefix": []}
+    for row in vocabulary.where("kind <> 'exact'").select("kind", measure.alias("n")).distinct().collect():
+        lengths[row.kind].append(row.n)
+
     def runs_of(words: Column, size: int) -> Column:
         """All runs of ``size`` neighbouring words."""
         starts = F.sequence(F.lit(1), F.size(words) - size + 1)
@@ -81,12 +115,13 @@ def mentions(turns: DataFrame, vocabulary: DataFrame, max_phrase_words: int = 6,
             starts, lambda i: F.array_join(F.slice(words, i, F.lit(size)), " "))).otherwise(F.array().cast("array<string>"))
 
     def runs(words: Column) -> Column:
-        return F.flatten(F.array(*[runs_of(words, size) for size in range(1, max_phrase_words + 1)]))
+        return F.flatten(F.array(F.array().cast("array<string>"), *[runs_of(words, n) for n in sorted(lengths["phrase"])]))
+
+    def starts_of(words: Column, size: int) -> Column:
+        return F.transform(F.filter(words, lambda w: F.length(w) >= size), lambda w: F.left(w, F.lit(size)))
 
     def beginnings(words: Column) -> Column:
-        long = F.filter(words, lambda w: F.length(w) >= min_prefix)
-        return F.flatten(F.transform(long, lambda w: F.transform(
-            F.sequence(F.lit(min_prefix), F.length(w)), lambda i: F.left(w, i))))
+        return F.flatten(F.array(F.array().cast("array<string>"), *[starts_of(words, n) for n in sorted(lengths["prefix"])]))
 
     def offer(kind: str, items: Column) -> Column:
         return F.transform(F.array_distinct(items), lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("term")))
@@ -113,9 +148,9 @@ def classify_turns(
     farewells: Sequence[str] = v.FAREWELL_WORDS, farewell_cues: Sequence[str] = v.FAREWELL_CUES,
     capabilities: Sequence[str] = v.CAPABILITY_PATTERNS, follow_ups: Sequence[str] = v.FOLLOW_UP_CUES,
     small_talk_words: int = v.SMALL_TALK_MAX_WORDS, follow_up_words: int = v.FOLLOW_UP_MAX_WORDS,
-    anywhere: Sequence[str] = tuple(t for t in v.DOMAIN_TERMS if "$" in t), max_phrase_words: int = 6,
+    anywhere: Sequence[str] = tuple(t for t in v.DOMAIN_TERMS if "$" in t),
 ) -> DataFrame:
-    """Intent of every cleaned turn. Terms of ``anywhere`` count inside words, too.
+    """Intent of every turn. Terms of ``anywhere`` count inside words, too.
 
     A short follow-up takes over the last real intent (project or off topic) of its
     conversation. Since the copy equals what it copies, the carry is the last known
@@ -123,7 +158,7 @@ def classify_turns(
     """
     normed = turns.withColumn("norm", chat_normalise(F.col("text")))
     users = normed.where("role = 'user'").select(*TURN, "norm")
-    hit = mentions(users, vocabulary, max_phrase_words).withColumn("mentions", F.lit(True))
+    hit = mentions(users, vocabulary).withColumn("mentions", F.lit(True))
     words = F.col("_words")
     norm = F.col("norm")
     capable = F.lit(False)
@@ -144,21 +179,17 @@ def classify_turns(
     user_intent = F.when(F.col("role") == "user", own)
     staged = normed.join(hit, list(TURN), "left").withColumn("_words", words_of(norm)).withColumn("_own", user_intent)
     real = F.when(F.col("_own").isin("project", "off_topic"), F.col("_own"))
-    before: WindowSpec = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    carried = F.coalesce(F.last(real, ignorenulls=True).over(before), F.lit("off_topic"))
     intent = (
         F.when(F.col("role") != "user", "project")
-        .when(F.col("_own") == "follow_up", carried)
+        .when(F.col("_own") == "follow_up", F.coalesce("_known", F.lit("off_topic")))
         .otherwise(F.col("_own")))
-    return staged.select(*TURN, "role", "text", intent.alias("intent"))
+    return carried(staged, real, "_known").select(*TURN, "role", "text", intent.alias("intent"))
 
 
 def model_history(classified: DataFrame) -> DataFrame:
     """Project questions and the answers that follow them."""
-    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last_user = F.last(F.when(F.col("role") == "user", F.col("intent")), ignorenulls=True).over(before)
-    return classified.withColumn("_last", last_user).where(F.col("_last") == "project").drop("_last")
+    last_user = F.when(F.col("role") == "user", F.col("intent"))
+    return carried(classified, last_user, "_last").where(F.col("_last") == "project").drop("_last")
 
 
 def injection_matches(text: Column, patterns: Mapping[str, str] = v.INJECTION_PATTERNS) -> Column:

@@ -10,42 +10,85 @@ from pyspark.sql import types as T
 
 from orderloom.operators.quality import union_all
 
-SEPARATOR = "\x1f"
-NULL_MARK = "\x00"
+LIMBS = 4                    # a digest's 256 bits are summed as four 64-bit numbers
 
 
-def canonical_text(df: DataFrame) -> list[Column]:
-    """Every column, by name, as text that does not depend on partitioning or engine settings."""
-    cells = []
-    for field in sorted(df.schema.fields, key=lambda f: f.name):
-        column = F.col(f"`{field.name}`")
-        if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            text = column.cast("decimal(38,6)").cast("string")
-        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
-            text = F.to_json(column)
-        else:
-            text = column.cast("string")
-        cells.append(F.coalesce(text, F.lit(NULL_MARK)))
-    return cells
+def cell_text(column: Column, kind: T.DataType) -> Column:
+    """A value as text that keeps all of it and does not depend on engine settings; NULL stays NULL.
+
+    Integers, decimals and strings stand for themselves. A double is its exact value (a whole
+    multiple of a power of two), with NaN, the infinities and both zeros apart. Times are
+    microseconds, dates days; nested values list their parts.
+    """
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return exact_double(column.cast("double"))
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(column).cast("string")
+    if isinstance(kind, T.TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), column).cast("string")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(column).cast("string")
+    if isinstance(kind, T.BinaryType):
+        return F.hex(column)
+    if isinstance(kind, T.ArrayType):
+        return F.concat(F.lit("["), F.array_join(F.transform(column, lambda x: framed(cell_text(x, kind.elementType))), ""),
+                        F.lit("]"))
+    if isinstance(kind, T.MapType):
+        entries = T.ArrayType(T.StructType([T.StructField("key", kind.keyType), T.StructField("value", kind.valueType)]))
+        return cell_text(F.array_sort(F.map_entries(column)), entries)
+    if isinstance(kind, T.StructType):
+        parts = F.concat(*[framed(cell_text(column[f.name], f.dataType)) for f in kind.fields], F.lit("}"))
+        return F.when(column.isNotNull(), F.concat(F.lit("{"), parts))
+    return column.cast("string")
+
+
+def exact_double(value: Column) -> Column:
+    """Sign, whole mantissa and binary exponent of a double.
+
+    ``frexp`` by halving: the exponent comes from the logarithm and is corrected by one step, the
+    mantissa times 2**53 is whole. Scaling goes in two steps, so tiny and huge values stay finite.
+    """
+    size = F.abs(value)
+    guess = F.floor(F.log2(size)).cast("int")
+    half = F.floor(guess / 2).cast("int")
+    scaled = size / F.pow(F.lit(2.0), half) / F.pow(F.lit(2.0), guess - half)
+    fix = F.when(scaled >= 2.0, 1).when(scaled < 1.0, -1).otherwise(0)
+    mantissa = (scaled / F.pow(F.lit(2.0), fix) * F.lit(2.0**52)).cast("long")
+    sign = F.when(value < 0, "-").otherwise("")
+    plain = F.concat(sign, mantissa.cast("string"), F.lit("p"), (guess + fix).cast("string"))
+    return (F.when(value.isNull(), F.lit(None).cast("string")).when(F.isnan(value), "nan")
+            .when(size == float("inf"), F.concat(sign, F.lit("inf")))
+            .when(value == 0, F.when(value.cast("string") == "-0.0", "-0").otherwise("0")).otherwise(plain))
+
+
+def framed(text: Column) -> Column:
+    """Length and text, so that no neighbour can be mistaken for a part of it; NULL has a mark of its own."""
+    return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("~"))
 
 
 def row_digest(df: DataFrame) -> Column:
-    return F.sha2(F.concat_ws(SEPARATOR, *canonical_text(df)), 256)
+    """SHA-256 over all columns, by name."""
+    fields = sorted(df.schema.fields, key=lambda f: f.name)
+    return F.sha2(F.concat(*[framed(cell_text(F.col(f"`{f.name}`"), f.dataType)) for f in fields]), 256)
 
 
-def digest_number(digest: Column) -> Column:
-    """The first 60 bits of a hex digest as an exact number."""
-    return F.conv(F.left(digest, F.lit(15)), 16, 10).cast("decimal(38,0)")
+def layout(df: DataFrame) -> str:
+    """Column names and types, by name."""
+    return ",".join(f"{f.name} {f.dataType.simpleString()}" for f in sorted(df.schema.fields, key=lambda f: f.name))
 
 
 def table_fingerprint(df: DataFrame, name: str) -> DataFrame:
-    """(name, rows, fingerprint): the sum of the row digests.
+    """(name, rows, fingerprint): the sums of the row digests' quarters, and a digest of the layout.
 
-    A sum does not depend on row order, and unlike a parity it notices repeated rows.
+    A sum does not depend on row order, and unlike a parity it notices repeated rows. A table
+    without columns counts its rows only.
     """
-    return df.select(digest_number(row_digest(df)).alias("d")).agg(
-        F.count("*").alias("rows"), F.coalesce(F.sum("d"), F.lit(0)).cast("string").alias("fingerprint"),
-    ).select(F.lit(name).alias("name"), "rows", "fingerprint")
+    limbs = [F.conv(F.substring("d", 16 * k + 1, 16), 16, 10).cast("decimal(20,0)") for k in range(LIMBS)]
+    sums = [F.coalesce(F.sum(x), F.lit(0)).cast("string") for x in limbs]
+    digests = df.select(row_digest(df).alias("d")) if df.columns else df.select(F.lit("0" * 64).alias("d"))
+    return digests.agg(F.count("*").alias("rows"), F.concat_ws("-", *sums).alias("sums")).select(
+        F.lit(name).alias("name"), "rows",
+        F.concat("sums", F.lit("-"), F.left(F.sha2(F.lit(layout(df)), 256), F.lit(16))).alias("fingerprint"))
 
 
 def manifest(tables: Mapping[str, DataFrame]) -> DataFrame:

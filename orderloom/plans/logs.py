@@ -7,7 +7,9 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderloom.functions.vocabulary import FOLLOW_UP_CUES, INJECTION_PATTERNS
+from orderloom.functions.vocabulary import (
+    FOLLOW_UP_CUES, GENERIC_WORDS, HISTORY_MESSAGES, INJECTION_PATTERNS, MESSAGE_CHARS,
+)
 from orderloom.operators import conversations, requests, reviews_text
 from orderloom.plans.base import Registry
 from orderloom.plans.text import NEGATIVE, POSITIVE
@@ -18,13 +20,12 @@ from orderloom.streaming import limiter, scoring
 LOGS = Registry()
 add = LOGS.add
 
-LAST = 4  # conversations here have up to eight turns
 TERMS = ("order", "ertion", "keit", "theorou", "von", "le", "of the", "in-der", "review")
 SALT = "orderloom"
 
 
 def turns(star: TradeStar) -> DataFrame:
-    return conversations.clean_turns(star.raw("conversations"), LAST)
+    return conversations.clean_turns(star.raw("conversations"))
 
 
 def names(star: TradeStar) -> DataFrame:
@@ -40,7 +41,7 @@ def vocabulary(star: TradeStar) -> DataFrame:
 
 
 def classified(star: TradeStar) -> DataFrame:
-    return conversations.classify_turns(turns(star), vocabulary(star))
+    return conversations.classify_turns(conversations.spoken_turns(star.raw("conversations")), vocabulary(star))
 
 
 def check_normalise(text: str) -> str:
@@ -57,10 +58,11 @@ def plain(term: str) -> str:
     return re.sub(r"\s+", " ", re.sub(r"[^a-z0-9$%'\s-]", " ", term.lower())).strip()
 
 
-CHECK_TURNS = f""", ct AS (SELECT conv_id, turn, role, substring(text, 1, 4000) AS text FROM conversations
+CHECK_TURNS = f""", ct AS (SELECT conv_id, turn, role, substring(text, 1, {MESSAGE_CHARS}) AS text FROM conversations
   WHERE role IN ('user', 'assistant') AND length(regexp_replace(text, '\\s+', '', 'g')) > 0
-  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= {LAST}),
-nm AS (SELECT *, {check_normalise('text')} AS norm FROM ct)"""
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= {HISTORY_MESSAGES})"""
+CHECK_SPOKEN = f""", nm AS (SELECT *, {check_normalise('text')} AS norm FROM conversations
+  WHERE role IN ('user', 'assistant') AND length(regexp_replace(text, '\\s+', '', 'g')) > 0)"""
 CHECK_VOCABULARY = f""", li(term) AS (VALUES {', '.join(f"('{plain(t)}')" for t in TERMS)}),
 na AS (SELECT DISTINCT {check_normalise("regexp_replace(name, '[_/]', ' ', 'g')")} AS term FROM (
   SELECT p_type AS name FROM part UNION SELECT c_mktsegment FROM customer UNION SELECT n_name FROM nation UNION SELECT p_name FROM part)),
@@ -69,9 +71,8 @@ voc AS (SELECT 'phrase' AS kind, term FROM li WHERE regexp_matches(term, '[ $-]'
   UNION SELECT 'prefix', term FROM li WHERE NOT regexp_matches(term, '[ $-]') AND length(term) >= 4
   UNION SELECT 'exact', term FROM li WHERE NOT regexp_matches(term, '[ $-]') AND length(term) < 4
   UNION SELECT 'exact', term FROM na WHERE NOT regexp_matches(term, '[ $-]') AND length(term) >= 5
-  UNION SELECT 'exact', term FROM nw WHERE length(term) >= 5 AND term NOT IN ('small', 'stuff', 'general', 'interest', 'other', 'others', 'house', 'fixed',
-    'games', 'tools', 'drinks', 'music', 'books', 'party', 'christmas', 'supplies', 'signaling', 'security'))"""
-CHECK_INTENTS = CHECK_TURNS + CHECK_VOCABULARY + f""", tw AS (SELECT conv_id, turn, norm, unnest(string_split(norm, ' ')) AS w FROM nm WHERE role = 'user'),
+  UNION SELECT 'exact', term FROM nw WHERE length(term) >= 5 AND term NOT IN ({', '.join(f"'{w}'" for w in GENERIC_WORDS)}))"""
+CHECK_INTENTS = CHECK_SPOKEN + CHECK_VOCABULARY + f""", tw AS (SELECT conv_id, turn, norm, unnest(string_split(norm, ' ')) AS w FROM nm WHERE role = 'user'),
 hit AS (SELECT conv_id, turn FROM tw JOIN voc ON kind = 'exact' AND w = term
   UNION SELECT conv_id, turn FROM tw JOIN voc ON kind = 'prefix' AND starts_with(w, term)
   UNION SELECT conv_id, turn FROM nm JOIN voc ON kind = 'phrase' AND contains(' ' || norm || ' ', ' ' || term || ' ') WHERE role = 'user'),

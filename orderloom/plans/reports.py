@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -217,19 +219,58 @@ add("dataset_facts", lambda s: reporting.dataset_facts({
 
 # --- fingerprints ------------------------------------------------------------------------
 FINGERPRINTED = {
-    "nation": ("n_name", "n_nationkey", "n_regionkey"),
-    "orders": ("o_custkey", "o_orderdate", "o_orderkey", "o_orderpriority", "o_orderstatus", "o_totalprice"),
-    "documents": ("doc_id", "lang", "n_chars", "source", "text"),
-    "supplier": ("s_acctbal", "s_name", "s_nationkey", "s_suppkey"),
+    "region": "r_name string, r_regionkey int",
+    "nation": "n_name string, n_nationkey int, n_regionkey int",
+    "customer": "c_acctbal double, c_custkey bigint, c_mktsegment string, c_name string, c_nationkey int",
+    "supplier": "s_acctbal double, s_name string, s_nationkey int, s_suppkey bigint",
+    "part": "p_brand string, p_name string, p_partkey bigint, p_retailprice double, p_size int, p_type string",
+    "orders": "o_custkey bigint, o_orderdate timestamp_ntz, o_orderkey bigint, o_orderpriority string, o_orderstatus string, "
+              "o_totalprice double",
+    "lineitem": "l_discount double, l_extendedprice double, l_linenumber int, l_linestatus string, l_orderkey bigint, "
+                "l_partkey bigint, l_quantity double, l_returnflag string, l_shipdate timestamp_ntz, l_suppkey bigint, l_tax double",
+    "events": "event_id bigint, event_type string, props string, ts timestamp_ntz, user_id bigint, value double",
+    "documents": "doc_id bigint, lang string, n_chars bigint, source string, text string",
+    "embeddings": "embedding array<float>, label int, vec_id bigint",
+    "pages": "html string, page_id bigint, url string",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "conversations": "conv_id bigint, role string, text string, turn bigint",
 }
-FLOATS = ("o_totalprice", "s_acctbal")
+
+
+def check_double(x: str) -> str:
+    g = f"floor(log2(abs({x})))"
+    h = f"floor({g} / 2)"
+    scaled = f"(abs({x}) / pow(2.0::DOUBLE, {h}) / pow(2.0::DOUBLE, {g} - {h}))"
+    fix = f"(CASE WHEN {scaled} >= 2 THEN 1 WHEN {scaled} < 1 THEN -1 ELSE 0 END)"
+    sign = f"CASE WHEN {x} < 0 THEN '-' ELSE '' END"
+    return (f"CASE WHEN {x} IS NULL THEN NULL WHEN isnan({x}) THEN 'nan' WHEN isinf({x}) THEN {sign} || 'inf' "
+            f"WHEN {x} = 0 THEN CASE WHEN ({x})::VARCHAR LIKE '-%' THEN '-0' ELSE '0' END ELSE {sign} || "
+            f"({scaled} / pow(2.0::DOUBLE, {fix}) * pow(2.0::DOUBLE, 52))::BIGINT || 'p' || ({g}::INT + {fix}) END")
+
+
+def check_framed(text: str) -> str:
+    return f"coalesce(length({text}) || ':' || {text}, '~')"
+
+
+def check_cell(name: str, kind: str) -> str:
+    if kind == "double":
+        return check_double(name)
+    if kind == "timestamp_ntz":
+        return f"epoch_us({name})::VARCHAR"
+    if kind == "array<float>":
+        return f"'[' || array_to_string(list_transform({name}, lambda x : {check_framed(check_double('x::DOUBLE'))}), '') || ']'"
+    return f"{name}::VARCHAR"
 
 
 def check_fingerprint(table: str, source: str | None = None) -> str:
-    cells = ", ".join(
-        f"coalesce({f'CAST({c} AS DECIMAL(38,6))::VARCHAR' if c in FLOATS else f'{c}::VARCHAR'}, chr(0))" for c in FINGERPRINTED[table])
-    return (f"SELECT '{table}' AS name, count(*) AS rows, "
-            f"sum(('0x' || left(sha256(concat_ws(chr(31), {cells})), 15))::BIGINT)::VARCHAR AS fingerprint FROM {source or table}")
+    fields = [f.split(" ") for f in FINGERPRINTED[table].split(", ")]
+    cells = ", ".join(check_framed(f"({check_cell(*f)})") for f in fields)
+    layout = hashlib.sha256(",".join(" ".join(f) for f in fields).encode()).hexdigest()[:16]
+    sums = " || '-' || ".join(
+        f"coalesce(sum(('0x' || substr(d, {16 * k + 1}, 16))::UBIGINT), 0)::VARCHAR" for k in range(4))
+    return (f"SELECT '{table}' AS name, count(*) AS rows, {sums} || '-{layout}' AS fingerprint "
+            f"FROM (SELECT sha256(concat({cells})) AS d FROM {source or table})")
 
 
 add("table_fingerprint", lambda s: fingerprint.manifest({t: s.raw(t) for t in FINGERPRINTED}),

@@ -142,6 +142,36 @@ def test_fingerprint_sees_one_digit_and_repeated_rows(spark):
     assert mark(base) != mark(spark.createDataFrame([("a", None), ("b", 0.5)], "c string, r double"))
 
 
+def test_fingerprint_keeps_every_difference(spark):
+    mark = lambda rows, schema: fingerprint.table_fingerprint(spark.createDataFrame(rows, schema), "t").first().fingerprint
+    doubles = [0.0, -0.0, 1e-9, 5e-324, -5e-324, 1e33, 1.7976931348623157e308, float("nan"), float("inf"), float("-inf"), None,
+               1.0, 1.0000000000000002, 0.1, 2.0**60, 3.141592653589793]
+    marks = [mark([(d,)], "x double") for d in doubles]
+    assert len(set(marks)) == len(marks)
+    assert marks == [mark([(d,)], "x double") for d in doubles]
+    assert mark([("a\x1fb", "c")], "x string, y string") != mark([("a", "b\x1fc")], "x string, y string")
+    assert mark([("", None)], "x string, y string") != mark([(None, "")], "x string, y string")
+    assert mark([(1,)], "x int") != mark([(1,)], "x bigint") != mark([(1,)], "y bigint")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    times = spark.sql("SELECT timestamp_micros(1700000000000001) AS t, array(1.5D, null) AS a, map('k', 2) AS m, named_struct('z', 1) AS s")
+    before = fingerprint.table_fingerprint(times, "t").first().fingerprint
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+        assert fingerprint.table_fingerprint(times, "t").first().fingerprint == before
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_long_phrases_and_long_conversations(spark):
+    names = spark.createDataFrame([("Seven Words Make This Long Name Here",)], "name string")
+    words = conversations.project_vocabulary(spark, names, ("order",))
+    turns = [(1, 0, "user", "about seven words make this long name here please")] + [
+        (1, k, "user", "and what about that one") for k in range(1, 700)] + [(1, 700, "user", "tell me of the moon")]
+    frame = conversations.spoken_turns(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    found = {r.turn: r.intent for r in conversations.classify_turns(frame, words).collect()}
+    assert found[0] == "project" and found[699] == "project" and len(found) == 701 and found[700] == "off_topic"
+
+
 def test_file_manifest_and_differences(spark, tmp_path):
     (tmp_path / "a.csv").write_text("category,rate\nx,0.1\n")
     (tmp_path / "b.csv").write_text("k\n1\n")

@@ -34,6 +34,9 @@ def test_parse_aspects(spark):
     values = [("['Packaging', 'Price/Value']",), ("Packaging",), ("[]",), ("  ",), (None,)]
     assert column(spark, values, "x string", metrics.parse_aspects(F.col("x"))) == [
         ["Packaging", "Price/Value"], ["Packaging"], ["Uncategorized"], ["Uncategorized"], ["Uncategorized"]]
+    odd = [("""["Men's wear", 'B']""",), ("['A', None]",), (r"""['it\'s', 4]""",), ("('A',)",), ("'A'",), ("Men's wear",), ("[ ]",)]
+    assert column(spark, odd, "x string", metrics.parse_aspects(F.col("x"))) == [
+        ["Men's wear", "B"], ["A", "None"], ["it's", "4"], ["A"], ["A"], ["Men's wear"], ["Uncategorized"]]
     arrays = [(["A", "B"],), ([],), (None,)]
     assert column(spark, arrays, "x array<string>", metrics.parse_aspect_array(F.col("x"))) == [
         ["A", "B"], ["Uncategorized"], ["Uncategorized"]]
@@ -78,3 +81,11 @@ def test_published_p_values():
     assert chi2_upper(3.841459, 1) == pytest.approx(0.05, abs=1e-6)
     # two equal groups: U at its mean, half a step below it counts against
     assert mannwhitney_upper(50.0, 10, 10, 0.0) == pytest.approx(0.515, abs=1e-2)
+
+
+def test_fold_equals_compatibility_decomposition(spark):
+    import unicodedata
+
+    values = ["Ｇｏｌｐｅ", "ﬁm ﬀ", "m² nº ª ½ ¾", "Ação ÉÜ ñ ç", "™ … ①② ℡", "ǅ Ĳ ŉ", "plain", "e\u0301", "日本 ß ø"]
+    expected = [unicodedata.normalize("NFKD", v.lower()).encode("ascii", "ignore").decode() for v in values]
+    assert column(spark, [(v,) for v in values], "x string", text.fold(F.col("x"))) == expected
