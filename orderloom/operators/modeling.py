@@ -56,9 +56,11 @@ def representative_point(
 def patch_translation(
     translation: DataFrame, patches: Mapping[str, str] = TRANSLATION_PATCHES
 ) -> DataFrame:
-    """Append the patch rows to the two-column lookup."""
+    """The two-column lookup with the patch rows; a patched key replaces the lookup's own rows."""
     extra = translation.sparkSession.createDataFrame(list(patches.items()), translation.schema)
-    return translation.unionByName(extra)
+    key = translation.columns[0]
+    # The patches are a parameter: the broadcast has their number of rows.
+    return translation.join(F.broadcast(extra.select(key)), key, "left_anti").unionByName(extra)
 
 
 def translate_categories(

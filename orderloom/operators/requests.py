@@ -33,8 +33,9 @@ def shorten_paths(text: Column) -> Column:
 
 def hide_paths(text: Column) -> Column:
     """Absolute paths become ``<path>``, for texts shown to users."""
-    hidden = F.regexp_replace(text, r"""[A-Za-z]:[\\/][^\s"'`]*""", "<path>")
-    return F.regexp_replace(hidden, r"(?<![\w.])/(?:[\w.-]+/)+[\w.-]*", "<path>")
+    for pattern in v.HIDDEN_PATHS:
+        text = F.regexp_replace(text, pattern, v.HIDDEN_PATH)
+    return text
 
 
 def client_pseudonym(identity: Column, salt: str, length: int = 12) -> Column:

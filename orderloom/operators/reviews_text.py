@@ -74,7 +74,7 @@ def score_with_model(
             labels: list[str | None] = []
             scores: list[float | None] = []
             errors: list[str | None] = []
-            texts = [t if clip is None else t[:clip] for t in frame[text].astype(str)]
+            texts = [t if clip is None else t[:clip] for t in frame[text].fillna("").astype(str)]
             for start in range(0, len(texts), batch_size):
                 batch = texts[start:start + batch_size]
                 try:

@@ -21,7 +21,7 @@ from orderloom.session import checkpointed
 
 
 def spearman_set(
-    df: DataFrame, pairs: dict[str, tuple[str, str]], x_bounded: bool = False, y_bounded: bool = True
+    df: DataFrame, pairs: dict[str, tuple[str, str]], x_bounded: bool = False, y_bounded: bool = False
 ) -> DataFrame:
     """(pair, rho, n) per named column pair, all pairs in one scan.
 
@@ -71,7 +71,7 @@ def group_means(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def mannwhitney(
-    df: DataFrame, first: str, value: str, bounded: bool = True, carry: str | None = None
+    df: DataFrame, first: str, value: str, bounded: bool = False, carry: str | None = None
 ) -> DataFrame:
     """U of the rows where the boolean ``first`` holds against the others.
 
@@ -100,7 +100,7 @@ def mannwhitney(
 def mannwhitney_late(reviews: DataFrame) -> DataFrame:
     """On-time against late review scores, with the negative review rate of both."""
     delivered = reviews.where("is_late is not null").withColumn("on_time", F.col("is_late") == 0)
-    return mannwhitney(delivered, "on_time", "review_score", carry="is_neg_review").withColumnsRenamed({
+    return mannwhitney(delivered, "on_time", "review_score", bounded=True, carry="is_neg_review").withColumnsRenamed({
         "n1": "ontime_n", "n2": "late_n", "mean1": "ontime_mean", "mean2": "late_mean",
         "rate1": "ontime_neg_review_rate", "rate2": "late_neg_review_rate"})
 
@@ -110,12 +110,12 @@ def mannwhitney_freight(reviews: DataFrame, freight: str = "freight_value") -> D
     delivered = reviews.where("is_late is not null")
     middle = median_of(delivered, freight).select("median").scalar()
     split = delivered.withColumn("low_freight", F.col(freight) <= middle)
-    return mannwhitney(split, "low_freight", "review_score").withColumnsRenamed({
+    return mannwhitney(split, "low_freight", "review_score", bounded=True).withColumnsRenamed({
         "n1": "low_n", "n2": "high_n", "mean1": "low_mean", "mean2": "high_mean",
     }).withColumn("median_freight", middle)
 
 
-def kruskal(df: DataFrame, group: str, value: str, bounded: bool = True) -> DataFrame:
+def kruskal(df: DataFrame, group: str, value: str, bounded: bool = False) -> DataFrame:
     """Tie-corrected H, group count and row count."""
     per_group = _ranked_cells(df, group, value, bounded).groupBy(group).agg(
         F.sum("c").alias("n"), F.sum(F.col("c") * F.col("avg_rank")).alias("rank_sum"), F.sum("ties").alias("ties"))

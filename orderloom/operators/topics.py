@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from orderloom.functions.text import terms, tokens
 from orderloom.functions.vocabulary import TOPIC_NAMES
-from orderloom.session import checkpointed
+from orderloom.session import checkpointed, written
 
 TEXT = "review_comment_message"
 KEYS = ("review_id", "order_id")
@@ -180,7 +180,7 @@ def encode_with_model(
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = load_encoder()
         for frame in frames:
-            texts = frame[text].astype(str).tolist()
+            texts = frame[text].fillna("").astype(str).tolist()
             parts = [encoder(texts[i:i + batch_size]) for i in range(0, len(texts), batch_size)]
             vectors = np.concatenate(parts).astype("float32")
             yield frame[names].assign(embedding=list(vectors))
@@ -189,12 +189,15 @@ def encode_with_model(
 
 
 def embedding_topics(
-    embeddings: DataFrame, topics: int = 8, seed: int = 42, keys: Sequence[str] = ("vec_id",), max_iter: int = 20
+    embeddings: DataFrame, topics: int = 8, seed: int = 42, keys: Sequence[str] = ("vec_id",), max_iter: int = 300,
+    starts: int = 10,
 ) -> DataFrame:
-    """k-means cluster per row."""
+    """k-means cluster per row: the best of ``starts`` runs by its distance to the centres."""
     points = embeddings.select(*keys, array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
-    model = KMeans(k=topics, seed=seed, maxIter=max_iter).fit(points)
-    return model.transform(points).select(*keys, F.col("prediction").alias("topic_id"))
+    points = written(points, "points")
+    models = [KMeans(k=topics, seed=seed + k, maxIter=max_iter).fit(points) for k in range(starts)]
+    best = min(models, key=lambda m: m.summary.trainingCost)
+    return best.transform(points).select(*keys, F.col("prediction").alias("topic_id"))
 
 
 def cluster_terms(

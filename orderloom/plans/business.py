@@ -226,7 +226,7 @@ def check_kruskal(table: str) -> str:
 
 
 add("kruskal_price_bands", lambda s: rounded(
-    statistics.kruskal(price_banded(s), "price_band", "review_score"), "h", digits=5), CHECK_BANDS + check_kruskal("pb"))
+    statistics.kruskal(price_banded(s), "price_band", "review_score", bounded=True), "h", digits=5), CHECK_BANDS + check_kruskal("pb"))
 add("price_band_scores", lambda s: rounded(statistics.group_means(
     price_banded(s), "price_band", "review_score"), "mean"), CHECK_BANDS + """
     SELECT g AS price_band, count(*) AS n, round(avg(score), 6) AS mean FROM pb WHERE g IS NOT NULL GROUP BY 1""")
@@ -239,7 +239,7 @@ def reliable_category_scores(star: TradeStar) -> DataFrame:
 
 
 add("kruskal_categories", lambda s: rounded(
-    statistics.kruskal(reliable_category_scores(s), "category", "review_score"), "h", digits=5), CHECK_STATS + """
+    statistics.kruskal(reliable_category_scores(s), "category", "review_score", bounded=True), "h", digits=5), CHECK_STATS + """
     , cg AS (SELECT category AS g, review_score AS score FROM cat
              WHERE category IN (SELECT category FROM cat GROUP BY 1 HAVING count(*) >= 100))""" + check_kruskal("cg"))
 add("extreme_categories", lambda s: rounded(
@@ -251,8 +251,13 @@ add("logit_negative_review", lambda s: statistics.logit_negative_review(delivere
 add("spearman_p_values", lambda s: statistics.spearman_with_p(spearman_review(s)))
 add("mannwhitney_p_value", lambda s: statistics.mannwhitney_with_p(
     statistics.mannwhitney_late(delivered_reviews(s)), "ontime_n", "late_n"))
+add("spearman_category_p_values", lambda s: statistics.spearman_with_p(spearman_category(s)))
+add("mannwhitney_freight_p_value", lambda s: statistics.mannwhitney_with_p(
+    statistics.mannwhitney_freight(delivered_reviews(s)), "low_n", "high_n"))
+add("kruskal_categories_p_value", lambda s: statistics.kruskal_with_p(
+    statistics.kruskal(reliable_category_scores(s), "category", "review_score", bounded=True)))
 add("kruskal_p_value", lambda s: statistics.kruskal_with_p(
-    statistics.kruskal(price_banded(s), "price_band", "review_score")))
+    statistics.kruskal(price_banded(s), "price_band", "review_score", bounded=True)))
 
 # --- delivery, exposure, priorities ----------------------------------------------------
 add("late_by_category", lambda s: rounded(business.late_by(
@@ -293,14 +298,24 @@ add("prioritization", lambda s: rounded(
 def stage_metrics_bundle(star: TradeStar) -> DataFrame:
     """The results as one JSON document; every part is a small aggregated table."""
     reviews = written(grain.review_level(star), "review-level")
-    delivered = totals_of(reviews)
-    categories = business.category_metrics(star)
+    delivered = written(totals_of(reviews), "delivered")
+    banded = delivered.withColumn("price_band", right_closed_bin(F.col("price"), PRICE_BINS, PRICE_LABELS))
+    categories = written(business.category_metrics(star), "categories")
     exposure = business.commercial_exposure(reviews)
     parts = {
         "review_level_rows": reviews.agg(F.count("*").alias("v")),
         "sample_sizes": business.sample_size_buckets(star),
-        "correlations": statistics.spearman_set(delivered, REVIEW_PAIRS),
-        "ontime_vs_late": statistics.mannwhitney_late(delivered),
+        "correlations": statistics.spearman_with_p(statistics.spearman_set(delivered, REVIEW_PAIRS)),
+        "category_correlations": statistics.spearman_with_p(statistics.spearman_set(
+            categories.where("confidence = 'HIGH'"), CATEGORY_PAIRS, x_bounded=True, y_bounded=True)),
+        "ontime_vs_late": statistics.mannwhitney_with_p(statistics.mannwhitney_late(delivered), "ontime_n", "late_n"),
+        "freight": statistics.mannwhitney_with_p(statistics.mannwhitney_freight(delivered), "low_n", "high_n"),
+        "price_bands": statistics.kruskal_with_p(statistics.kruskal(banded, "price_band", "review_score", bounded=True)),
+        "price_band_scores": statistics.group_means(banded, "price_band", "review_score"),
+        "category_comparison": statistics.kruskal_with_p(statistics.kruskal(
+            reliable_category_scores(star), "category", "review_score", bounded=True)),
+        "extreme_categories": statistics.extreme_categories(categories),
+        "logit": statistics.logit_negative_review(delivered),
         "late_states": business.late_by(reviews, "state"),
         "late_categories": business.late_by(grain.review_level_by(star, "category"), "category"),
         "aspect_by_delivery": business.aspect_by_lateness(reviews),

@@ -25,10 +25,11 @@ def day_text(df: DataFrame, column: str) -> DataFrame:
 
 add("monthly_volume", lambda s: explore.monthly_volume(s.orders),
     "SELECT strftime(purchase_ts, '%Y-%m') AS order_month, count(*) AS order_count FROM b_orders GROUP BY 1")
-# Months without a *late* order: the whole table has no empty month.
-add("month_gaps", lambda s: explore.month_gaps(s.orders.where(
-    delay_days(F.col("delivered_ts"), F.col("estimated_ts")) > 2200)), """
-    , m AS (SELECT DISTINCT date_trunc('month', purchase_ts)::DATE AS m FROM b_delay WHERE delay_days > 2200),
+# The orders have no empty month, so every third month's are moved a decade on first.
+add("month_gaps", lambda s: explore.month_gaps(s.orders.withColumn("purchase_ts", F.when(
+    F.month("purchase_ts") % 3 == 0, F.col("purchase_ts") + F.expr("INTERVAL 10 YEARS")).otherwise(F.col("purchase_ts")))), """
+    , m AS (SELECT DISTINCT date_trunc('month', CASE WHEN month(purchase_ts) % 3 = 0 THEN purchase_ts + INTERVAL 10 YEAR
+                                                ELSE purchase_ts END)::DATE AS m FROM b_orders),
     span AS (SELECT unnest(generate_series(min(m), max(m), INTERVAL 1 MONTH))::DATE AS m FROM m)
     SELECT strftime(m, '%Y-%m') AS missing_month FROM span WHERE m NOT IN (SELECT m FROM m)""")
 add("weekly_volume", lambda s: day_text(explore.weekly_volume(s.orders), "week_start"),
@@ -134,8 +135,8 @@ add("top_cities", lambda s: rounded(explore.top_cities(s.orders, s.customers), "
     SELECT state, city, order_count, round(order_count * 100::DOUBLE / (SELECT sum(order_count) FROM g), 6) AS pct
     FROM g ORDER BY order_count DESC, state, city LIMIT 20""")
 add("geo_coverage", lambda s: rounded(explore.geo_coverage(
-    s.customers, s.geolocation_raw.where("lat > 9000")), "covered_pct"), """
-    , k AS (SELECT DISTINCT zip_code_prefix FROM b_geo WHERE lat > 9000)
+    s.customers, s.geolocation_raw.withColumn("zip_code_prefix", F.col("zip_code_prefix") * 2)), "covered_pct"), """
+    , k AS (SELECT DISTINCT zip_code_prefix * 2 AS zip_code_prefix FROM b_geo)
     SELECT count(*)::BIGINT AS customers, count(*) FILTER (WHERE zip_code_prefix IN (FROM k)) AS covered_customers,
            count(DISTINCT zip_code_prefix) AS customer_zips, (SELECT count(*) FROM k) AS geo_zips,
            round(count(*) FILTER (WHERE zip_code_prefix IN (FROM k)) * 100::DOUBLE / count(*), 6) AS covered_pct FROM b_customers""")

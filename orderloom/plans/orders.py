@@ -36,9 +36,9 @@ add("order_payment_features", lambda s: s.orders.select("order_id").join(
     SELECT order_id, payment_installments_max AS payment_installments, primary_payment_type AS payment_type
     FROM b_orders LEFT JOIN dim_pay USING (order_id)""")
 add("order_review_features", lambda s: features.order_review_features(
-    s.text_reviews.select("order_id", "review_score", F.when(
-        F.col("lang") == "en", F.col("review_comment_message")).alias("review_comment_message"))), """
-    SELECT order_id, avg(review_score) AS review_score, bool_or(lang = 'en') AS has_review_text FROM b_text GROUP BY 1""")
+    s.text_reviews.select("order_id", "review_score", "review_comment_message")), """
+    SELECT order_id, avg(review_score) AS review_score, bool_or(review_comment_message IS NOT NULL) AS has_review_text
+    FROM b_text GROUP BY 1""")
 add("dominant_seller_state", lambda s: features.dominant_seller_state(s.items, s.sellers), CHECK_ORDER_ITEMS + """
     SELECT order_id, state AS seller_state FROM top LEFT JOIN b_sellers USING (seller_id)""")
 add("is_interstate", lambda s: s.orders.join(s.customers.select("customer_id", "state"), "customer_id").join(
@@ -108,6 +108,11 @@ add("late_flag", lambda s: s.orders.select("order_id", metrics.late_flag(
 add("neg_review_flag", lambda s: s.reviews.select(
     "review_id", "order_id", metrics.neg_review_flag(F.col("review_score")).alias("is_neg_review")),
     "SELECT review_id, order_id, CASE WHEN review_score <= 2 THEN 1 ELSE 0 END AS is_neg_review FROM b_reviews")
+add("parse_aspect_literals", lambda s: s.raw("part").select("p_partkey", F.array_join(metrics.parse_aspects(
+    F.when(F.col("p_size") < 20, F.concat(F.lit('["'), F.col("p_type"), F.lit("'s\", '"), F.col("p_brand"), F.lit("', None]")))
+    .otherwise(F.concat(F.lit(r"['it\'s', 4, "), F.lit('"'), F.col("p_brand"), F.lit('",]')))), "|").alias("aspects")), """
+    SELECT p_partkey, CASE WHEN p_size < 20 THEN p_type || '''s|' || p_brand || '|None' ELSE 'it''s|4|' || p_brand END AS aspects
+    FROM part""")
 add("parse_aspects", lambda s: s.raw("part").select("p_partkey", F.array_join(metrics.parse_aspects(
     F.when(F.col("p_size") < 10, F.concat(F.lit("['"), F.col("p_type"), F.lit("', '"), F.col("p_brand"), F.lit("']")))
     .when(F.col("p_size") < 20, F.col("p_type")).when(F.col("p_size") < 30, F.lit("[]"))

@@ -139,9 +139,9 @@ add("tfidf_weights", tfidf_weights, CHECK_TERMS + """
     SELECT doc AS review_id, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY doc)), 6) AS weight FROM w""")
 
 
-def nmf(star: TradeStar, rounds: int = 12):
+def nmf(star: TradeStar):
     vectors, names = topics.tfidf_vectors(star.text_reviews, vocabulary(star), STOP_WORDS)
-    return topics.nmf_topics(vectors, names, max_iter=rounds)
+    return topics.nmf_topics(vectors, names)
 
 
 add("nmf_topics", lambda s: nmf(s)[1].select("topic_id", F.array_join("top_terms", ", ").alias("top_terms"), "review_count"))
@@ -224,10 +224,10 @@ add("topic_dimension", lambda s: topics.topic_dimension(topic_counts(s)), CHECK_
     SELECT topic_id, business_topic_name, count(*) AS review_count, min(topic_label) AS term_label
     FROM b_scored JOIN names USING (topic_id) GROUP BY 1, 2""")
 add("topic_id_differences", lambda s: topics.topic_id_differences(
-    s.scored_reviews.where("review_score = 3"), {**TOPIC_NAMES, 8: "Spare"}), CHECK_TOPIC_NAMES + """
+    topic_counts(s), {**TOPIC_NAMES, 8: "Spare"}), CHECK_TOPIC_NAMES + """
     SELECT topic_id, false AS in_model FROM (SELECT topic_id FROM names UNION ALL SELECT 8)
-    WHERE topic_id NOT IN (SELECT topic_id FROM b_scored WHERE review_score = 3)
-    UNION ALL SELECT DISTINCT topic_id, true FROM b_scored WHERE review_score = 3 AND topic_id NOT IN (SELECT topic_id FROM names)""")
+    WHERE topic_id NOT IN (SELECT topic_id FROM b_scored)
+    UNION ALL SELECT DISTINCT topic_id, true FROM b_scored WHERE topic_id NOT IN (SELECT topic_id FROM names)""")
 
 
 def nlp_reviews(star: TradeStar) -> DataFrame:
@@ -240,7 +240,7 @@ def nlp_reviews(star: TradeStar) -> DataFrame:
     clustered = star.text_reviews.join(clusters, ["review_id", "order_id"])
     sizes = clustered.groupBy("topic_id").agg(F.count("*").alias("review_count"))
     labels = topics.topic_labels(topics.cluster_terms(clustered, STOP_WORDS), sizes)
-    return reviews_text.assemble_scored_reviews(scored, nmf(star, 6)[0], clusters, labels)
+    return reviews_text.assemble_scored_reviews(scored, nmf(star)[0], clusters, labels)
 
 
 add("nlp_reviews", nlp_reviews)

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_SHIPPED: set[str] = set()   # applications whose workers have the package
 
 
 def build_session(app: str = "orderloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -30,7 +33,25 @@ def build_session(app: str = "orderloom", master: str | None = None, **conf: str
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, which import it by name.
+
+    Spark's own file server hands the archive out; nothing is shared through local folders.
+    """
+    if spark.sparkContext.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(spark.sparkContext.applicationId)
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="orderloom-")) / "orderloom.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for file in sorted([*root.rglob("*.py"), *root.rglob("*.sql")]):
+            out.write(file, file.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(archive))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -38,12 +38,16 @@ def read_csv(
 ) -> DataFrame:
     """CSV with a header and doubled quotes, against a stated schema.
 
+    A header that names other columns, or the same in another order, stops the read. Rows that do
+    not fit the schema have NULL cells; ``bad_rows`` counts them.
+
     Files whose texts hold line breaks cannot be split; pass ``line_breaks=False`` for the
     others, so that one large file is read by many tasks.
     """
     return (
         spark.read.schema(schema)
         .option("header", True)
+        .option("enforceSchema", False)
         .option("multiLine", line_breaks)
         .option("quote", '"')
         .option("escape", '"')
@@ -51,6 +55,26 @@ def read_csv(
     )
 
 
+def bad_rows(spark: SparkSession, sources: Mapping[str, tuple[str, str]], line_breaks: bool = True) -> DataFrame:
+    """(source, rows, bad): rows with a cell that does not parse, or with too few or too many cells.
+
+    ``sources`` has a path and a schema per name.
+    """
+    parts = []
+    for name, (path, schema) in sources.items():
+        rows = (spark.read.schema(f"{schema}, _malformed string").option("header", True)
+                .option("multiLine", line_breaks).option("quote", '"').option("escape", '"')
+                .option("columnNameOfCorruptRecord", "_malformed").csv(path))
+        # The reader only parses cells that the query uses: the hash, which is always in range, uses all.
+        parsed = F.hash(*[c for c in rows.columns if c != "_malformed"]) >= F.lit(-(2**31))
+        parts.append(rows.agg(F.count("*").alias("rows"), F.count_if(parsed & F.col("_malformed").isNotNull()).alias("bad"))
+                     .select(F.lit(name).alias("source"), "rows", "bad"))
+    result = parts[0]
+    for part in parts[1:]:
+        result = result.unionByName(part)
+    return result
+
+
 def read_raw_set(spark: SparkSession, paths: Mapping[str, str]) -> dict[str, DataFrame]:
     """All raw CSV sources by logical name, dates parsed by the schema.
 
@@ -101,12 +125,21 @@ def require_sources(counts: DataFrame) -> None:
         raise FileNotFoundError(f"missing sources: {sorted(absent)}")
 
 
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a written table's job was committed: its success marker is there."""
+    jvm = spark.sparkContext._jvm
+    marker = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
+
+
 def write_parquet_set(tables: Mapping[str, DataFrame], folder: str, mode: str = "overwrite") -> dict[str, str]:
-    """One Parquet folder per table; ``mode='ignore'`` keeps tables that already exist."""
+    """One Parquet folder per table; ``mode='ignore'`` keeps tables that were written completely."""
     written = {}
     for name, df in tables.items():
         written[name] = f"{folder}/{name}"
-        df.write.mode(mode).parquet(written[name])
+        if mode == "ignore" and is_complete(df.sparkSession, written[name]):
+            continue
+        df.write.mode("overwrite" if mode == "ignore" else mode).parquet(written[name])
     return written
 
 

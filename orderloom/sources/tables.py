@@ -21,16 +21,6 @@ def scan(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Redistribute a scan that has fewer splits than the session has task slots.
-
-    For costly work per row on small tables. A large table has more splits than slots and
-    is left as the scan divides it.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
-
-
 @dataclass
 class Star:
     """The logical tables; missing ones are simply not set."""
@@ -290,7 +280,7 @@ class TradeStar(Star):
             .otherwise("Positive")
         )
         return (
-            spread(self.raw("documents").select("doc_id", "text", "lang", "n_chars"))
+            self.raw("documents").select("doc_id", "text", "lang", "n_chars")
             .join(labels, "doc_id", "left")
             .select(
                 d.alias("review_id"),

@@ -12,7 +12,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from orderloom.operators.requests import SlidingLog
 
-OUTPUT = "route string, client long, event_id long, ts timestamp, blocked boolean, logged boolean"
 STATE = "admitted array<long>, logged long"
 
 
@@ -30,6 +29,8 @@ def stream_rate_limit(requests: DataFrame, limit: int, window_s: int, late_by: s
     a backlog is better served by the batch job.
     """
     width = window_s * 1_000_000
+    client = requests.schema["client"].dataType.simpleString()
+    output = f"route string, client {client}, event_id long, ts timestamp, blocked boolean, logged boolean"
 
     def run(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -47,7 +48,7 @@ def stream_rate_limit(requests: DataFrame, limit: int, window_s: int, late_by: s
             "blocked": [b for b, _ in verdicts], "logged": [due for _, due in verdicts]})
 
     return event_time(requests).withWatermark("ts", late_by).groupBy("route", "client").applyInPandasWithState(
-        run, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        run, output, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_volume(

@@ -6,6 +6,7 @@ import pytest
 
 from orderloom import jobs
 from orderloom.operators import quality
+from orderloom.sources import files
 
 
 @pytest.fixture(scope="module")
@@ -30,7 +31,8 @@ def raw(tmp_path_factory):
         "reviews": [["review_id", "order_id", "review_score", "review_comment_title", "review_comment_message",
                      "review_creation_date", "review_answer_timestamp"]]
         + [[f"r{i}", f"o{i}", 1 + i % 5, "", words[i % 4] if i % 6 else "", "2018-02-01 00:00:00", "never"] for i in range(n)],
-        "products": [["product_id", "product_category_name", *[f"x{k}" for k in range(7)]]]
+        "products": [["product_id", "product_category_name", "product_name_lenght", "product_description_lenght", "product_photos_qty",
+                      "product_weight_g", "product_length_cm", "product_height_cm", "product_width_cm"]]
         + [[f"p{i}", ("brinquedos", "pc_gamer", "")[i % 3], *[1] * 7] for i in range(6)],
         "sellers": [["seller_id", "seller_zip_code_prefix", "seller_city", "seller_state"]]
         + [[f"s{i}", 1000, "rio", "RJ"] for i in range(3)],
@@ -84,3 +86,23 @@ def test_reviews_and_analysis(star, tmp_path):
         assert all(0 <= row[c] <= 1 for c in row.asDict() if c != "category")
     again = jobs.build_features(star, if_missing=True)
     assert again.count() == 40
+
+
+def test_csv_cannot_be_misread(spark, tmp_path):
+    (tmp_path / "swapped.csv").write_text("b,a\n1,2\n")
+    with pytest.raises(Exception, match="CSV header does not conform"):
+        files.read_csv(spark, str(tmp_path / "swapped.csv"), "a int, b int").collect()
+    (tmp_path / "odd.csv").write_text("a,b\n1,2\nx,3\n4\n5,6,7\n8,9\n")
+    found = files.bad_rows(spark, {"odd": (str(tmp_path / "odd.csv"), "a int, b int")}).first()
+    assert (found.source, found["rows"], found.bad) == ("odd", 5, 3)
+
+
+def test_half_written_tables_are_written_again(spark, tmp_path):
+    frame = spark.range(5)
+    path = files.write_parquet_set({"t": frame}, str(tmp_path))["t"]
+    assert files.is_complete(spark, path)
+    files.write_parquet_set({"t": spark.range(9)}, str(tmp_path), "ignore")
+    assert spark.read.parquet(path).count() == 5
+    (tmp_path / "t" / "_SUCCESS").unlink()
+    files.write_parquet_set({"t": spark.range(9)}, str(tmp_path), "ignore")
+    assert spark.read.parquet(path).count() == 9
