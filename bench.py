@@ -22,7 +22,8 @@ HEADLINE = (
     "payments_to_order", "geo_representative", "order_features", "describe_percentiles", "seller_pareto",
     "category_metrics", "complaint_matrix", "spearman_review", "mannwhitney_freight", "prioritization",
     "lexicon_sentiment", "aspect_tagging", "signals_by_type", "tfidf", "ctfidf_terms", "nmf_topics",
-    "intent_classify", "rate_limit_flags", "table_fingerprint",
+    "intent_classify", "rate_limit_flags", "table_fingerprint", "nlp_reviews", "model_sentiment", "stream_rate_limit",
+    "logit_negative_review",
 )
 
 

@@ -89,6 +89,22 @@ add("chat_normalise", lambda s: s.raw("conversations").select(
     f"SELECT conv_id, turn, {check_normalise('text')} AS norm FROM conversations")
 add("project_vocabulary", vocabulary, CHECK_VOCABULARY + " SELECT kind, term FROM voc")
 add("intent_classify", lambda s: classified(s).drop("text"), CHECK_INTENTS + " SELECT * FROM cl")
+SMALL_TALK = {"Hello there": "greeting", "thanks a lot!!!": "thanks", "Goodbye, see you": "farewell", "What can you do?": "capabilities"}
+
+
+def small_talk(star: TradeStar) -> DataFrame:
+    """The conversations with short phrases in place of four user turns of five."""
+    turns = star.raw("conversations")
+    said = F.get(F.array(*[F.lit(t) for t in SMALL_TALK]), F.pmod("turn", F.lit(5)).cast("int"))
+    changed = turns.withColumn("text", F.when(
+        (F.col("role") == "user") & (F.pmod("turn", F.lit(5)) < len(SMALL_TALK)), said).otherwise(F.col("text")))
+    return conversations.classify_turns(conversations.spoken_turns(changed), vocabulary(star)).where(
+        (F.col("role") == "user") & (F.pmod("turn", F.lit(5)) < len(SMALL_TALK))).select("conv_id", "turn", "intent")
+
+
+add("intent_small_talk", small_talk, "SELECT conv_id, turn, CASE turn % 5 " + " ".join(
+    f"WHEN {k} THEN '{i}'" for k, i in enumerate(SMALL_TALK.values())) + f""" END AS intent FROM conversations
+    WHERE role = 'user' AND turn % 5 < {len(SMALL_TALK)}""")
 add("model_history", lambda s: conversations.model_history(classified(s)).drop("text"), CHECK_INTENTS + """
     , h AS (SELECT *, last_value(CASE WHEN role = 'user' THEN intent END IGNORE NULLS) OVER (
             PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS lu FROM cl)
@@ -117,9 +133,22 @@ def events(star: TradeStar) -> DataFrame:
         F.col("user_id").alias("client"), F.col("props").alias("detail"))
 
 
-add("event_log_build", lambda s: requests.event_log(events(s), SALT), f"""
+def telling_events(star: TradeStar) -> DataFrame:
+    """Events whose detail also names a key and two paths."""
+    key = F.sha2(F.col("event_id").cast("string"), 256)
+    number = F.col("event_id").cast("string")
+    return events(star).withColumn("detail", F.concat(
+        F.col("detail"), F.lit(" key sk-proj-"), key, F.lit(" open /srv/shop/data/"), number, F.lit(".csv or D:\\shop\\x"), number,
+        F.lit(".txt")))
+
+
+add("event_log_build", lambda s: requests.event_log(telling_events(s), SALT), f"""
     SELECT ts AS time, event_type AS type, event_type AS route, 'client-' || left(sha256('{SALT}' || user_id), 12) AS client,
-           left(props, 300) AS detail FROM events""")
+           left(props || ' key [REDACTED] open …/' || event_id || '.csv or …/x' || event_id || '.txt', 300) AS detail FROM events""")
+SHAPES = ("gsk_", "AIza", "sk-", "sk-proj-", "sk-ant-")
+add("secret_shapes", lambda s: s.raw("documents").select("doc_id", F.sha2(requests.redact(F.concat_ws(
+    " ", F.col("text"), *[F.concat(F.lit(p), F.sha2(F.col("doc_id").cast("string"), 256)) for p in SHAPES])), 256).alias("digest")),
+    f"SELECT doc_id, sha256(text || '{' [REDACTED]' * len(SHAPES)}') AS digest FROM documents")
 add("event_counts", lambda s: requests.event_counts(events(s), ("click", "purchase", "refund", "view")), """
     SELECT t.type, count(event_id) AS n FROM (VALUES ('click'), ('purchase'), ('refund'), ('view')) t(type)
     LEFT JOIN events ON event_type = t.type GROUP BY 1""")

@@ -146,8 +146,12 @@ def nmf(star: TradeStar):
 
 add("nmf_topics", lambda s: nmf(s)[1].select("topic_id", F.array_join("top_terms", ", ").alias("top_terms"), "review_count"))
 add("embed_text", lambda s: topics.hashed_embeddings(s.text_reviews).select(
-    "review_id", "order_id", F.size("embedding").alias("dimensions")),
-    "SELECT review_id, order_id, 256::INT AS dimensions FROM b_text")
+    "review_id", "order_id", F.size("embedding").alias("dimensions"),
+    F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)), 4).alias("norm"),
+    F.least(F.exists("embedding", lambda x: x > 0).cast("int"), F.lit(1)).alias("filled")),
+    f"""SELECT review_id, order_id, 256::INT AS dimensions,
+        CASE WHEN regexp_matches(lower(review_comment_message), '{WORD}') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm,
+        regexp_matches(lower(review_comment_message), '{WORD}')::INT AS filled FROM b_text""")
 add("embedding_topics", lambda s: topics.embedding_topics(s.raw("embeddings")).groupBy("topic_id").agg(
     F.count("*").alias("review_count")))
 
