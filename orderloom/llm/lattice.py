@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderloom.llm.common import components, map_batches, mix, signed, written
+from orderloom.llm.common import components, map_batches, mix, written
 
 COSINE = 0.93
 TABLES = 6
