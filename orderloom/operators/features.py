@@ -9,6 +9,7 @@ from orderloom.functions.metrics import delay_days
 from orderloom.functions.vocabulary import DELAY_FENCE_DAYS
 from orderloom.operators.modeling import payments_by_order
 from orderloom.operators.ordering import iqr_fences
+from orderloom.session import written
 from orderloom.sources.tables import Star
 
 ITEM_TIE_BREAK = ("item_id", "product_id", "seller_id", "shipping_limit_date")
@@ -96,9 +97,11 @@ def order_features(star: Star, delay_fence: float | None = DELAY_FENCE_DAYS, mul
     sellers = star["sellers"].select(F.col("seller_id").alias("top_seller_id"), F.col("state").alias("seller_state"))
     products = star["products"].select(
         F.col("product_id").alias("top_product_id"), F.col("category").alias("product_category"))
+    # The per-order items are read twice below: aggregated once and written.
+    per_order = written(order_items_agg(star["items"]), "order-items")
     joined = (
         base
-        .join(order_items_agg(star["items"]), "order_id", "left")
+        .join(per_order, "order_id", "left")
         .join(order_payment_features(star["payments_raw"]), "order_id", "left")
         .join(order_review_features(star["reviews"]), "order_id", "left")
         .join(customers, "customer_id", "left")
@@ -108,7 +111,7 @@ def order_features(star: Star, delay_fence: float | None = DELAY_FENCE_DAYS, mul
     )
     # One ordered pass gives every fence: the measures are told apart by name.
     measures = ["order_total_value", "freight_ratio"] + ([] if delay_fence is not None else ["delivery_delay_days"])
-    totals = order_items_agg(star["items"]).select(
+    totals = per_order.select(
         F.col("order_total_value").cast("double").alias("order_total_value"), "freight_ratio")
     long = totals.unpivot([], ["order_total_value", "freight_ratio"], "measure", "value")
     if delay_fence is None:
@@ -116,9 +119,10 @@ def order_features(star: Star, delay_fence: float | None = DELAY_FENCE_DAYS, mul
             F.lit("delivery_delay_days").alias("measure"), F.col("delivery_delay_days").alias("value")))
     fences = iqr_fences(long, "value", multiplier, by=["measure"]).groupBy().pivot("measure", measures).agg(
         F.max("upper_fence"))
+    limits = fences.select(F.struct(*measures).alias("limits")).scalar()  # one subquery for all
 
     def fence(measure: str) -> Column:
-        return fences.select(measure).scalar()
+        return limits.getField(measure)
 
     delay_limit = F.lit(delay_fence) if delay_fence is not None else fence("delivery_delay_days")
     return joined.select(
