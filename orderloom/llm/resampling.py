@@ -25,7 +25,7 @@ from orderloom.operators.ordering import running_totals
 
 BUCKETS = 10_000
 TARGET_DOCS = 20_000        # bound of the labelled sample
-FRACTION = 0.75             # of all documents that is kept
+FRACTION = 0.8              # of all documents that is kept
 STRETCH = 50
 SMOOTHING = 1.0
 
