@@ -38,7 +38,8 @@ WINDOW, STRIDE = 96, 64
 HIDDEN = 12
 TRAIN_DOCS = 400             # bound of the labelled sample
 TRAIN_CHARS = 20_000         # and of a text in it
-TRAIN_STEPS = 150
+SPARE = 10                   # times as many documents are looked through for it
+TRAIN_STEPS = 220
 CHARS = 129                  # ASCII, and one for the rest
 LABELS = 1 + 2 * len(KINDS)  # outside, begin and inside of each kind
 
@@ -309,9 +310,11 @@ def training_set(texts: list[str], windows: int = 1500, seed: int = 5) -> tuple[
 
 def train(docs: DataFrame, sample_docs: int = TRAIN_DOCS, steps: int = TRAIN_STEPS) -> Tagger:
     """A tagger from a bounded sample of the documents that hold a base span or a digit."""
-    pick = (docs.where(F.col("text").rlike("@|[0-9]{4}") & (F.char_length("text") <= TRAIN_CHARS)).select("text")
-            .orderBy(F.xxhash64("text"), "text").limit(sample_docs))
-    texts = [r.text for r in pick.collect()]
+    share = min(1.0, SPARE * sample_docs / max(docs.count(), 1))
+    place = F.pmod(F.xxhash64("text"), F.lit(1 << 31))
+    near = docs.where((place < int(share * (1 << 31))) & (F.char_length("text") <= TRAIN_CHARS)
+                      & F.col("text").rlike("@|[0-9]{4}"))
+    texts = [r.text for r in near.select("text", place.alias("place")).orderBy("place", "text").limit(sample_docs).collect()]
     tagger = Tagger()
     tagger.fit(*training_set(texts), steps=steps)
     return tagger

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orderloom.llm.common import map_batches
+from orderloom.llm.common import map_batches, sampled
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 18
@@ -215,8 +215,8 @@ def train(
     """A chain from at most ``sample`` labelled documents, chosen by a hash of their id."""
     categories = categories or default_categories()
     extra = [c for c in labels.columns if c != "doc_id"]
-    chosen = (labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").alias("_id"), *extra)
-              .orderBy(F.xxhash64("_id"), "_id", *extra).limit(sample))
+    chosen = sampled(labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").alias("_id"), *extra),
+                     F.xxhash64("_id"), sample)
     # At most ``sample`` rows, so the broadcast is bounded.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
