@@ -259,9 +259,10 @@ def _joined(docs: DataFrame, window: int, rounds: int) -> DataFrame:
     reps = classes.select("class", "first").join(own, "class", "left").select(
         F.col("class").alias("c"), F.col("first").alias("d"), "own")
     base = texts.where("doc_id is not null").select("doc_id", "class", "text")
+    # In a fixed order, so that a repeated task settles the same windows inside its batches.
     windows = candidate_windows(
         base.join(reps, (base["doc_id"] == F.col("d")) & (base["class"] == F.col("c")))
-        .select("class", "doc_id", "text", "own"), window)
+        .select("class", "doc_id", "text", "own").sortWithinPartitions("doc_id", "class"), window)
     same = Window.partitionBy("hash")
     gone = windows.select("class", "place", "doc_id", F.min("doc_id").over(same).alias("least")).where(
         F.expr(f"place % {SIZES} > 0 or least < doc_id"))
