@@ -4,7 +4,7 @@ A document is its token ids and a closing id. Documents longer than a sequence a
 sequence-long pieces. Pieces are dealt evenly over groups of bounded size; a group is packed best
 fit first, longest piece first, and then improved: documents move, or are exchanged one for one and
 two for one, between bins that are not full, whenever that raises the sum of squared fills, until
-bins run empty or nothing improves. The loosely filled bins of all groups are packed once more
+no exchange of any two bins improves or the lower bound of sequences is reached. The loosely filled bins of all groups are packed once more
 together, so that the cut into groups costs no sequences.
 
 Defined cases. Null or empty text: the closing id alone, one piece of length 1. Null doc_id: kept.
@@ -125,65 +125,125 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def _gain(a: int, b: int, moved: int) -> int:
-    """Half the rise of a**2 + b**2 when ``moved`` goes from the bin filled a to the one filled b."""
-    return moved * (b - a + moved)
-
-
-def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int, steps: int = 20_000) -> list[list[int]]:
-    """Raise the sum of squared fills of the bins that are not full until no exchange helps."""
+class OpenBins:
+    """The bins that are not full, with an index of what each of them can take.
+
+    ``take[0][o, b]`` is the most that bin b's fill can rise by when it takes one piece of length o
+    and gives nothing, one or two pieces back; ``take[1]`` is the same for two pieces of length o
+    together and at most one piece back. 0: it cannot rise.
+    """
+
+    def __init__(self, bins: list[list[int]], size: list[int], capacity: int):
+        self.size, self.capacity = size, capacity
+        self.bins = bins
+        self.fill = np.array([sum(size[i] for i in b) for b in bins], np.int64)
+        kind = np.int16 if capacity < 1 << 15 else np.int32
+        self.take = [np.zeros((capacity + 1, len(bins)), kind) for _ in range(2)]
+        self.lengths = np.arange(capacity + 1)
+        self.ones: list[int] = [0] * len(bins)     # bit s: a piece of length s
+        self.twos: list[int] = [0] * len(bins)     # bit s: two pieces of length s together
+        for k in range(len(bins)):
+            self.index(k)
+
+    def values(self, bits: int) -> np.ndarray:
+        raw = np.frombuffer(bits.to_bytes(self.capacity // 8 + 1, "little"), np.uint8)
+        return np.flatnonzero(np.unpackbits(raw, bitorder="little"))
+
+    def index(self, k: int) -> None:
+        ones = again = twos = 0
+        for i in self.bins[k]:
+            bit = 1 << self.size[i]
+            again |= ones & bit
+            ones |= bit
+        left = ones
+        while left:
+            bit = left & -left
+            left ^= bit
+            twos |= (left | (again & bit)) << (bit.bit_length() - 1)
+        self.ones[k], self.twos[k] = ones, twos
+        room = self.capacity - int(self.fill[k])
+        for take, back in ((self.take[0], 1 | ones | twos), (self.take[1], 1 | ones)):
+            back = self.values(back)
+            least = np.append(back, 2 * self.capacity)[np.searchsorted(back, self.lengths - room)]
+            take[:, k] = np.maximum(self.lengths - least, 0)
+
+    def best(self, a: int, takers: np.ndarray | None) -> tuple[int, int, int, int] | None:
+        """The exchange from bin ``a`` that gains most: (pieces given less 1, their length, taker, rise)."""
+        found, most = None, 0
+        fill = self.fill if takers is None else self.fill[takers]
+        for given, bits in enumerate((self.ones[a], self.twos[a])):
+            lengths = self.values(bits)
+            for part in np.array_split(lengths, max(1, len(lengths) * len(fill) // 4_000_000)):
+                rise = self.take[given][part] if takers is None else self.take[given][np.ix_(part, takers)]
+                # Half the rise of the sum of squares when ``rise`` goes from a to the taker.
+                gain = rise * (fill - self.fill[a] + rise)
+                if takers is None:
+                    gain[:, a] = 0
+                at = int(gain.argmax()) if gain.size else 0
+                if gain.size and gain.flat[at] > most:
+                    row, b = divmod(at, len(fill))
+                    most = gain.flat[at]
+                    found = given, int(part[row]), b if takers is None else int(takers[b]), int(rise[row, b])
+        return found
+
+    def _pick(self, k: int, count: int, length: int) -> list[int] | None:
+        """``count`` pieces of bin k of that length together."""
+        if count == 0:
+            return [] if length == 0 else None
+        seen: dict[int, int] = {}
+        for i in self.bins[k]:
+            s = self.size[i]
+            if count == 1 and s == length:
+                return [i]
+            if count == 2 and length - s in seen:
+                return [seen[length - s], i]
+            seen[s] = i
+        return None
+
+    def exchange(self, a: int, given: int, length: int, b: int, rise: int) -> None:
+        out = self._pick(a, given + 1, length)
+        back = next(p for n in range(3 - given) if (p := self._pick(b, n, length - rise)) is not None)
+        self.bins[a] = [i for i in self.bins[a] if i not in out] + back
+        self.bins[b] = [i for i in self.bins[b] if i not in back] + out
+        self.fill[a] -= rise
+        self.fill[b] += rise
+        self.index(a)
+        self.index(b)
+
+
+def local_search(bins: list[list[int]], sizes: np.ndarray, capacity: int) -> list[list[int]]:
+    """Raise the sum of squared fills of the bins that are not full until no exchange helps.
+
+    A bin is compared with all others when it has changed, and else with those that have changed
+    since its last turn. The sum rises with every exchange, so the search ends.
+    """
     size = sizes.tolist()
     fill = [sum(size[i] for i in b) for b in bins]
     least = -(-int(sizes.sum()) // capacity)
     live = sum(1 for b in bins if b)
-    while live > least and steps > 0:
-        open_bins = sorted((k for k, b in enumerate(bins) if b and fill[k] < capacity), key=lambda k: fill[k])
-        changed = False
-        for a in open_bins:                     # the emptiest bins give
-            for b in reversed(open_bins):       # the fullest ones take
-                steps -= 1
-                if a == b or not bins[a] or not bins[b] or steps <= 0:
-                    continue
-                best = _exchange(bins[a], bins[b], size, fill[a], fill[b], capacity)
+    if live <= least:
+        return [b for b in bins if b]
+    full = [b for b, f in zip(bins, fill) if f >= capacity]
+    open_ = OpenBins([list(b) for b, f in zip(bins, fill) if b and f < capacity], size, capacity)
+    changes: list[int] = []                      # bins in the order of their changes
+    last = [-1] * len(open_.bins)                # how many changes a bin has seen; -1: it changed itself
+    active = True
+    while active and live > least:
+        active = False
+        for a in np.argsort(open_.fill, kind="stable").tolist():     # the emptiest bins give
+            while open_.bins[a] and live > least and last[a] < len(changes) + (last[a] < 0):
+                takers = None if last[a] < 0 else np.unique(changes[last[a] :])
+                best = open_.best(a, takers)
+                last[a] = len(changes)
                 if best is None:
-                    continue
-                out, back, moved = best
-                bins[a] = [i for i in bins[a] if i not in out] + list(back)
-                bins[b] = [i for i in bins[b] if i not in back] + list(out)
-                fill[a], fill[b] = fill[a] - moved, fill[b] + moved
-                changed = True
-                if not bins[a]:
-                    live -= 1
                     break
-            if live <= least or steps <= 0:
-                break
-        if not changed:
-            break
-    return [b for b in bins if b]
-
-
-def _exchange(a: list[int], b: list[int], size: list[int], fa: int, fb: int, capacity: int):
-    """The best move, one-for-one or two-for-one exchange that shifts fill from a to b."""
-    room, best, most = capacity - fb, None, 0
-
-    def offer(out, back) -> None:
-        nonlocal best, most
-        moved = sum(size[i] for i in out) - sum(size[i] for i in back)
-        if 0 < moved <= room and (gain := _gain(fa, fb, moved)) > most:
-            best, most = (set(out), set(back), moved), gain
-
-    pairs_a = [(x, y) for k, x in enumerate(a) for y in a[k + 1 :]][:400]
-    pairs_b = [(x, y) for k, x in enumerate(b) for y in b[k + 1 :]][:400]
-    for x in a:
-        offer((x,), ())
-        for y in b:
-            offer((x,), (y,))
-        for pair in pairs_b:
-            offer((x,), pair)
-    for pair in pairs_a:
-        for y in b:
-            offer(pair, (y,))
-    return best
+                b = best[2]
+                open_.exchange(a, *best)
+                changes += [a, b]
+                last[a] = last[b] = -1
+                active = True
+                live -= not open_.bins[a]
+    return full + [b for b in open_.bins if b]
 
 
 def _packer(capacity: int):

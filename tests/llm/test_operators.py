@@ -334,6 +334,33 @@ def test_local_search_empties_bins():
     assert len(better) <= len(bins)
 
 
+def test_local_search_has_no_budget():
+    rng = np.random.default_rng(5)
+    sizes, capacity = rng.integers(500, 1001, 700), 2048
+    out = packing.local_search(packing.best_fit(sizes, capacity), sizes, capacity)
+    assert sorted(i for b in out for i in b) == list(range(700)) and len(out) > -(-sizes.sum() // capacity)
+    size, fill = sizes.tolist(), [int(sizes[b].sum()) for b in out]
+    assert max(fill) <= capacity
+
+    def sums(members):
+        one = {size[i] for i in members}
+        return one, {size[x] + size[y] for k, x in enumerate(members) for y in members[k + 1 :]}
+
+    every = [sums(b) for b in out]
+    for a in range(len(out)):
+        for b in range(len(out)):
+            if a != b and fill[b] < capacity:
+                least = max(0, fill[a] - fill[b])     # more than this has to go over to raise the sum of squares
+                moves = [x - y for x in every[a][0] for y in {0} | every[b][0] | every[b][1]]
+                moves += [x - y for x in every[a][1] for y in every[b][0]]
+                assert not any(least < m <= capacity - fill[b] for m in moves), (a, b)
+
+
+def test_local_search_looks_at_all_pairs_of_a_bin():
+    sizes = np.array([*range(1, 36), 71, 562])        # only 34 and 35, the last of 595 pairs, help
+    assert len(packing.local_search([list(range(35)), [35], [36]], sizes, 632)) == 2
+
+
 # ---- 6: personal data ------------------------------------------------------------------------------------------
 
 PATTERNS = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
