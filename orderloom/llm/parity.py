@@ -22,7 +22,8 @@ in one component.
 
 Defined cases. Null, empty or blank text: no shingles, linked with nothing, a component of its own.
 Equal texts: one component. Repeated doc_ids: each row is a document. Null doc_id: links like any
-other, but a component without any doc_id has a null component_id. Empty table: empty result. Other
+other, but a component without any doc_id has a null component_id; ``deduplicated`` goes by rows and
+keeps a row of such a group too. Empty table: empty result. Other
 columns: ignored by ``linked``, kept by ``deduplicated``.
 """
 
@@ -35,7 +36,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orderloom.llm.common import components, map_batches, mix, named_slices, rolling, signed, text_bytes, written
+from orderloom.llm.common import (
+    components, map_batches, mix, named_slices, rolling, row_key, signed, text_bytes, written,
+)
 
 SHINGLE = 5
 PERCENT = 75
@@ -124,8 +127,11 @@ def join_keys(found: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def document_sets(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """doc_id, n_shingles, node and check (two halves of the set's digest), sketch."""
+def document_sets(docs: DataFrame, seed: int = 0, rows: bool = False) -> DataFrame:
+    """doc_id, row, n_shingles, node and check (two halves of the set's digest), sketch.
+
+    ``row`` is the row's key over all columns with ``rows``, else 0.
+    """
 
     def step(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in source:
@@ -137,12 +143,13 @@ def document_sets(docs: DataFrame, seed: int = 0) -> DataFrame:
                 low.append(b)
                 sketches.append(bit_sketch(found) if len(found) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), signed(np.array(high, np.uint64)),
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), signed(np.array(high, np.uint64)),
                  signed(np.array(low, np.uint64)), pa.array(sketches, pa.binary())],
-                ["doc_id", "n_shingles", "node", "check", "sketch"])
+                ["doc_id", "row", "n_shingles", "node", "check", "sketch"])
 
-    return map_batches(docs.select("doc_id", text_bytes()), step,
-                       "doc_id long, n_shingles long, node long, check long, sketch binary")
+    row = row_key(docs) if rows else F.lit(0).cast("long")
+    return map_batches(docs.select("doc_id", text_bytes(), row.alias("row")), step,
+                       "doc_id long, row long, n_shingles long, node long, check long, sketch binary")
 
 
 def offered_keys(docs: DataFrame, seed: int = 0, percent: int = PERCENT) -> DataFrame:
@@ -326,10 +333,10 @@ def _torn_groups(members: DataFrame, found: DataFrame, nodes: DataFrame) -> Data
         "n", "sketch"), "torn")
 
 
-def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every document row."""
+def _groups(docs: DataFrame, percent: int, rows: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The document sets, and (node, first_doc, component): the component is named by its smallest node."""
     for seed in range(4):
-        sets = written(document_sets(docs, seed), "sets")
+        sets = written(document_sets(docs, seed, rows), "sets")
         nodes = written(sets.where("n_shingles > 0").groupBy("node").agg(
             F.min("doc_id").alias("first_doc"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"),
             (F.min("check") != F.max("check")).alias("clash")), "nodes")
@@ -365,8 +372,13 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             tested = tested.union(more)
             found = components(edges)
 
-    firsts = nodes.select("node", "first_doc").join(found.withColumnRenamed("id", "node"), "node", "left").select(
+    return sets, nodes.select("node", "first_doc").join(found.withColumnRenamed("id", "node"), "node", "left").select(
         "node", "first_doc", F.coalesce("component", "node").alias("component"))
+
+
+def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id of every document row."""
+    sets, firsts = _groups(docs, percent)
     least = firsts.groupBy("component").agg(F.min("first_doc").alias("component_id"))
     labels = firsts.join(least, "component").select("node", "component_id")
     return sets.join(labels, "node", "left").select(
@@ -375,13 +387,24 @@ def linked(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One document of each group: the one with the smallest doc_id. Documents without words stay."""
-    found = written(linked(docs, percent), "linked")
-    dropped = found.where("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(dropped, docs["doc_id"] == dropped["_id"], "left_anti")
-    again = found.groupBy("doc_id").agg(F.count("*").alias("rows"), F.max("n_shingles").alias("most")).where(
-        "rows > 1 and most > 0 and doc_id is not null").select(F.col("doc_id").alias("_again"))
+    """One row of each group: the one with the smallest doc_id, nulls last, then the smallest row key.
+
+    Rows without words stay.
+    """
+    sets, firsts = _groups(docs, percent, rows=True)
+    rows = written(sets.where("n_shingles > 0").select("doc_id", "row", "node").join(
+        firsts.select("node", "component"), "node").select(
+            "component", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row").alias("name")), "named")
+    first = rows.groupBy("component").agg(F.min("name").alias("first"))
+    marked = written(rows.join(first, "component").groupBy("name").agg(
+        F.count("*").alias("times"), F.min(F.col("name") == F.col("first")).alias("stays")).select(
+            F.col("name.doc_id").alias("_id"), F.col("name.row").alias("_row"), "times", "stays"), "marked")
+    named = docs.withColumn("_key", row_key(docs))
+    same = named["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_row"))
+    kept = named.join(marked.where("not stays"), same, "left_anti")
+    again = marked.where("stays and times > 1").select("_id", "_row")
     if again.isEmpty():
-        return kept
-    return kept.join(again, kept["doc_id"] == again["_again"], "left_anti").unionByName(
-        kept.join(again, kept["doc_id"] == again["_again"], "left_semi").dropDuplicates(["doc_id"]))
+        return kept.drop("_key")
+    same = kept["doc_id"].eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_row"))
+    return kept.join(again, same, "left_anti").unionByName(
+        kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "_key"])).drop("_key")

@@ -160,6 +160,16 @@ def test_deduplicated_keeps_one_of_each_group_and_all_columns(docs, empty):
     assert parity.linked(empty).count() == 0 and parity.deduplicated(empty).count() == 0
 
 
+def test_deduplicated_goes_by_rows_and_not_by_ids(spark):
+    x, y, a, b, c = (prose(k, 80) for k in range(40, 45))
+    table = rows([a, b, x, x + " tail", y, c, c, c + " end", c, "", ""], [7, 7, 3, 5, 5, None, None, None, 9, None, None])
+    kept = parity.deduplicated(spark.createDataFrame(table, DOCS).repartition(3)).collect()
+    found = sorted((str(r.doc_id), r.text) for r in kept)
+    assert found == sorted([("7", a), ("7", b), ("3", x), ("5", y), ("9", c), ("None", ""), ("None", "")])
+    kept = parity.deduplicated(spark.createDataFrame(rows([a, a, a + " tail", b], [None] * 4), DOCS)).collect()
+    assert len(kept) == 2 and {r.text for r in kept} in ({a, b}, {a + " tail", b})
+
+
 # ---- 9: recompression ------------------------------------------------------------------------------------------
 
 def brute_repeats(table, window=50):
