@@ -2,10 +2,13 @@
 
 The patterns give the base spans. The tagger is trained in numpy from labelled spans: a bounded
 sample of the documents with their base spans as labels, plus variants of those spans in looser
-spellings. Whole texts are read in overlapping windows; every window is decoded with Viterbi, each
-character takes its label from the window in whose middle it lies best, and the spans of the joined
-labels that touch no base span are added. A window without a digit or ``@`` holds none of the kinds
-and is not scored. A tagged span must hold as many digits as its kind needs.
+spellings. Texts are read in overlapping windows; a character's emissions are the average of its
+windows, weighted by the distance to the window's edge, and one Viterbi pass decodes a whole stretch
+of windows. A tagged span must hold a digit, ``@`` or the word ``at`` (as its kind needs), so
+stretches reach at least a window's stride beyond each of these; a stretch whose labels reach its
+edge grows until they do not. Text outside of stretches can hold no span that counts. E-mails with
+``(at)`` or ``[at]`` for ``@``, or looser blanks and dots, are found by a pattern as well. The spans that touch no base span are
+added.
 
 Defined cases. Null or empty text: no spans. Null doc_id: kept. Repeated rows: each found alike.
 No document with base spans: the tagger learns from generated spans alone. Empty table: empty
@@ -32,7 +35,12 @@ IP = re.compile(r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-HINT = re.compile(r"[0-9@]")
+HINT = re.compile(r"[0-9@]|\bat\b", re.I)     # every tagged span holds one (``_spans_of``)
+SPELLED = re.compile(             # e-mails in looser spellings, without the part before the @
+    r"(?:@|[ ]@[ ]|[ ]?[\[(][ ]?at[ ]?[\])][ ]?)[a-z0-9-]++"
+    r"(?:(?:\.|[ ]\.[ ]|[ ]?[\[(][ ]?(?:dot|\.)[ ]?[\])][ ]?|[ ]dot[ ])[a-z0-9-]++)++", re.I)
+AT = re.compile(r"(?:@|\bat\b).+?\W", re.I)
+AT_DOT = re.compile(r"\bat\b\W*\w[\w-]*\s*[\[({<]?\s*(?:\.|\bdot\b)\s*[\])}>]?\s*\w", re.I)
 
 WINDOW, STRIDE = 96, 64
 HIDDEN = 12
@@ -79,6 +87,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def spelled_emails(text: str) -> list[tuple[int, int, int]]:
+    """E-mails with ``@``, ``(at)`` or ``[at]`` and looser blanks and dots, as (start, kind, end)."""
+    found, last = [], 0
+    for m in SPELLED.finditer(text):
+        head = text[last : m.start()]
+        if run := len(head) - len(head.rstrip(LOCAL)):
+            found.append((m.start() - run, 0, m.end()))
+        last = m.end()
+    return found
+
+
 def shown(found: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(found))
 
@@ -132,20 +151,37 @@ class Tagger:
         b, _ = self._run(x, "b", False)
         return np.concatenate([f, b], 2) @ self.w["o"] + self.w["ob"]
 
-    def decode(self, x: np.ndarray) -> np.ndarray:
-        """Best label sequences (time, batch)."""
-        e, t = self.emissions(x), self.w["t"]
-        score, back = e[0], np.empty(x.shape + (LABELS,), np.int8)
-        for k in range(1, len(x)):
-            all_ = score[:, :, None] + t[None]
-            back[k] = all_.argmax(1)
-            score = all_.max(1) + e[k]
-        best = np.empty(x.shape, np.int8)
-        best[-1] = score.argmax(1)
-        rows = np.arange(x.shape[1])
-        for k in range(len(x) - 1, 0, -1):
-            best[k - 1] = back[k][rows, best[k]]
-        return best
+    def paths(self, emissions: list[np.ndarray], size: int = 500_000) -> list[np.ndarray]:
+        """Best label sequence of each (time, label) array; arrays of like length run together."""
+        t = self.w["t"]
+        order = sorted((k for k in range(len(emissions))), key=lambda k: -len(emissions[k]))
+        out: list[np.ndarray] = [np.empty(0, np.int8)] * len(emissions)
+        while order:
+            most = len(emissions[order[0]])
+            count = 1
+            while count < len(order) and 2 * len(emissions[order[count]]) > most and (count + 1) * most <= size:
+                count += 1
+            part, order = order[:count], order[count:]
+            lengths = np.array([len(emissions[k]) for k in part])
+            e = np.zeros((most, count, LABELS), np.float32)
+            for row, k in enumerate(part):
+                e[: lengths[row], row] = emissions[k]
+            score, back = e[0].copy(), np.empty((most, count, LABELS), np.int8)
+            active = np.searchsorted(-lengths, -np.arange(most), side="left")    # rows longer than k
+            for k in range(1, most):
+                n = active[k]
+                through = score[:n, :, None] + t
+                back[k, :n] = through.argmax(1)
+                score[:n] = through.max(1) + e[k, :n]
+            best = np.empty((most, count), np.int8)
+            last, rows = score.argmax(1), np.arange(count)
+            best[lengths - 1, rows] = last
+            for k in range(most - 1, 0, -1):
+                n = active[k]
+                best[k - 1, :n] = back[k, rows[:n], best[k, :n]]
+            for row, k in enumerate(part):
+                out[k] = best[: lengths[row], row]
+        return out
 
     def _gradients(self, x: np.ndarray, y: np.ndarray):
         """Mean negative log-likelihood and its gradients."""
@@ -229,10 +265,8 @@ def _variants(rng: np.random.Generator) -> tuple[str, int]:
     pick = lambda *xs: xs[rng.integers(0, len(xs))]
     kind = int(rng.integers(0, 4))
     if kind == 0:
-        at, dot = pick("@", "@", " @ ", "(at)", " [at] "), pick(".", ".", " . ", "[.]")
+        at, dot = pick("@", "@", " @ ", "(at)", " [at] ", " (at) "), pick(".", ".", " . ", "[.]", " [dot] ")
         user = word() + pick("", "." + word(), "." + digits(2), "_" + digits(2))
-        if "@" not in at and not any(c.isdigit() for c in user):
-            user += digits(2)
         return user + at + word() + pick("", digits(1)) + dot + pick("com", "org", "net", "example.com"), 0
     if kind == 1:
         dot = pick(".", ".", "[.]", " . ", "(.)")
@@ -252,14 +286,15 @@ def _variants(rng: np.random.Generator) -> tuple[str, int]:
 
 
 def _distractor(rng: np.random.Generator) -> str:
-    """Digits that are no personal data."""
+    """Digits and uses of ``at`` that are no personal data."""
     pick = lambda *xs: xs[rng.integers(0, len(xs))]
     digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
     hexa = "".join("0123456789abcdef"[k] for k in rng.integers(0, 16, rng.integers(12, 41)))
     plain = digits(15)
     while luhn(plain):
         plain = digits(15)
-    return pick(digits(rng.integers(1, 13)), hexa, hexa, f'"{hexa}"', f"{digits(4)}-{digits(2)}-{digits(2)}", plain,
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(3, 9)))
+    return pick(f"{word()} at {word()}. {word()}", digits(rng.integers(1, 13)), hexa, hexa, f'"{hexa}"', f"{digits(4)}-{digits(2)}-{digits(2)}", plain,
                 f"{digits(2)}:{digits(2)}", f"{digits(1)}.{digits(2)}", f"{digits(1)}.{digits(1)}.{digits(1)}",
                 f"version {digits(1)}.{digits(1)}", f"@{hexa[:4]}", f"${digits(3)},{digits(3)}", f"CC BY-NC {digits(1)}.0",
                 f"https://a.example/{digits(5)}")
@@ -320,42 +355,86 @@ def train(docs: DataFrame, sample_docs: int = TRAIN_DOCS, steps: int = TRAIN_STE
     return tagger
 
 
-def tagged_spans(tagger: Tagger, texts: list[str], chunk: int = 2048) -> list[list[tuple[int, int, int]]]:
-    """Spans of whole texts from overlapping windows."""
-    labels, jobs = {}, []
-    for k, text in enumerate(texts):
-        starts = sorted({s for m in HINT.finditer(text) for s in _windows_of(m.start())})
-        if starts:
-            c = codes(text)
-            labels[k] = np.zeros(len(c), np.int8)
-            jobs += [(k, s, c) for s in starts if s < len(c)]
+def _stretches(text: str) -> list[list]:
+    """[first window, last window, no labels yet] of the windows at every hint and their neighbours."""
+    places = np.fromiter((m.start() for m in HINT.finditer(text)), np.int64)
+    if not len(places):
+        return []
+    at = np.unique(places // STRIDE)
+    low, high = np.maximum(at - 2, 0), np.minimum(at + 1, (len(text) - 1) // STRIDE)
+    cut = np.flatnonzero(low[1:] > high[:-1] + 1)
+    return [[a, b, None] for a, b in zip(low[np.append(0, cut + 1)].tolist(), high[np.append(cut, len(at) - 1)].tolist())]
+
+
+def _stretch_emissions(tagger: Tagger, stretches: list[tuple[np.ndarray, int, int]], chunk: int) -> list[np.ndarray]:
+    """Emissions of every character of (codes, first window, last window), averaged over its windows."""
+    weight = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)[:, None]
+    spans_ = [(a * STRIDE, min(len(c), b * STRIDE + WINDOW)) for c, a, b in stretches]
+    total = [np.zeros((e - s, LABELS), np.float32) for s, e in spans_]
+    weights = [np.zeros((e - s, 1), np.float32) for s, e in spans_]
+    jobs = [(k, w * STRIDE) for k, (_, a, b) in enumerate(stretches) for w in range(a, b + 1)]
     for begin in range(0, len(jobs), chunk):
         part = jobs[begin : begin + chunk]
         x = np.full((len(part), WINDOW), 32, np.int16)
-        for row, (_, start, c) in enumerate(part):
-            piece = c[start : start + WINDOW]
+        for row, (k, start) in enumerate(part):
+            piece = stretches[k][0][start : start + WINDOW]
             x[row, : len(piece)] = piece
-        best = tagger.decode(np.ascontiguousarray(x.T)).T
-        margin = (WINDOW - STRIDE) // 2
-        for (k, start, c), row in zip(part, best):
-            # The middle of a window decides; a text's first and last window also decide its edge.
-            low = 0 if start == 0 else margin
-            high = WINDOW if start + WINDOW >= len(c) else WINDOW - margin
-            end = min(start + high, len(c))
-            if end > start + low:
-                labels[k][start + low : end] = row[low : end - start]
-    out = []
+        found = tagger.emissions(np.ascontiguousarray(x.T)) * weight[:, None]
+        for row, (k, start) in enumerate(part):
+            low = start - spans_[k][0]
+            n = min(WINDOW, len(total[k]) - low)
+            total[k][low : low + n] += found[:n, row]
+            weights[k][low : low + n] += weight[:n]
+    return [t / w for t, w in zip(total, weights)]
+
+
+def _label(tagger: Tagger, texts: list[str], held: dict[int, list[list]], chunk: int) -> dict[int, np.ndarray]:
+    """Labels of the texts whose stretches are ``held``, grown until no labelled run reaches an edge."""
+    c = {k: codes(texts[k]) for k in held}
+    while True:
+        todo = [(k, s) for k, parts in held.items() for s in parts if s[2] is None]
+        if not todo:
+            break
+        best = tagger.paths(_stretch_emissions(tagger, [(c[k], s[0], s[1]) for k, s in todo], chunk))
+        for (k, s), found in zip(todo, best):
+            s[2], grow, last = found, (s[1] - s[0]) // 2 + 1, (len(c[k]) - 1) // STRIDE
+            if found[0] and s[0] > 0:
+                s[0], s[2] = max(0, s[0] - grow), None
+            if found[-1] and s[1] * STRIDE + WINDOW < len(c[k]):
+                s[1], s[2] = min(last, s[1] + grow), None
+        for k in {k for k, s in todo if s[2] is None}:
+            joined: list[list] = []
+            for s in held[k]:
+                if joined and s[0] <= joined[-1][1] + 1:
+                    joined[-1] = [min(joined[-1][0], s[0]), max(joined[-1][1], s[1]), None]
+                else:
+                    joined.append(s)
+            held[k] = joined
+    labels = {}
+    for k, parts in held.items():
+        labels[k] = np.zeros(len(c[k]), np.int8)
+        for a, _, found in parts:
+            labels[k][a * STRIDE : a * STRIDE + len(found)] = found
+    return labels
+
+
+def tagged_spans(
+    tagger: Tagger, texts: list[str], chunk: int = 2048, chars: int = 500_000,
+) -> list[list[tuple[int, int, int]]]:
+    """Spans of whole texts; about ``chars`` characters are labelled at a time, which bounds the memory."""
+    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    held, size = {}, 0
     for k, text in enumerate(texts):
-        out.append(_spans_of(labels[k], text) if k in labels else [])
+        if parts := _stretches(text):
+            held[k] = parts
+            size += sum(b - a + 2 for a, b, _ in parts) * STRIDE
+        if held and (size >= chars or k == len(texts) - 1):
+            for done, labels in _label(tagger, texts, held, chunk).items():
+                out[done] = with_added(spelled_emails(texts[done]), _spans_of(labels, texts[done]))
+            held, size = {}, 0
     return out
 
 
-def _windows_of(at: int) -> list[int]:
-    """Starts of the windows that hold position ``at``."""
-    last = at // STRIDE * STRIDE
-    return [s for s in (last, last - STRIDE) if s >= 0 and at < s + WINDOW]
-
-
 def _spans_of(labels: np.ndarray, text: str) -> list[tuple[int, int, int]]:
     kind = np.where(labels > 0, (labels - 1) // 2, -1)
     begin = (labels > 0) & (labels % 2 == 1)
@@ -372,7 +451,8 @@ def _spans_of(labels: np.ndarray, text: str) -> list[tuple[int, int, int]]:
         part = text[s:e]
         digits = sum("0" <= c <= "9" for c in part)
         k = int(kind[min(s, len(kind) - 1)]) if s < e else -1
-        if (k == 0 and ("@" in part or digits) and re.search(r"(@|\bat\b).+?\W", part)) or (
+        # With the whole text, so that the word at is one there too.
+        if (k == 0 and (AT if "@" in part or digits else AT_DOT).search(text, s, e)) or (
                 k == 1 and 4 <= digits <= 12 and len(re.findall(r"[0-9]+", part)) == 4) or (
                 k == 2 and 14 <= digits <= 19 and luhn("".join(re.findall(r"[0-9]", part)))) or (
                 k == 3 and 10 <= digits <= 15 and not re.search(r"[a-z]", part)):

@@ -432,6 +432,13 @@ def test_tagger_on_held_out_spans(tagger):
     assert hits >= 0.85 * n and wrong <= 0.03 * n
 
 
+def test_respelled_emails_without_digits_are_found(tagger):
+    for k, span in enumerate(("jane.doe (at) mail [dot] org", "jane(at)mail.org", "ann_b [at] mail.example.com") * 3):
+        text = prose(3000 + k, 60 + k) + " " + span + " " + prose(4000 + k, 60)
+        start = text.index(span)
+        assert (start, 0, start + len(span)) in private_data.tagged_spans(tagger, [text])[0]
+
+
 def test_gradients_of_the_tagger():
     model = private_data.Tagger(hidden=3)
     model.w = {k: v.astype(np.float64) for k, v in model.w.items()}
