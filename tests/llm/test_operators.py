@@ -439,6 +439,27 @@ def test_respelled_emails_without_digits_are_found(tagger):
         assert (start, 0, start + len(span)) in private_data.tagged_spans(tagger, [text])[0]
 
 
+def test_all_windows_that_can_hold_a_span_are_read_and_joined():
+    class Fixed(private_data.Tagger):
+        """Every run without blanks is a card."""
+
+        def emissions(self, x):
+            e = np.zeros((*x.shape, private_data.LABELS), np.float32)
+            e[..., 0] = (x == 32) * 9.0
+            e[..., 6] = (x != 32) * 9.0
+            return e
+
+    model = Fixed()
+    for before in range(0, 200, 3):           # over all places of a seam, with blanks and long neighbours
+        for span in ("4111111111111111", "4111-1111-1111-1111".ljust(150, "-") + "-"):
+            text = " " * before + span + " " * 150
+            assert private_data.tagged_spans(model, [text])[0] == [(before, 2, before + len(span))]
+    e = np.random.default_rng(1).normal(0, 1, (5, 40, private_data.LABELS)).astype(np.float32)
+    model.w["t"][:] = np.random.default_rng(2).normal(0, 1, model.w["t"].shape)
+    alone = [model.paths([x[: 8 + 7 * k]])[0].tolist() for k, x in enumerate(e)]
+    assert [p.tolist() for p in model.paths([x[: 8 + 7 * k] for k, x in enumerate(e)])] == alone
+
+
 def test_gradients_of_the_tagger():
     model = private_data.Tagger(hidden=3)
     model.w = {k: v.astype(np.float64) for k, v in model.w.items()}
