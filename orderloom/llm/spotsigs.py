@@ -45,8 +45,8 @@ def with_signatures(df: DataFrame, text: str, name: str) -> DataFrame:
     c = F.col("_c")
 
     def chain(x: Column, i: Column) -> Column:
-        parts = [F.substring(x, 2, 1_000_000)] + [
-            F.coalesce(F.substring(F.get(c, i + k), 2, 1_000_000), F.lit("")) for k in range(1, CHAIN)]
+        parts = [F.substr(x, F.lit(2))] + [
+            F.coalesce(F.substr(F.get(c, i + k), F.lit(2)), F.lit("")) for k in range(1, CHAIN)]
         return F.when(x.startswith("1"), F.conv(F.substring(F.md5(F.concat_ws(" ", *parts)), 1, 8), 16, 10).cast("long"))
 
     found = F.filter(F.transform(c, chain), lambda x: x.isNotNull())

@@ -592,6 +592,12 @@ def test_spot_signatures_of_awkward_rows(spark, docs, empty, parts):
     assert spotsigs.edited_likeness(empty).count() == 0
 
 
+def test_spot_signatures_take_whole_words(spark):
+    frame = spark.createDataFrame([("x" * 1_000_001 + end,) for end in ("a", "b")], "text string")
+    a, b = [r.s for r in spotsigs.with_signatures(frame, "text", "s").collect()]
+    assert len(a) == len(b) == 1 and a != b
+
+
 def test_near_pairs_equal_brute_force(spark):
     texts = []
     for k in range(20):
