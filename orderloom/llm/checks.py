@@ -105,3 +105,57 @@ found AS (SELECT doc_id, min(name) FILTER (WHERE whole) AS license,
                  array_to_string(list_sort(list(DISTINCT name) FILTER (WHERE NOT whole)), ',') AS notices FROM hits GROUP BY 1)
 SELECT d.doc_id, license, coalesce(notices, '') AS notices FROM documents d LEFT JOIN found ON found.doc_id = d.doc_id
 """
+
+# Cyclic redundancy codes by table; ids and turns are ASCII.
+_CRC = """
+tab AS (SELECT list_transform(range(256), lambda i : list_reduce(range(8), lambda c, k :
+          CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t)"""
+
+TURN_REPAIR = rf"""
+WITH RECURSIVE {_CRC},
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(4294967295, list_reduce(
+            list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x : ascii(x)::BIGINT),
+            lambda c, b : xor(c >> 8, t[1 + (xor(c, b) & 255)]), 4294967295)) % 20 AS d FROM conversations, tab),
+damaged AS (SELECT conv_id, turn, CASE WHEN d = 4 THEN 'user' ELSE role END AS role,
+                   CASE d WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+            FROM keyed, unnest(CASE WHEN d = 3 THEN [1, 2] ELSE [1] END) WHERE d <> 0),
+copies AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS copy FROM damaged),
+rows_ AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+                 CASE WHEN NOT regexp_matches(text, '{WORDS}') THEN 1 WHEN copy > 1 THEN 2
+                      WHEN right(regexp_replace(text, '[\x20\x09-\x0D]+$', ''), 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault
+          FROM copies),
+convs AS (SELECT row_number() OVER () AS c, conv_id FROM (SELECT DISTINCT conv_id FROM conversations)),
+numbered AS (SELECT c, r.*, count(*) OVER (PARTITION BY c) AS n, left(lag(role) OVER (PARTITION BY c ORDER BY i), 1) || left(role, 1) AS pair
+             FROM rows_ r JOIN convs ON r.conv_id IS NOT DISTINCT FROM convs.conv_id),
+moves AS (SELECT * FROM (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)) v(q, s, p)),
+inserts AS (SELECT * FROM (VALUES (0, 0, '', []::VARCHAR[]), (1, 1, '', []), (2, 2, '', []), (3, 3, '', []), (0, 2, 'I', ['user:']),
+              (1, 2, 'I', ['user:']), (3, 2, 'I', ['user:']), (2, 3, 'I', ['assistant:']), (0, 3, 'II', ['user:', 'assistant:']),
+              (1, 3, 'II', ['user:', 'assistant:'])) v(q, p, letters, lines)),
+edits AS (
+  SELECT c, i, 2 AS cost, 'D' AS letter, q, q AS p, []::VARCHAR[] AS lines FROM numbered, range(4) t(q)
+  UNION ALL SELECT c, i, CASE fault WHEN 3 THEN 5 ELSE 0 END, 'K', q, p, [role || ':' || text] FROM numbered JOIN moves ON s = left(role, 1)
+  WHERE fault IN (0, 3)
+  UNION ALL SELECT c, i, CASE fault WHEN 3 THEN 6 ELSE 1 END, 'R', q, p, [CASE s WHEN 'u' THEN 'user' ELSE 'assistant' END || ':' || text]
+  FROM numbered, moves WHERE fault IN (0, 3) AND s IN ('u', 'a')),
+steps AS (SELECT e.c, e.i, a.q, e.p, e.cost + 5 * len(a.letters) AS cost, a.letters || e.letter AS letters, a.lines || e.lines AS lines
+          FROM edits e JOIN inserts a ON a.p = e.q),
+reach AS (
+  SELECT c, 0 AS i, 0 AS q, 0 AS cost, '' AS audit, []::VARCHAR[] AS lines FROM convs
+  UNION ALL
+  SELECT c, i, p, m.cost, m.audit, m.lines FROM (
+    SELECT r.c, s.i::INTEGER AS i, s.p, arg_min({{cost: (r.cost + s.cost)::INTEGER, audit: r.audit || s.letters, lines: r.lines || s.lines}},
+                                     {{cost: (r.cost + s.cost)::INTEGER, audit: r.audit || s.letters}}) AS m
+    FROM reach r JOIN steps s ON s.c = r.c AND s.i = r.i + 1 AND s.q = r.q GROUP BY 1, 2, 3)),
+ends AS (SELECT c, arg_min({{cost: cost, audit: audit, lines: lines}}, {{cost: cost, audit: audit}}) AS m FROM (
+           SELECT r.c, r.cost + 5 * len(a.letters) AS cost, r.audit || a.letters AS audit, r.lines || a.lines AS lines
+           FROM reach r JOIN inserts a ON a.q = r.q JOIN (SELECT c, max(n) AS n FROM numbered GROUP BY 1
+             UNION ALL SELECT c, 0 FROM convs WHERE c NOT IN (SELECT c FROM numbered)) t ON t.c = r.c AND t.n = r.i
+           WHERE a.p IN (0, 3)) GROUP BY 1),
+counts AS (SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 1) AS blank,
+                  count(*) FILTER (WHERE fault = 2) AS duplicate, count(*) FILTER (WHERE fault = 3) AS truncated,
+                  count(*) FILTER (WHERE pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM numbered GROUP BY 1)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, m.cost::BIGINT AS cost, m.audit AS audit,
+       sha256(array_to_string(m.lines, chr(10))) AS repaired_sha256
+FROM convs JOIN ends USING (c) LEFT JOIN counts USING (c)
+"""

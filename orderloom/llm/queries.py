@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from orderloom.llm import (
-    checks, curriculum, lattice, licenses, packing, parity, private_data, recompress, resampling, spotsigs, toxicity,
+    checks, crosstoken, curriculum, lattice, lexicon, licenses, packing, parity, private_data, recompress, resampling,
+    spotsigs, toxicity, turnrepair,
 )
 from orderloom.llm.common import table
 
@@ -74,3 +75,19 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_license_digests", checks.LICENSES)
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents"))
+
+
+@query("op11_transducer_codec")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return lexicon.op11(table(spark, folder, "documents"), packing.public_tokenizer())
+
+
+@query("op12_token_anchors")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return crosstoken.aligned(
+        table(spark, folder, "documents"), packing.public_tokenizer("byte_bpe_50k.json"), packing.public_tokenizer("piece_bpe_32k.model"))
+
+
+@query("op13_turn_repair", checks.TURN_REPAIR)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return turnrepair.op13(table(spark, folder, "conversations"))
