@@ -27,6 +27,7 @@ import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +37,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orderloom.llm.common import batches, map_batches
+from orderloom.operators.ordering import running_totals
 
-LEXICON_WORDS = 50_000       # words in the transducer; more costs the driver time, fewer the tasks
+LEXICON_WORDS = 100_000      # words in the transducer; more costs the driver time, fewer the tasks
 LONGEST = 64                 # bytes of a word in it
+SHORT = 64                   # bytes of a word that is merged by looking at all its pairs each time
+HELD_MERGES = 100_000        # merged words that a worker keeps
 HELD_WORDS = 300_000         # distinct words that a counting task holds before it hands them on
 # The tokenizer's normaliser, word pattern and word end (fixed values).
 NORMALISER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -76,40 +80,56 @@ class Merges:
             raise ValueError(f"{path}: not a byte-level BPE with word ends, lower case and no decoder")
         vocab = model["vocab"]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.rank = {(vocab[a], vocab[b]): (k, vocab[a + b]) for k, (a, b) in enumerate(pairs)}
+        self.rank = {(vocab[a], vocab[b]): k for k, (a, b) in enumerate(pairs)}
+        self.joined = [vocab[a + b] for a, b in pairs]
         letters = {b: c for c, b in byte_letters().items()}
         self.inner = [vocab[letters[b]] for b in range(256)]
         self.last = [vocab[letters[b] + WORD_END] for b in range(256)]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.added.items()}
+        self.merged: dict[bytes, bytes] = {}     # unseen words of this worker; emptied when it is full
 
     def ids(self, word: bytes) -> list[int]:
         """Ids of one word: the pair of the earliest merge first, the leftmost of equals."""
         if not word:
             return []
         ids = [self.inner[b] for b in word[:-1]] + [self.last[word[-1]]]
+        if len(ids) > SHORT:
+            return self._long(ids)
+        get, none = self.rank.get, len(self.joined)
+        ranks = [get(pair, none) for pair in zip(ids, ids[1:])]
+        while ranks and (best := min(ranks)) < none:
+            k = ranks.index(best)
+            ids[k] = new = self.joined[best]
+            del ids[k + 1], ranks[k]
+            if k < len(ranks):
+                ranks[k] = get((new, ids[k + 1]), none)
+            if k:
+                ranks[k - 1] = get((ids[k - 1], new), none)
+        return ids
+
+    def _long(self, ids: list[int]) -> list[int]:
+        """The same with a queue of pairs, for words of any length."""
         rank = self.rank
         after = list(range(1, len(ids) + 1))
         before = list(range(-1, len(ids) - 1))
-        waiting = [(*m, k, a) for k, (a, b) in enumerate(zip(ids, ids[1:])) if (m := rank.get((a, b)))]
-        heapq.heapify(waiting)
-        # Entries: (rank, k, merged id, left id); a stale one no longer finds its two neighbours.
-        waiting = [(r, k, new, a, ids[k + 1]) for r, new, k, a in waiting]
+        # Entries: (rank, place, left id, right id); a stale one no longer finds its two ids.
+        waiting = [(r, k, *pair) for k, pair in enumerate(zip(ids, ids[1:])) if (r := rank.get(pair)) is not None]
         heapq.heapify(waiting)
         while waiting:
-            _, k, new, a, b = heapq.heappop(waiting)
+            r, k, a, b = heapq.heappop(waiting)
             n = after[k]
             if ids[k] != a or n >= len(ids) or ids[n] != b:
                 continue
-            ids[k], ids[n] = new, -1
-            after[k] = after[n]
-            if after[n] < len(ids):
-                before[after[n]] = k
-                if m := rank.get((new, ids[after[k]])):
-                    heapq.heappush(waiting, (m[0], k, m[1], new, ids[after[k]]))
+            ids[k], ids[n] = new, _ = self.joined[r], -1
+            after[k] = n = after[n]
+            if n < len(ids):
+                before[n] = k
+                if (r := rank.get((new, ids[n]))) is not None:
+                    heapq.heappush(waiting, (r, k, new, ids[n]))
             p = before[k]
-            if p >= 0 and (m := rank.get((ids[p], new))):
-                heapq.heappush(waiting, (m[0], p, m[1], ids[p], new))
+            if p >= 0 and (r := rank.get((ids[p], new))) is not None:
+                heapq.heappush(waiting, (r, p, ids[p], new))
         return [i for i in ids if i >= 0]
 
 
@@ -141,11 +161,13 @@ class Splitter:
 
     def of(self, chunk: str | bytes) -> list[bytes]:
         """The words of a chunk; an added token is its text and a byte that ends no word."""
-        return [chunk] if isinstance(chunk, bytes) else [w.encode() for w in self.words(chunk)]
+        if isinstance(chunk, bytes):
+            return [chunk]
+        return [chunk.encode()] if chunk.isalpha() else [w.encode() for w in self.words(chunk)]
 
 
-def frequent_words(docs: DataFrame, tokenizer: str, limit: int = LEXICON_WORDS) -> list[str]:
-    """The ``limit`` most frequent words of all documents, as Latin-1 images of their bytes.
+def frequent_words(docs: DataFrame, tokenizer: str, limit: int = LEXICON_WORDS) -> list[bytes]:
+    """The ``limit`` most frequent words of all documents as bytes, equal counts by word.
 
     Every word of every text is counted: in the map task first, then by word. A task hands its
     counts on when it holds many words.
@@ -173,7 +195,9 @@ def frequent_words(docs: DataFrame, tokenizer: str, limit: int = LEXICON_WORDS)
         yield from batches(counted(), schema)
 
     counts = map_batches(docs.select("text"), step, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r.word) for r in counts.orderBy(F.desc("n"), "word").limit(limit).select("word").collect()]
+    # The place of a word in the order comes from a range sort; only the words wanted leave the tasks.
+    placed = running_totals(counts.withColumn("_one", F.lit(1)), [F.desc("n"), F.col("word")], {"_one": "_place"})
+    return [bytes(r.word) for r in placed.where(F.col("_place") <= limit).orderBy("_place").select("word").collect()]
 
 
 def compile_transducer(entries: Iterable[tuple[bytes, tuple[int, ...]]]) -> np.ndarray:
@@ -301,17 +325,22 @@ def batch_ids(texts: list[str | None], merges: Merges, splitter: Splitter, lexic
     cut = [splitter.chunks(t) if t else [] for t in texts]
     chunks = list(set().union(*cut))
     parts = [splitter.of(c) for c in chunks]
-    words = list({w for p in parts for w in p})
+    words = list(set().union(*parts))
     found, begins, ids = lexicon.walk(words)
-    data = ids.astype("<i4").tobytes()
-    value = {}
-    for word, held, a, b in zip(words, found.tolist(), begins.tolist(), begins[1:].tolist()):
-        if held:
-            value[word] = data[4 * a : 4 * b]
-        elif word.endswith(b"\xff"):         # no UTF-8 text ends so: an added token
-            value[word] = merges.added[word[:-1].decode()].to_bytes(4, "little")
-        else:
-            value[word] = np.array(merges.ids(word), "<i4").tobytes()
+    data, cuts = ids.astype("<i4").tobytes(), (4 * begins).tolist()
+    value = {word: data[a:b] for word, a, b in zip(words, cuts, cuts[1:])}
+    for k in np.flatnonzero(~found).tolist():
+        word = words[k]
+        # No UTF-8 text ends in this byte: an added token.
+        own = merges.merged.get(word)
+        if own is None:
+            part = [merges.added[word[:-1].decode()]] if word.endswith(b"\xff") else merges.ids(word)
+            own = pack(f"<{len(part)}i", *part)
+            if len(merges.merged) >= HELD_MERGES:
+                merges.merged.clear()
+            if len(word) <= LONGEST:
+                merges.merged[word] = own
+        value[word] = own
     whole = {c: value[p[0]] if len(p) == 1 else b"".join(map(value.__getitem__, p)) for c, p in zip(chunks, parts)}
     return [b"".join(map(whole.__getitem__, c)) for c in cut]
 
