@@ -26,6 +26,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 from struct import pack
 
 import numpy as np
@@ -46,10 +47,13 @@ MARK = "▁"              # how sentence pieces write a blank
 
 
 class Side:
-    """A tokenizer as id lists, with the bytes of every id."""
+    """A tokenizer as id lists, with the bytes of every id.
 
-    def __init__(self, pieces: list[bytes], encode):
-        self.pieces, self.encode = pieces, encode
+    ``lossless``: its tokens spell every text by construction, so their lengths are check enough.
+    """
+
+    def __init__(self, pieces: list[bytes], encode, lossless: bool = False):
+        self.pieces, self.encode, self.lossless = pieces, encode, lossless
         self.widths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         self.opens = np.fromiter((p[:1] == b" " for p in pieces), bool, len(pieces))
 
@@ -93,7 +97,8 @@ def byte_level_side(path: str) -> Side:
         ranks = tiktoken.Encoding(
             "ranks", pat_str=BYTE_LEVEL_WORDS, mergeable_ranks={p: i for i, p in enumerate(pieces)}, special_tokens={})
         long_gap = re.compile(r"\s{2000}").search      # the encoder of ranks recurses once per blank
-        return Side(pieces, lambda text: exact(text) if long_gap(text) else ranks.encode_ordinary(text))
+        # The pattern takes every character and merges only join bytes: nothing of a text is lost.
+        return Side(pieces, lambda text: exact(text) if long_gap(text) else ranks.encode_to_numpy(text, disallowed_special=()), True)
     return Side(pieces, exact)
 
 
@@ -117,7 +122,8 @@ class Aligner:
 
     def __init__(self, a: Side, b: Side, held: int = HELD_WINDOWS):
         self.a, self.b, self.held = a, b, held
-        self.width_a, self.width_b = a.widths.tolist(), b.widths.tolist()
+        self.a_width, self.b_width = a.widths.tolist().__getitem__, b.widths.tolist().__getitem__
+        self.a_text, self.b_text = ([str(i) for i in range(len(side.pieces))].__getitem__ for side in (a, b))
         self.known: dict[tuple[bytes, bytes], tuple[str, bytes]] = {}
 
     def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
@@ -127,9 +133,12 @@ class Aligner:
         first, second = self.a.encode(" " + text), self.b.encode(text)
         spelled = (" " + text).encode()
         for side, ids in ((self.a, first), (self.b, second)):
-            if b"".join(map(side.pieces.__getitem__, ids)) != spelled:
+            if not side.lossless and b"".join(map(side.pieces.__getitem__, ids)) != spelled:
                 return None
-        return np.array(first, "<i4"), np.array(second, "<i4")
+        first, second = np.asarray(first, "<i4"), np.asarray(second, "<i4")
+        if self.a.widths[first].sum() != len(spelled) or self.b.widths[second].sum() != len(spelled):
+            return None
+        return first, second
 
     def cuts(self, a_ids: np.ndarray, b_ids: np.ndarray) -> tuple[list[int], list[int]]:
         """Token positions in both sides of the shared ends before tokens that begin with a blank."""
@@ -146,20 +155,17 @@ class Aligner:
 
     def align(self, a_ids: list[int], b_ids: list[int]) -> tuple[str, bytes]:
         """The groups of one window as text, and its links as pairs of 64-bit numbers."""
+        a_text, b_text = [*map(self.a_text, a_ids)], [*map(self.b_text, b_ids)]
         if len(a_ids) == 1 or len(b_ids) == 1:          # the ends of the window are all they share
-            return f"{','.join(map(str, a_ids))}|{','.join(map(str, b_ids))}", pack("<q", a_ids[-1] << 32 | b_ids[-1])
-        width_a, width_b = self.width_a, self.width_b
+            return f"{','.join(a_text)}|{','.join(b_text)}", pack("<q", a_ids[-1] << 32 | b_ids[-1])
+        ending = dict(zip(accumulate(map(self.b_width, b_ids)), range(1, len(b_ids) + 1))).get
         groups, links = [], []
-        i = j = begin_a = begin_b = at_a = at_b = 0
-        while i < len(a_ids) or j < len(b_ids):
-            if at_a <= at_b:
-                at_a += width_a[a_ids[i]]
-                i += 1
-            else:
-                at_b += width_b[b_ids[j]]
-                j += 1
-            if at_a == at_b:
-                groups.append(f"{','.join(map(str, a_ids[begin_a:i]))}|{','.join(map(str, b_ids[begin_b:j]))}")
+        begin_a = begin_b = 0
+        for i, end in enumerate(accumulate(map(self.a_width, a_ids)), 1):
+            j = ending(end)
+            if j is not None:
+                groups.append(f"{a_text[begin_a]}|{b_text[begin_b]}" if i == begin_a + 1 and j == begin_b + 1 else
+                              f"{','.join(a_text[begin_a:i])}|{','.join(b_text[begin_b:j])}")
                 links.append(a_ids[i - 1] << 32 | b_ids[j - 1])
                 begin_a, begin_b = i, j
         return ";".join(groups), pack(f"<{len(links)}q", *links)
@@ -169,18 +175,18 @@ class Aligner:
         cut_a, cut_b = self.cuts(a_ids, b_ids)
         raw_a, raw_b = a_ids.tobytes(), b_ids.tobytes()
         known = self.known
-        groups, links = [], []
-        for p, q, r, s in zip(cut_a, cut_a[1:], cut_b, cut_b[1:]):
-            key = raw_a[4 * p : 4 * q], raw_b[4 * r : 4 * s]
-            found = known.get(key)
-            if found is None:
-                found = self.align(a_ids[p:q].tolist(), b_ids[r:s].tolist())
-                if len(known) >= self.held:
-                    known.clear()
-                known[key] = found
-            groups.append(found[0])
-            links.append(found[1])
-        return ";".join(groups), np.frombuffer(b"".join(links), np.int64)
+        keys = [(raw_a[4 * p : 4 * q], raw_b[4 * r : 4 * s]) for p, q, r, s in zip(cut_a, cut_a[1:], cut_b, cut_b[1:])]
+        found = list(map(known.get, keys))
+        if None in found:
+            for k, key in enumerate(keys):
+                if found[k] is None:
+                    found[k] = known.get(key)
+                    if found[k] is None:
+                        if len(known) >= self.held:
+                            known.clear()
+                        found[k] = known[key] = self.align(
+                            a_ids[cut_a[k] : cut_a[k + 1]].tolist(), b_ids[cut_b[k] : cut_b[k + 1]].tolist())
+        return ";".join([f[0] for f in found]), np.frombuffer(b"".join([f[1] for f in found]), np.int64)
 
 
 DOC_ROWS = pa.schema([
@@ -204,16 +210,14 @@ def alignments(
         task = TaskContext.get().partitionId() << 32
         block, size = 0, 0
         rows: list[tuple] = []
-        links: list[np.ndarray] = []
+        links: list[tuple[np.ndarray, np.ndarray]] = []     # a document's pairs, and how often it links each
 
         def closed() -> pa.RecordBatch:
             nonlocal block, size
-            lengths = [len(x) for x in links]
-            pairs, place = np.unique(np.concatenate(links), return_inverse=True)
-            counts = np.bincount(place, minlength=len(pairs)).astype(np.int64)
+            pairs, place = np.unique(np.concatenate([x for x, _ in links]), return_inverse=True)
+            counts = np.bincount(place, np.concatenate([n for _, n in links]), len(pairs)).astype(np.int64)
             number, out = task + block, []
-            for row, own in zip(rows, np.split(place, np.cumsum(lengths)[:-1])):
-                held, times = np.unique(own, return_counts=True)
+            for row, held, (_, times) in zip(rows, np.split(place, np.cumsum([len(x) for x, _ in links])[:-1]), links):
                 out.append((number, *row, held.astype(np.int32), times.astype(np.int32), None, None))
             out.append((number, *[None] * 8, pairs, counts))
             rows.clear()
@@ -231,7 +235,7 @@ def alignments(
                     groups, own = aligner.windows(*ids)
                     rows.append((doc_id, len(ids[0]), len(ids[1]), len(own), groups if texts else None,
                                  hashlib.sha256(groups.encode()).hexdigest()))
-                links.append(own)
+                links.append(np.unique(own, return_counts=True))
                 size += len(own)
                 if size >= block_links or len(rows) >= block_docs:
                     yield closed()
