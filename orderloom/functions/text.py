@@ -36,14 +36,20 @@ def unaccent(text: Column) -> Column:
     marked, plain, several = _plain_forms()
     known = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
     spelled = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(F.try_element_at(known, c), c)), "")
-    # Texts with such characters are rare; only they are taken apart.
-    whole = F.when(text.rlike(f"[{''.join(several)}]"), spelled).otherwise(text)
-    return F.regexp_replace(F.translate(whole, marked, plain), r"\p{Mn}", "")
+    # Texts with such characters are rare: a translation that drops them finds those texts, and only they are taken apart.
+    whole = F.when(F.translate(text, "".join(several), "") != text, spelled).otherwise(text)
+    return F.when(is_ascii(text), text).otherwise(F.regexp_replace(F.translate(whole, marked, plain), r"\p{Mn}", ""))
+
+
+def is_ascii(text: Column) -> Column:
+    """Whether a text has as many bytes as characters."""
+    return F.octet_length(text) == F.char_length(text)
 
 
 def fold(text: Column) -> Column:
     """Lower case without accents, ASCII only."""
-    return F.regexp_replace(unaccent(F.lower(text)), r"[^\x00-\x7F]", "")
+    lowered = F.lower(text)
+    return F.when(is_ascii(lowered), lowered).otherwise(F.regexp_replace(unaccent(lowered), r"[^\x00-\x7F]", ""))
 
 
 def tokens(text: Column, pattern: str = WORD) -> Column:
