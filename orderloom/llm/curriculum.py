@@ -11,7 +11,7 @@ order: complete hash buckets, then the documents of one bucket that still fit, s
 come within the smallest left-out document of that bucket to the target.
 
 Defined cases. Null or empty text: size 0, taken 0. Null source: a source of its own, last. Rows
-that are equal in all columns share one decision. Equal doc_ids with other content are documents of
+that are equal in all columns are numbered, and as many of them as fit get the copy more. Equal doc_ids with other content are documents of
 their own. Empty table: empty result. Other columns are carried by ``mixed`` and ignored elsewhere.
 """
 
@@ -71,30 +71,30 @@ def source_targets(
 
 
 def _fill(frame: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket, in hashed order: every document that still fits, then the one exchange that helps most.
+    """Of one bucket, in hashed order: as many of every group of equal rows as still fit, then the one exchange that helps most.
 
     When most of the bucket is wanted, the documents to leave out are chosen that way.
     """
     frame = frame.sort_values(["h", "doc_id"], kind="stable", na_position="last")
-    mass = frame["mass"].to_numpy().astype(float)
+    size, rows = frame["size"].to_numpy().astype(float), frame["m"].to_numpy()
     room = float(frame["room"].iloc[0])
-    inverse = room > mass.sum() / 2
-    left = mass.sum() - room if inverse else room
-    picked = np.zeros(len(frame), dtype=bool)
-    for i, size in enumerate(mass):
-        if size <= left:
-            picked[i] = True
-            left -= size
-    picked ^= inverse
-    gap = room - mass[picked].sum()
+    inverse = room > (size * rows).sum() / 2
+    left = (size * rows).sum() - room if inverse else room
+    taken = np.zeros(len(frame), np.int64)
+    for i, (own, m) in enumerate(zip(size.tolist(), rows.tolist())):
+        taken[i] = min(m, int(left // own)) if own > 0 else 0
+        left -= taken[i] * own
+    if inverse:
+        taken = rows - taken
+    gap = room - (size * taken).sum()
     # One document more, one less, or one for another; 0 stands for none.
-    out, into = np.flatnonzero(picked), np.flatnonzero(~picked)
-    change = np.append(mass[into], 0)[:, None] - np.append(mass[out], 0)[None, :]
+    out, into = np.flatnonzero(taken > 0), np.flatnonzero(taken < rows)
+    change = np.append(size[into], 0)[:, None] - np.append(size[out], 0)[None, :]
     best = np.unravel_index(np.abs(gap - change).argmin(), change.shape)
     if abs(gap - change[best]) < abs(gap):
-        picked[into[best[0] : best[0] + 1]] = True
-        picked[out[best[1] : best[1] + 1]] = False
-    return frame.loc[picked, ["doc_id", "h"]]
+        taken[into[best[0] : best[0] + 1]] += 1
+        taken[out[best[1] : best[1] + 1]] -= 1
+    return frame.assign(c=taken).loc[taken > 0, ["doc_id", "h", "c", "m"]]
 
 
 def schedule(
@@ -105,8 +105,8 @@ def schedule(
 
     ``h`` identifies the row, ``positions`` has one training position in 0..1 per copy.
     """
-    rows = written(docs.select("doc_id", row_key(docs).alias("h"), "source", word_count(F.col("text")).alias("size")),
-                   "sizes")
+    rows = written(docs.select("doc_id", row_key(docs).alias("h"), "source", word_count(F.col("text")).alias("size"),
+                               F.monotonically_increasing_id().alias("row")), "sizes")
     targets = source_targets(rows, weights, slopes, max_epochs)
     parts = F.ceil(F.col("n_docs") / F.lit(bucket_docs)).cast("long")
     items = rows.groupBy("doc_id", "h", "source", "size").agg(F.count("*").alias("m"))
@@ -131,22 +131,33 @@ def schedule(
     whole = F.col("before") + F.col("in_bucket") <= F.col("rest")
     edge = (F.col("before") < F.col("rest")) & ~whole
     # One bucket of each source: bounded by bucket_docs.
-    chosen = (placed.where(edge).select("source", "doc_id", "h", "mass", (F.col("rest") - F.col("before")).alias("room"))
-              .groupBy("source").applyInPandas(_fill, "doc_id long, h long"))
-    chosen = chosen.select(F.col("doc_id").alias("c_id"), F.col("h").alias("c_h"), F.lit(1).alias("c"))
-    placed = placed.join(chosen, [F.col("doc_id").eqNullSafe(F.col("c_id")), F.col("h") == F.col("c_h")], "left")
-    copies = F.when(F.col("size") > 0, F.col("passes") + F.when(whole, 1).otherwise(F.coalesce("c", F.lit(0)))
-                    ).otherwise(0)
-    copies = F.least(copies, F.lit(max_epochs))
+    chosen = (placed.where(edge).select("source", "doc_id", "h", "size", "m", (F.col("rest") - F.col("before")).alias("room"))
+              .groupBy("source").applyInPandas(_fill, "doc_id long, h long, c long, m long"))
+    chosen = written(chosen.select(F.col("doc_id").alias("c_id"), F.col("h").alias("c_h"), "c", F.col("m").alias("c_m")), "chosen")
+    one_of = [F.col("doc_id").eqNullSafe(F.col("c_id")), F.col("h") == F.col("c_h")]
+    placed = placed.join(chosen, one_of, "left")
+    # Of equal rows, ``c`` get one copy more: rows of such groups are numbered over all tasks.
+    split = chosen.where("c < c_m")
+    if split.isEmpty():
+        rows = rows.withColumn("later", F.lit(False))
+    else:
+        numbered = running_totals(rows.join(split, one_of).select("doc_id", "h", "row", "c", F.lit(1).alias("_one")),
+                                  [F.col("row")], {"_one": "_place"}, by=["doc_id", "h"])
+        later = numbered.where("_place > c").select(F.col("row").alias("l_row"), F.lit(True).alias("later"))
+        rows = rows.join(later, F.col("row") == F.col("l_row"), "left").withColumn("later", F.coalesce("later", F.lit(False)))
+    more = F.when(whole | (F.coalesce("c", F.lit(0)) > 0), 1).otherwise(0)
+    copies = F.when(F.col("size") > 0, F.least(F.col("passes") + more, F.lit(max_epochs))).otherwise(0)
     middle = F.col("start") + F.col("mass") / 2
     u = lambda k: F.least((k * F.col("source_size") + middle) / F.col("target"), F.lit(1.0))
     at = lambda k: invert(u(k), F.col("slope"))
     planned = placed.select(
         F.col("doc_id").alias("p_id"), F.col("h").alias("p_h"), "source_size", "target", copies.alias("copies"), "start",
-        "mass", "slope").withColumn("positions", F.when(F.col("copies") > 0, F.transform(
+        "mass", "slope", more.alias("more")).withColumn("positions", F.when(F.col("copies") > 0, F.transform(
             F.sequence(F.lit(0), F.col("copies") - 1), at)).otherwise(F.array().cast("array<double>")))
+    own = F.when(F.col("later") & (F.col("copies") > 0), F.col("copies") - F.col("more")).otherwise(F.col("copies"))
     return rows.join(planned, [F.col("doc_id").eqNullSafe(F.col("p_id")), F.col("h") == F.col("p_h")]).select(
-        "doc_id", "h", "size", "source_size", "target", "copies", "positions")
+        "doc_id", "h", "size", "source_size", "target", own.cast("int").alias("copies"),
+        F.slice("positions", F.lit(1), own.cast("int")).alias("positions"))
 
 
 def invert(u: Column, slope: Column) -> Column:
@@ -159,11 +170,18 @@ def invert(u: Column, slope: Column) -> Column:
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The training set: each document once per copy, range-sorted by training position."""
-    plan = schedule(docs, **options).where("copies > 0").select(
-        F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "positions").dropDuplicates(["_id", "_h"])
+    plan = written(schedule(docs, **options).groupBy(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).agg(
+        F.max_by("positions", "copies").alias("positions"), F.max("copies").alias("most"), F.min("copies").alias("least"),
+        (F.sum("copies") - F.min("copies") * F.count("*")).alias("k")).where("most > 0"), "plan")
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), row_key(docs).alias("_key"))
-    copies = rows.join(plan, [F.col("_row.doc_id").eqNullSafe(F.col("_id")), F.col("_key") == F.col("_h")]).select(
-        "_row", "_key", F.explode("positions").alias("_position"))
+    rows = rows.join(plan, [F.col("_row.doc_id").eqNullSafe(F.col("_id")), F.col("_key") == F.col("_h")])
+    copies = rows.where("most = least").select("_row", "_key", F.explode("positions").alias("_position"))
+    if not plan.where("most > least").isEmpty():
+        # The first k of a group of equal rows have one copy more than the others.
+        split = running_totals(rows.where("most > least").withColumn("_one", F.lit(1)).withColumn("_n", F.monotonically_increasing_id()),
+                               [F.col("_n")], {"_one": "_place"}, by=["_id", "_h"])
+        own = F.when(F.col("_place") <= F.col("k"), F.col("most")).otherwise(F.col("least")).cast("int")
+        copies = copies.unionByName(split.select("_row", "_key", F.explode(F.slice("positions", F.lit(1), own)).alias("_position")))
     return copies.repartitionByRange("_position", "_key").sortWithinPartitions("_position", "_key").select("_row.*")
 
 

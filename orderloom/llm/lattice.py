@@ -104,6 +104,7 @@ def cells(unit: np.ndarray, labels: np.ndarray, tables: int = TABLES, blocks: in
 
 def _unit(data: list[bytes]) -> np.ndarray:
     x = np.stack([np.frombuffer(d, np.float64) for d in data])
+    x = x / np.abs(x).max(axis=1, keepdims=True)      # first to size 1, so that no square overflows or vanishes
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 

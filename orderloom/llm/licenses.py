@@ -12,6 +12,7 @@ result. Other columns: ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,7 +22,7 @@ from orderloom.llm.license_texts import KNOWN, SPELLINGS
 
 COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:©|\(c\)|copyright\s+(?:©|\(c\)|[0-9]|holder:)|all rights reserved)[^\n]*$"
 HOLLOW = r"[^\p{L}\p{N}]+"
-HINT = r"licen|permi|software|redistribut|warrant|copyright"   # every known text has one of these
+HINT = r"licen|permi|software|redistribut|warrant|copyright"   # looked for first, if every known text has one of these
 
 
 def canonical(text: Column) -> Column:
@@ -48,7 +49,9 @@ def scan(docs: DataFrame, known: Mapping[str, str] = KNOWN) -> DataFrame:
     units = docs.select("doc_id", text.alias("text")).select(
         "doc_id", F.explode(F.concat(F.array(F.struct(F.lit(True).alias("whole"), F.col("text").alias("unit"))), F.transform(
             F.split("text", "\n"), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("unit"))))).alias("u"))
-    units = units.select("doc_id", "u.whole", "u.unit").where(F.lower("unit").rlike(HINT))
+    units = units.select("doc_id", "u.whole", "u.unit")
+    if all(re.search(HINT, t.lower()) for t in known.values()):
+        units = units.where(F.lower("unit").rlike(HINT))
     # The known texts are a parameter: the broadcast has their number of rows.
     found = units.select("doc_id", "whole", digest(F.col("unit")).alias("digest")).join(
         F.broadcast(known_digests(docs.sparkSession, known)), "digest").groupBy("doc_id").agg(

@@ -39,6 +39,7 @@ HINT = re.compile(r"[0-9@]|\bat\b", re.I)     # every tagged span holds one (``_
 SPELLED = re.compile(             # e-mails in looser spellings, without the part before the @
     r"(?:@|[ ]@[ ]|[ ]?[\[(][ ]?at[ ]?[\])][ ]?)[a-z0-9-]++"
     r"(?:(?:\.|[ ]\.[ ]|[ ]?[\[(][ ]?(?:dot|\.)[ ]?[\])][ ]?|[ ]dot[ ])[a-z0-9-]++)++", re.I)
+LABEL = re.compile(r"[a-z0-9-]+$", re.I)
 AT = re.compile(r"(?:@|\bat\b).+?\W", re.I)
 AT_DOT = re.compile(r"\bat\b\W*\w[\w-]*\s*[\[({<]?\s*(?:\.|\bdot\b)\s*[\])}>]?\s*\w", re.I)
 
@@ -92,7 +93,8 @@ def spelled_emails(text: str) -> list[tuple[int, int, int]]:
     found, last = [], 0
     for m in SPELLED.finditer(text):
         head = text[last : m.start()]
-        if run := len(head) - len(head.rstrip(LOCAL)):
+        ending = LABEL.search(m[0])[0]           # a number such as 3.50 is no host
+        if (run := len(head) - len(head.rstrip(LOCAL))) and not ending.replace("-", "").isdigit():
             found.append((m.start() - run, 0, m.end()))
         last = m.end()
     return found

@@ -104,32 +104,50 @@ def log_odds(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def bucket_sums(docs: Sequence[Doc], y: np.ndarray, fold: np.ndarray) -> dict[tuple[int, bool], np.ndarray]:
-    """Per fold and class: documents, sum and sum of squares of every bucket; the last entry counts documents."""
+def common_buckets(docs: Sequence[Doc], least: int = 5) -> np.ndarray:
+    """Buckets of at least ``least`` documents, sorted; a model keeps no other."""
+    counts = np.zeros(BUCKETS, np.int32)
+    for at, _ in docs:
+        counts[at] += 1
+    return np.flatnonzero(counts >= least)
+
+
+def bucket_sums(
+    docs: Sequence[Doc], y: np.ndarray, fold: np.ndarray, common: np.ndarray,
+) -> dict[tuple[int, bool], np.ndarray]:
+    """Per fold and class: documents, sum and sum of squares of every common bucket; the last entry counts documents."""
+    place = np.full(BUCKETS, -1, np.int32)
+    place[common] = np.arange(len(common))
     sums = {}
     for f in np.unique(fold):
         for hit in (False, True):
-            own = [docs[i] for i in np.flatnonzero((fold == f) & (y == hit))]
-            flat = np.concatenate([np.empty(0, np.int64), *[d[0] for d in own]])
-            value = np.concatenate([np.empty(0), *[d[1] for d in own]])
-            sums[int(f), hit] = np.vstack([np.append(np.bincount(flat, w, BUCKETS), len(own))
-                                           for w in (None, value, value * value)])
+            total = np.zeros((3, len(common) + 1))
+            own = np.flatnonzero((fold == f) & (y == hit))
+            total[:, -1] = len(own)
+            for i in own:
+                at, value = place[docs[i][0]], docs[i][1].astype(float)
+                value, at = value[at >= 0], at[at >= 0]
+                total[0, at] += 1
+                total[1, at] += value
+                total[2, at] += value * value
+            sums[int(f), hit] = total
     return sums
 
 
 def select_words(
-    sums: dict[tuple[int, bool], np.ndarray], without: int | None = None, min_z: float = MIN_Z, most: int = MAX_WORDS,
+    sums: dict[tuple[int, bool], np.ndarray], common: np.ndarray, without: int | None = None, min_z: float = MIN_Z,
+    most: int = MAX_WORDS,
 ) -> np.ndarray:
     """Buckets whose mean differs between the classes by at least ``min_z`` standard errors, one fold left out."""
     one, zero = (sum((v for (f, hit), v in sums.items() if hit is side and f != without),
-                     np.zeros((3, BUCKETS + 1))) for side in (True, False))
+                     np.zeros((3, len(common) + 1))) for side in (True, False))
     n1, n0 = max(one[0, -1], 1), max(zero[0, -1], 1)
     count, total, squares = (one + zero)[:, :-1]
     spread = squares / (n1 + n0) - (total / (n1 + n0)) ** 2
     z = np.abs(one[1, :-1] / n1 - zero[1, :-1] / n0) / np.sqrt(np.maximum(spread, 1e-9) * (1 / n1 + 1 / n0))
     z[count < 5] = 0
     best = np.argsort(-z, kind="stable")[:most]
-    return np.sort(best[z[best] >= min_z])
+    return np.sort(common[best[z[best] >= min_z]])
 
 
 def presence(docs: Sequence[Doc], words: np.ndarray) -> np.ndarray:
@@ -195,14 +213,15 @@ class Chain:
 def fit_chain(names: Sequence[str], docs: Sequence[Doc], labels: np.ndarray, fold: np.ndarray) -> Chain:
     """``labels``: documents by categories (bool); ``fold``: each document's fold."""
     models, before = [], np.zeros((len(docs), 0))
+    common = common_buckets(docs)
     for k in range(len(names)):
         y = labels[:, k].astype(bool)
-        sums = bucket_sums(docs, y, fold)
-        models.append(fit_linear(docs, select_words(sums), before, y))
+        sums = bucket_sums(docs, y, fold, common)
+        models.append(fit_linear(docs, select_words(sums, common), before, y))
         out = np.zeros(len(docs))
         for f in np.unique(fold):
             train, test = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-            model = fit_linear([docs[i] for i in train], select_words(sums, int(f)), before[train], y[train])
+            model = fit_linear([docs[i] for i in train], select_words(sums, common, int(f)), before[train], y[train])
             out[test] = model.probability(presence([docs[i] for i in test], model.words), before[test])
         before = np.hstack([before, out[:, None]])
     return Chain(list(names), models)
@@ -217,8 +236,12 @@ def train(
     extra = [c for c in labels.columns if c != "doc_id"]
     chosen = sampled(labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").alias("_id"), *extra),
                      F.xxhash64("_id"), sample)
-    # At most ``sample`` rows, so the broadcast is bounded.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select(
+    # At most ``sample`` rows, so the broadcast is bounded. Of several texts with one doc_id the one with the
+    # smallest hash is taken, so repeated ids do not multiply the sample.
+    chosen = chosen.withColumn("_n", F.monotonically_increasing_id())
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).groupBy("_n").agg(
+        F.first("doc_id").alias("doc_id"), F.min_by("text", F.xxhash64("text")).alias("text"),
+        *[F.first(c).alias(c) for c in extra]).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
         F.array(*[F.coalesce(c, F.lit(False)).cast("int") for c in categories.values()]).alias("y"))
 
@@ -232,13 +255,16 @@ def train(
                 ["doc_id", "words", "values", "y"])
 
     found = map_batches(rows, step, "doc_id long, words array<int>, values array<float>, y array<int>").toArrow()
-    # Rows in an order that does not depend on partitions.
-    found = found.append_column("sum", pa.array([float(v.values.to_numpy().sum()) for v in found["values"]], pa.float64()))
-    found = found.sort_by([("doc_id", "ascending"), ("sum", "ascending")]).combine_chunks()
-    docs_ = [(w.values.to_numpy().astype(np.int64), v.values.to_numpy().astype(float))
-             for w, v in zip(found["words"], found["values"])]
-    y = np.array(found["y"].to_pylist(), bool).reshape(len(docs_), len(categories))
-    fold = np.array([i * 2654435761 % 4294967296 % folds for i in found["doc_id"].to_pylist()], np.int64)
+    found = found.combine_chunks()
+    # Rows in an order that does not depend on partitions; the features stay where Arrow holds them.
+    columns = [found.column(k).combine_chunks() for k in range(4)]
+    lists = [(c.values.to_numpy(), c.offsets.to_numpy()) for c in columns[1:3]]
+    rows_ = [tuple(v[o[i] : o[i + 1]] for v, o in lists) for i in range(len(found))]
+    ids = columns[0].to_pylist()
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], float(rows_[i][1].sum())))
+    docs_ = [rows_[i] for i in order]
+    y = np.array(columns[3].to_pylist(), bool).reshape(len(docs_), len(categories))[order]
+    fold = np.array([i * 2654435761 % 4294967296 % folds for i in sorted(ids)], np.int64)
     return fit_chain(list(categories), docs_, y, fold)
 
 

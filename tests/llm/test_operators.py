@@ -268,6 +268,24 @@ def test_mixed_is_in_training_order(spark):
     assert order == sorted(order) and not any(position.values())
 
 
+@pytest.mark.parametrize("extra", [0, 7])
+def test_equal_rows_meet_the_target_together(spark, extra):
+    """60 equal rows of 10 words are 600; the target of 480 takes 48 of them, not all or none."""
+    text = prose(5, 10)
+    table = rows([text] * 60 + [prose(k, 10) for k in range(extra)] + [prose(99, 420)], [1] * 60 + list(range(100, 100 + extra)) + [999],
+                 ["a"] * (60 + extra) + ["b"])
+    frame = spark.createDataFrame(table, DOCS).repartition(5)
+    plan = curriculum.schedule(frame, weights=(0.5, 0.5 * (540 - 10 * extra) / 480) if extra == 0 else (1.0, 1.0), max_epochs=1).collect()
+    taken = {s: sum(r.size * r.copies for r in plan if (r.doc_id < 999) == (s == "a")) for s in "ab"}
+    target = next(r.target for r in plan if r.doc_id == 1)
+    assert abs(taken["a"] - target) <= 10
+    assert all(len(r.positions) == r.copies for r in plan)
+    mixed = Counter(r.doc_id for r in curriculum.mixed(frame, weights=(0.5, 0.5 * (540 - 10 * extra) / 480) if extra == 0 else (1.0, 1.0),
+                                                       max_epochs=1).collect())
+    assert mixed == Counter({k: v for k, v in Counter(
+        {i: sum(r.copies for r in plan if r.doc_id == i) for i in {r.doc_id for r in plan}}).items() if v})
+
+
 def test_schedule_inverts_its_integral(spark):
     t = np.linspace(0, 1, 21)
     for slope in (-0.9, -0.5, 0.0, 0.5, 0.9):
@@ -439,6 +457,11 @@ def test_respelled_emails_without_digits_are_found(tagger):
         assert (start, 0, start + len(span)) in private_data.tagged_spans(tagger, [text])[0]
 
 
+def test_prices_are_no_respelled_emails():
+    assert private_data.spelled_emails("price @ 3.50 each, 12 (at) 4.5, 7 @ 1.2-3") == []
+    assert private_data.spelled_emails("jane @ mail.org") == [(0, 0, 15)]
+
+
 def test_all_windows_that_can_hold_a_span_are_read_and_joined():
     class Fixed(private_data.Tagger):
         """Every run without blanks is a card."""
@@ -534,6 +557,13 @@ def test_nearest_e8_point():
     assert (distance <= around + 1e-12).all() and (distance <= 1 + 1e-12).all()     # covering radius 1
 
 
+def test_vectors_of_any_magnitude_link(spark):
+    e = np.random.default_rng(3).normal(size=64)
+    table = [(k, (e * f).tolist(), 1) for k, f in enumerate((1.0, 1e200, 1e-200, 3.0, 1e307 / np.abs(e).max()))]
+    found = lattice.linked(spark.createDataFrame(table, "vec_id long, embedding array<double>, label int")).collect()
+    assert {(r.vec_id, r.n_links, r.component_id) for r in found} == {(k, 4, 0) for k in range(5)}
+
+
 def test_lattice_links_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(lattice, "MEMBERS", 5)
     rng = np.random.default_rng(8)
@@ -645,3 +675,19 @@ def test_license_scan(spark, docs, empty):
     assert found[0][0] == "MIT" and found[3][0] == "BSD-2-Clause" and found[6][0] == "MIT"
     assert found[2][0] is None and found[4] == (None, "") and found[5] == (None, "")
     assert licenses.scan(docs).count() == len(awkward()) and licenses.scan(empty).count() == 0
+
+
+def test_any_mapping_of_known_texts_is_scanned(spark):
+    known = {"PD": "This work is dedicated to the public domain."}
+    frame = spark.createDataFrame(rows(["This work is dedicated to the Public Domain", "a\nThis work is dedicated to the public domain.\nb", "x"]), DOCS)
+    found = {r.doc_id: (r.license, r.notices) for r in licenses.scan(frame, known).collect()}
+    assert found == {0: ("PD", "PD"), 1: (None, "PD"), 2: (None, "")}
+
+
+def test_repeated_doc_ids_do_not_multiply_the_toxic_sample(spark):
+    table = rows([prose(k, 60) + (" scum" * 5 if k % 2 else "") for k in range(40)] * 3, list(range(40)) * 3)
+    frame = spark.createDataFrame(table, DOCS)
+    labels = spark.createDataFrame([(k, 1, k % 2) for k in range(40)], "doc_id long, quality int, toxic int")
+    once = toxicity.train(spark.createDataFrame(table[:40], DOCS), labels)
+    again = toxicity.train(frame, labels)
+    assert [m.bias for m in once.models] == [m.bias for m in again.models]
