@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from orderloom.functions import vocabulary as v
 from orderloom.functions.text import literal_array, matched_names, once, unaccent
+from orderloom.session import written
 
 TURN = ("conv_id", "turn")
 PHRASE_MARK = r"[ $-]"
@@ -156,9 +157,11 @@ def classify_turns(
     conversation. Since the copy equals what it copies, the carry is the last known
     intent before the row and needs no loop.
     """
-    normed = turns.withColumn("norm", chat_normalise(F.col("text")))
+    # Two branches read the folded turns, so they are folded once and written.
+    normed = written(turns.withColumn("norm", chat_normalise(F.col("text"))), "turns")
     users = normed.where("role = 'user'").select(*TURN, "norm")
-    hit = mentions(users, vocabulary).withColumn("mentions", F.lit(True))
+    hit = mentions(users, vocabulary).select(*[F.col(k).alias(f"_hit_{k}") for k in TURN], F.lit(True).alias("mentions"))
+    same = [F.col(k).eqNullSafe(F.col(f"_hit_{k}")) for k in TURN]
     words = F.col("_words")
     norm = F.col("norm")
     capable = F.lit(False)
@@ -177,7 +180,7 @@ def classify_turns(
         .when((F.size(words) <= follow_up_words) & norm.rlike(_cue(follow_ups)), "follow_up")
         .otherwise("off_topic"))
     user_intent = F.when(F.col("role") == "user", own)
-    staged = normed.join(hit, list(TURN), "left").withColumn("_words", words_of(norm)).withColumn("_own", user_intent)
+    staged = normed.join(hit, same, "left").drop(*[f"_hit_{k}" for k in TURN]).withColumn("_words", words_of(norm)).withColumn("_own", user_intent)
     real = F.when(F.col("_own").isin("project", "off_topic"), F.col("_own"))
     intent = (
         F.when(F.col("role") != "user", "project")

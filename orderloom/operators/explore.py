@@ -16,6 +16,7 @@ from orderloom.functions.metrics import delay_days, month_of, right_closed_bin,
 from orderloom.functions.vocabulary import CONCENTRATION_PERCENTS, DELAY_BINS, DELAY_LABELS
 from orderloom.operators.ordering import fences_of, median_of, quantiles, quantiles_of, ranked_values, running_totals, value_at
 from orderloom.operators.quality import union_all
+from orderloom.session import written
 
 def everything() -> WindowSpec:
     """One group of all rows; for small aggregated tables only."""
@@ -58,6 +59,8 @@ def weekly_anomalies(orders: DataFrame, sigmas: float = 2.0) -> DataFrame:
 
 def describe(long: DataFrame, percentiles: Sequence[float], by: str = "measure", value: str = "value") -> DataFrame:
     """count, mean, std, min, max and exact percentiles per measure of a long table."""
+    # Moments and percentiles read the stacked measures, so their sources are evaluated once.
+    long = written(long.select(by, value), "measures")
     moments = long.groupBy(by).agg(
         F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
         F.min(value).alias("min"), F.max(value).alias("max"))

@@ -93,18 +93,21 @@ SMALL_TALK = {"Hello there": "greeting", "thanks a lot!!!": "thanks", "Goodbye,
 
 
 def small_talk(star: TradeStar) -> DataFrame:
-    """The conversations with short phrases in place of four user turns of five."""
+    """The conversations with short phrases in place of four user turns of five; intents of all turns."""
     turns = star.raw("conversations")
     said = F.get(F.array(*[F.lit(t) for t in SMALL_TALK]), F.pmod("turn", F.lit(5)).cast("int"))
     changed = turns.withColumn("text", F.when(
         (F.col("role") == "user") & (F.pmod("turn", F.lit(5)) < len(SMALL_TALK)), said).otherwise(F.col("text")))
-    return conversations.classify_turns(conversations.spoken_turns(changed), vocabulary(star)).where(
-        (F.col("role") == "user") & (F.pmod("turn", F.lit(5)) < len(SMALL_TALK))).select("conv_id", "turn", "intent")
+    return conversations.classify_turns(conversations.spoken_turns(changed), vocabulary(star)).select("conv_id", "turn", "intent")
 
 
-add("intent_small_talk", small_talk, "SELECT conv_id, turn, CASE turn % 5 " + " ".join(
-    f"WHEN {k} THEN '{i}'" for k, i in enumerate(SMALL_TALK.values())) + f""" END AS intent FROM conversations
-    WHERE role = 'user' AND turn % 5 < {len(SMALL_TALK)}""")
+SAID = "CASE turn % 5 " + " ".join(f"WHEN {k} THEN '{t}'" for k, t in enumerate(SMALL_TALK)) + " ELSE text END"
+MEANT = "CASE nm.turn % 5 " + " ".join(f"WHEN {k} THEN '{i}'" for k, i in enumerate(SMALL_TALK.values())) + " END"
+add("intent_small_talk", small_talk, f""", chg AS (
+  SELECT conv_id, turn, role, CASE WHEN role = 'user' THEN {SAID} ELSE text END AS text FROM conversations)""" + CHECK_INTENTS.replace(
+    "FROM conversations", "FROM chg").replace(
+    "WHEN norm = '' THEN 'greeting'", f"WHEN nm.turn % 5 < {len(SMALL_TALK)} THEN {MEANT} WHEN norm = '' THEN 'greeting'")
+    + " SELECT conv_id, turn, intent FROM cl")
 add("model_history", lambda s: conversations.model_history(classified(s)).drop("text"), CHECK_INTENTS + """
     , h AS (SELECT *, last_value(CASE WHEN role = 'user' THEN intent END IGNORE NULLS) OVER (
             PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS lu FROM cl)

@@ -35,10 +35,11 @@ add("order_payment_features", lambda s: s.orders.select("order_id").join(
     features.order_payment_features(s.payments_raw), "order_id", "left"), CHECK_PRIMARY + """
     SELECT order_id, payment_installments_max AS payment_installments, primary_payment_type AS payment_type
     FROM b_orders LEFT JOIN dim_pay USING (order_id)""")
+REVIEW_PARTS = ("order_id", "review_score", "review_comment_message")
 add("order_review_features", lambda s: features.order_review_features(
-    s.text_reviews.select("order_id", "review_score", "review_comment_message")), """
+    s.reviews.select(*REVIEW_PARTS).unionByName(s.text_reviews.select(*REVIEW_PARTS))), f"""
     SELECT order_id, avg(review_score) AS review_score, bool_or(review_comment_message IS NOT NULL) AS has_review_text
-    FROM b_text GROUP BY 1""")
+    FROM (SELECT {", ".join(REVIEW_PARTS)} FROM b_reviews UNION ALL SELECT {", ".join(REVIEW_PARTS)} FROM b_text) GROUP BY 1""")
 add("dominant_seller_state", lambda s: features.dominant_seller_state(s.items, s.sellers), CHECK_ORDER_ITEMS + """
     SELECT order_id, state AS seller_state FROM top LEFT JOIN b_sellers USING (seller_id)""")
 add("is_interstate", lambda s: s.orders.join(s.customers.select("customer_id", "state"), "customer_id").join(

@@ -110,6 +110,22 @@ def view_catalog(star: TradeStar) -> DataFrame:
 add("view_catalog", view_catalog,
     "SELECT order_status, count(*) AS items FROM b_orders JOIN b_items USING (order_id) GROUP BY 1")
 
+VIEWS = {"orders": "orders", "items": "items", "customers": "customers", "sellers": "sellers", "products": "products",
+         "payments": "payments_raw", "reviews": "reviews", "scored": "scored_reviews"}
+
+
+def view_rows(star: TradeStar) -> DataFrame:
+    """All nine views of the catalog, and what SQL reads through each."""
+    made = files.register_views(star.spark, {
+        f"v_{n}": (lambda part=part: getattr(star, part)) for n, part in VIEWS.items()} | {
+            "v_geo": lambda: modeling.drop_exact_duplicates(star.geolocation_raw), "v_absent": lambda: star.raw("absent")})
+    assert made == [*(f"v_{n}" for n in VIEWS), "v_geo"]
+    return star.spark.sql(" UNION ALL ".join(f"SELECT '{v}' AS view_name, count(*) AS n FROM {v}" for v in made))
+
+
+add("view_catalog_rows", view_rows, " UNION ALL ".join(f"SELECT 'v_{n}' AS view_name, count(*) AS n FROM b_{n}" for n in VIEWS)
+    + " UNION ALL SELECT 'v_geo', count(*) FROM (SELECT DISTINCT * FROM b_geo)")
+
 # --- cleaning and modelling ---------------------------------------------------------
 add("geo_dedup", lambda s: modeling.drop_exact_duplicates(s.geolocation_raw),
     "SELECT DISTINCT * FROM b_geo")
