@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from orderloom.functions import vocabulary as v
+from orderloom.operators.limiting import passed_counts, stretches
 from orderloom.session import written
 
 REDACTED = "[REDACTED]"
@@ -117,51 +116,60 @@ class SlidingLog:
 
 def rate_limit(
     requests: DataFrame, limit: int, window_s: int, keys: Sequence[str] = KEYS,
-    time: str = "ts", tie: str = "event_id",
+    time: str = "ts", tie: str = "event_id", stretch_times: int = 100_000,
 ) -> DataFrame:
     """Add ``blocked`` and ``logged`` per request under a sliding-log limit.
 
     While the trailing volume of a whole window-long cell stays within the limit, all its
-    requests pass and the limiter's state at its end is simply those requests. Only runs
-    of busy cells depend on order. They are replayed in time order, each run in one pass
-    that holds no more than ``limit`` times, starting from the quiet cell before it. Runs
-    are independent, so a client is split at every quiet window.
+    requests pass. Only runs of busy cells depend on order. A run is cut into stretches of
+    about ``stretch_times`` distinct times (at least one window); stretches are summarised
+    apart and their summaries combined in log rounds (``limiting``), so an uninterrupted
+    flood of one client is spread like other rows. Log lines are a limit of one per
+    window on the blocked requests, settled in the same way.
+
+    Null keys are a client of their own. Rows without a time pass and are not counted.
     """
     width = window_s * 1_000_000
-    keys = list(keys)
-    schema = requests.schema
-    columns = requests.columns
+    keys, columns = list(keys), requests.columns
+    micros = F.unix_micros(F.col(time).cast("timestamp"))
+    keyed = requests.where(F.col(time).isNotNull()).withColumn("_key", F.to_json(F.struct(*keys)))
     # Cells, calm rows, busy rows and their context all read the counted rows.
-    counted = written(trailing_volume(requests, window_s, keys, time).withColumn(
-        "_us", F.unix_micros(F.col(time).cast("timestamp"))).withColumn(
+    counted = written(trailing_volume(keyed, window_s, ["_key"], time).withColumn("_us", micros).withColumn(
         "_cell", F.floor(F.col("_us") / F.lit(width))), "request-volume")
-    busy_cells = counted.groupBy(*keys, "_cell").agg(F.max("in_window").alias("_peak")).where(F.col("_peak") > limit)
+    busy_cells = counted.groupBy("_key", "_cell").agg(
+        F.max("in_window").alias("_peak"), F.approx_count_distinct("_us").alias("times")).where(F.col("_peak") > limit)
     # Cells are windows of time, so a client has at most (time span / window) of them here.
-    in_order = Window.partitionBy(*keys).orderBy("_cell")
-    runs = busy_cells.select(*keys, "_cell", (F.col("_cell") - F.row_number().over(in_order)).alias("_run"))
-    busy = runs.withColumn("_replay", F.lit(True))
-    before = runs.groupBy(*keys, "_run").agg((F.min("_cell") - 1).alias("_cell"))
-    on = [*keys, "_cell"]
-    marked = counted.join(busy, on, "left")
-    calm = marked.where("_replay is null").select(
-        *columns, F.lit(False).alias("blocked"), F.lit(False).alias("logged"))
-    replayed = marked.where("_replay").select(*columns, "_us", "_run", F.lit(True).alias("_own")).unionByName(
-        counted.join(before, on).select(*columns, "_us", "_run", F.lit(False).alias("_own")))
-    ordered = replayed.repartition(*keys, "_run").sortWithinPartitions(*keys, "_run", "_us", tie)
-    result_schema = T.StructType([*schema.fields, T.StructField("blocked", T.BooleanType()),
-                                  T.StructField("logged", T.BooleanType())])
-
-    def replay(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, log = None, SlidingLog(limit, width)
-        for frame in frames:
-            blocked, logged = [], []
-            for *group, now in frame[[*keys, "_run", "_us"]].itertuples(index=False, name=None):
-                if group != current:
-                    current, log = group, SlidingLog(limit, width)
-                b, due = log.offer(int(now))
-                blocked.append(b)
-                logged.append(due)
-            own = frame["_own"].to_numpy(dtype=bool)
-            yield frame[columns].assign(blocked=blocked, logged=logged)[own]
-
-    return calm.unionByName(ordered.mapInPandas(replay, result_schema))
+    in_order = Window.partitionBy("_key").orderBy("_cell")
+    cells = written(stretches(busy_cells.select(
+        "_key", "_cell", "times", (F.col("_cell") - F.row_number().over(in_order)).alias("_run")), stretch_times), "busy-cells")
+    before = cells.groupBy("_key", "_run").agg((F.min("_cell") - 1).alias("_cell"))
+    most = cells.agg(F.max("_stretch")).first()[0]
+    calm = counted.join(cells, ["_key", "_cell"], "left_anti").select(*columns).unionByName(
+        requests.where(F.col(time).isNull())).select(
+        "*", F.lit(False).alias("blocked"), F.lit(False).alias("logged"))
+    if most is None:
+        return calm
+
+    per_time = counted.groupBy("_key", "_cell", "_us").agg(F.count("*").alias("n"))
+    here = F.struct("_stretch", F.lit(False).alias("context"))
+    after = F.struct((F.col("_stretch") + 1).alias("_stretch"), F.lit(True).alias("context"))
+    placed = per_time.join(cells, ["_key", "_cell"]).select(
+        "_key", "_run", "_us", "n", (F.col("last_cell") * width).alias("last"),
+        F.explode(F.when(F.col("_cell") == F.col("last_cell"), F.array(here, after)).otherwise(F.array(here))).alias("s"))
+    quiet = per_time.join(before, ["_key", "_cell"]).select(
+        "_key", "_run", "_us", "n", F.lit(0).cast("long").alias("last"),
+        F.struct(F.lit(0).cast("long").alias("_stretch"), F.lit(True).alias("context")).alias("s"))
+    times = written(placed.unionByName(quiet).select("_key", "_run", "s._stretch", "_us", "n", "last", "s.context"), "busy-times")
+    rounds = int(most).bit_length()
+    passed = written(passed_counts(times, limit, width, rounds).drop("_stretch"), "passed")
+    # No request was blocked in the quiet window before a run.
+    left = times.where("NOT (context AND _stretch = 0)").join(passed, ["_key", "_run", "_us"]).withColumn(
+        "n", F.col("n") - F.col("passed")).drop("passed")
+    lines = passed_counts(left, 1, width, rounds).select("_key", "_us", F.col("passed").alias("lines"))
+    verdicts = passed.select("_key", "_us", "passed").join(lines, ["_key", "_us"])
+    # Only requests of one client in one microsecond share a window here.
+    place = F.row_number().over(Window.partitionBy("_key", "_us").orderBy(tie))
+    decided = counted.join(verdicts, ["_key", "_us"]).withColumn("_place", place).select(
+        *columns, (F.col("_place") > F.col("passed")).alias("blocked"),
+        ((F.col("_place") == F.col("passed") + 1) & (F.col("lines") > 0)).alias("logged"))
+    return calm.unionByName(decided)

@@ -1,10 +1,11 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orderloom.operators import conversations, fingerprint, quality, requests
+from orderloom.operators import conversations, fingerprint, limiting, quality, requests
 from orderloom.sources import files
 from orderloom.streaming import limiter
 
@@ -50,6 +51,39 @@ def test_rate_limit_matches_sequential_replay(spark, seed, limit):
     assert any(blocked.values()) and not all(blocked.values())
 
 
+@pytest.mark.parametrize("limit", [1, 2, 60])
+@pytest.mark.parametrize("every_us", [0, 700_000, 9_000_000])
+def test_an_uninterrupted_flood_is_settled_stretch_by_stretch(spark, limit, every_us):
+    """Regular floods keep their phase for ever, random ones do not; null clients count as one client."""
+    chance = random.Random(limit + every_us)
+    rows, now = [], 0
+    for i in range(1_500):
+        now += every_us or chance.choice([0, 0, 1_000, 400_000, 3_000_000])
+        rows.append((i, START + dt.timedelta(microseconds=now), "/api", None if i % 3 else 7))
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, route string, client long").repartition(5)
+    got = {r.event_id: (r.blocked, r.logged) for r in requests.rate_limit(df, limit, 60, stretch_times=100).collect()}
+    blocked, logged = sequential(rows, limit, 60)
+    assert got == {e: (blocked[e], logged[e]) for e in blocked}
+
+
+def test_summaries_of_stretches_join_in_any_order():
+    """Joined summaries carry every state as the two do one after the other."""
+    chance = np.random.default_rng(5)
+    width, cells = 1_000, 4
+    for limit in (1, 2, 7):
+        pieces = [np.sort(chance.choice(np.arange(c * width, (c + 1) * width), chance.integers(1, 60), replace=False)) for c in range(cells)]
+        counts = [chance.integers(0, 3, len(p)) for p in pieces]
+        made = [limiting.summary(pieces[c - 1], pieces[c], counts[c], limit, width, c * width) for c in range(1, cells)]
+        state = np.minimum(np.concatenate([[0], np.cumsum(counts[0])]), limit)
+        one_by_one = state
+        for part in made:
+            one_by_one = limiting.carried(one_by_one, *part)
+        left = limiting.joined(limiting.joined(made[0], made[1]), made[2])
+        right = limiting.joined(made[0], limiting.joined(made[1], made[2]))
+        assert np.array_equal(limiting.carried(state, *left), one_by_one)
+        assert np.array_equal(limiting.carried(state, *right), one_by_one)
+
+
 def test_trailing_volume_matches_brute_force(spark):
     rows = traffic(4, 600)
     df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, route string, client long")
