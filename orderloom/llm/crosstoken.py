@@ -40,7 +40,7 @@ from orderloom.llm.common import map_batches, written
 
 BLOCK_LINKS = 1_000_000      # links after which a block of documents is closed
 BLOCK_DOCS = 4_000
-HELD_WINDOWS = 400_000       # window alignments that a worker keeps
+HELD_WINDOWS = 600_000       # window alignments that a worker keeps
 # The word pattern of byte-level vocabularies (a fixed value).
 BYTE_LEVEL_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MARK = "▁"              # how sentence pieces write a blank
@@ -56,6 +56,17 @@ class Side:
         self.pieces, self.encode, self.lossless = pieces, encode, lossless
         self.widths = np.fromiter(map(len, pieces), np.int64, len(pieces))
         self.opens = np.fromiter((p[:1] == b" " for p in pieces), bool, len(pieces))
+        self.bytes = np.frombuffer(b"".join(pieces), np.uint8)
+        self.begins = np.cumsum(self.widths) - self.widths
+
+    def spell(self, ids: np.ndarray, ends: np.ndarray, text: bytes) -> bool:
+        """Whether the tokens, which end at ``ends``, spell ``text``."""
+        if len(ids) == 0 or ends[-1] != len(text):
+            return False
+        if self.lossless:
+            return True
+        place = np.repeat(self.begins[ids] - ends + self.widths[ids], self.widths[ids]) + np.arange(len(text))
+        return np.array_equal(self.bytes[place], np.frombuffer(text, np.uint8))
 
 
 def byte_level_side(path: str) -> Side:
@@ -109,7 +120,7 @@ def sentence_piece_side(path: str) -> Side:
     pieces = [
         bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i)
         else model.id_to_piece(i).replace(MARK, " ").encode() for i in range(model.get_piece_size())]
-    return Side(pieces, lambda text: model.encode(text, num_threads=1))
+    return Side(pieces, model.encode_as_numpy)
 
 
 @lru_cache(maxsize=2)
@@ -124,34 +135,33 @@ class Aligner:
         self.a, self.b, self.held = a, b, held
         self.a_width, self.b_width = a.widths.tolist().__getitem__, b.widths.tolist().__getitem__
         self.a_text, self.b_text = ([str(i) for i in range(len(side.pieces))].__getitem__ for side in (a, b))
-        self.known: dict[tuple[bytes, bytes], tuple[str, bytes]] = {}
+        self.known: dict[bytes, tuple[str, bytes]] = {}
 
     def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of both sides, or none when they do not spell a blank and the text."""
         if not text:
             return None
         first, second = self.a.encode(" " + text), self.b.encode(text)
+        first, second = np.asarray(first, "<i4"), np.asarray(second, "<i4")
         spelled = (" " + text).encode()
         for side, ids in ((self.a, first), (self.b, second)):
-            if not side.lossless and b"".join(map(side.pieces.__getitem__, ids)) != spelled:
+            if not side.spell(ids, np.cumsum(side.widths[ids]), spelled):
                 return None
-        first, second = np.asarray(first, "<i4"), np.asarray(second, "<i4")
-        if self.a.widths[first].sum() != len(spelled) or self.b.widths[second].sum() != len(spelled):
-            return None
         return first, second
 
-    def cuts(self, a_ids: np.ndarray, b_ids: np.ndarray) -> tuple[list[int], list[int]]:
+    def cuts(self, a_ids: np.ndarray, b_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Token positions in both sides of the shared ends before tokens that begin with a blank."""
-        found = []
-        for side, ids in ((self.a, a_ids), (self.b, b_ids)):
-            ends = np.cumsum(side.widths[ids])
-            found.append((ends, ends[:-1][side.opens[ids[1:]]]))
-        shared = np.intersect1d(found[0][1], found[1][1], assume_unique=True)
-        places = [np.searchsorted(ends, shared) for ends, _ in found]
-        for (ends, _), at in zip(found, places):
-            if not np.array_equal(ends[at], shared):
-                raise AssertionError("an anchor is not a token end on both sides")
-        return tuple([0, *(at + 1).tolist(), len(ids)] for at, ids in zip(places, (a_ids, b_ids)))
+        a_ends, b_ends = np.cumsum(self.a.widths[a_ids]), np.cumsum(self.b.widths[b_ids])
+        anchors = []
+        for side, ids, ends in ((self.a, a_ids, a_ends), (self.b, b_ids, b_ends)):
+            opening = np.zeros(int(ends[-1]) + 1, bool)
+            opening[ends[:-1][side.opens[ids[1:]]]] = True
+            anchors.append(opening)
+        shared = anchors[0] & anchors[1]
+        at_a, at_b = np.flatnonzero(shared[a_ends]), np.flatnonzero(shared[b_ends])
+        if not np.array_equal(a_ends[at_a], b_ends[at_b]):
+            raise AssertionError("an anchor is not a token end on both sides")
+        return tuple(np.concatenate([[0], at + 1, [len(ids)]]) for at, ids in ((at_a, a_ids), (at_b, b_ids)))
 
     def align(self, a_ids: list[int], b_ids: list[int]) -> tuple[str, bytes]:
         """The groups of one window as text, and its links as pairs of 64-bit numbers."""
@@ -173,11 +183,17 @@ class Aligner:
     def windows(self, a_ids: np.ndarray, b_ids: np.ndarray) -> tuple[str, np.ndarray]:
         """Groups of a whole text, and its links in order."""
         cut_a, cut_b = self.cuts(a_ids, b_ids)
-        raw_a, raw_b = a_ids.tobytes(), b_ids.tobytes()
+        # A window's ids of A, a mark, its ids of B: one tuple, as bytes.
+        size_a, number = np.diff(cut_a), np.arange(len(cut_a) - 1)
+        both = np.full(len(a_ids) + len(b_ids) + len(number), -1, "<i4")
+        both[np.arange(len(a_ids)) + np.repeat(cut_b[:-1] + number, size_a)] = a_ids
+        both[np.arange(len(b_ids)) + np.repeat(cut_a[1:] + number + 1, np.diff(cut_b))] = b_ids
+        raw, bounds = both.tobytes(), (4 * (cut_a + cut_b + np.arange(len(cut_a)))).tolist()
         known = self.known
-        keys = [(raw_a[4 * p : 4 * q], raw_b[4 * r : 4 * s]) for p, q, r, s in zip(cut_a, cut_a[1:], cut_b, cut_b[1:])]
+        keys = [raw[p:q] for p, q in zip(bounds, bounds[1:])]
         found = list(map(known.get, keys))
         if None in found:
+            cut_a, cut_b, a_list, b_list = cut_a.tolist(), cut_b.tolist(), a_ids.tolist(), b_ids.tolist()
             for k, key in enumerate(keys):
                 if found[k] is None:
                     found[k] = known.get(key)
@@ -185,7 +201,7 @@ class Aligner:
                         if len(known) >= self.held:
                             known.clear()
                         found[k] = known[key] = self.align(
-                            a_ids[cut_a[k] : cut_a[k + 1]].tolist(), b_ids[cut_b[k] : cut_b[k + 1]].tolist())
+                            a_list[cut_a[k] : cut_a[k + 1]], b_list[cut_b[k] : cut_b[k + 1]])
         return ";".join([f[0] for f in found]), np.frombuffer(b"".join([f[1] for f in found]), np.int64)
 
 
