@@ -152,9 +152,13 @@ def passed_counts(times: DataFrame, limit: int, width: int, rounds: int) -> Data
 
 
 def stretches(cells: DataFrame, rows_each: int) -> DataFrame:
-    """Add ``_stretch`` and ``last_cell`` to (_key, _run, _cell, times): neighbouring cells of about ``rows_each`` times."""
+    """Add ``_stretch``, ``last_cell`` and ``alone`` (the run's only stretch) to (_key, _run, _cell, times).
+
+    A stretch is neighbouring cells of about ``rows_each`` times.
+    """
     run = Window.partitionBy("_key", "_run")
     before = F.sum("times").over(run.orderBy("_cell")) - F.col("times")
     dealt = cells.withColumn("_at", F.floor(before / F.lit(rows_each)))
     return dealt.withColumn("_stretch", F.dense_rank().over(run.orderBy("_at")).cast("long") - 1).withColumn(
-        "last_cell", F.max("_cell").over(Window.partitionBy("_key", "_run", "_at"))).drop("_at")
+        "last_cell", F.max("_cell").over(Window.partitionBy("_key", "_run", "_at"))).withColumn(
+        "alone", F.max("_stretch").over(run) == 0).drop("_at")

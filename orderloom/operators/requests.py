@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,6 +115,28 @@ class SlidingLog:
         return True, due
 
 
+def replayed(times: DataFrame, limit: int, width: int) -> DataFrame:
+    """(_key, _us, passed, lines) of runs of one stretch, each replayed in time order.
+
+    Rows (_key, _run, _us, n, context) stream by; no more than ``limit`` times are held.
+    """
+    def replay(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, log = None, SlidingLog(limit, width)
+        for frame in frames:
+            passed, lines = [], []
+            for key, run, now, n in frame[["_key", "_run", "_us", "n"]].itertuples(index=False, name=None):
+                if (key, run) != current:
+                    current, log = (key, run), SlidingLog(limit, width)
+                verdicts = [log.offer(now) for _ in range(n)]
+                passed.append(sum(not blocked for blocked, _ in verdicts))
+                lines.append(sum(due for _, due in verdicts))
+            own = ~frame["context"].to_numpy(bool)
+            yield frame[["_key", "_us"]].assign(passed=passed, lines=lines)[own]
+
+    return times.repartition("_key", "_run").sortWithinPartitions("_key", "_run", "_us").mapInPandas(
+        replay, "_key string, _us long, passed long, lines long")
+
+
 def rate_limit(
     requests: DataFrame, limit: int, window_s: int, keys: Sequence[str] = KEYS,
     time: str = "ts", tie: str = "event_id", stretch_times: int = 100_000,
@@ -124,7 +147,7 @@ def rate_limit(
     requests pass. Only runs of busy cells depend on order. A run is cut into stretches of
     about ``stretch_times`` distinct times (at least one window); stretches are summarised
     apart and their summaries combined in log rounds (``limiting``), so an uninterrupted
-    flood of one client is spread like other rows. Log lines are a limit of one per
+    flood of one client is spread like other rows; runs of one stretch are replayed. Log lines are a limit of one per
     window on the blocked requests, settled in the same way.
 
     Null keys are a client of their own. Rows without a time pass and are not counted.
@@ -142,7 +165,7 @@ def rate_limit(
     in_order = Window.partitionBy("_key").orderBy("_cell")
     cells = written(stretches(busy_cells.select(
         "_key", "_cell", "times", (F.col("_cell") - F.row_number().over(in_order)).alias("_run")), stretch_times), "busy-cells")
-    before = cells.groupBy("_key", "_run").agg((F.min("_cell") - 1).alias("_cell"))
+    before = cells.groupBy("_key", "_run").agg((F.min("_cell") - 1).alias("_cell"), F.first("alone").alias("alone"))
     most = cells.agg(F.max("_stretch")).first()[0]
     calm = counted.join(cells, ["_key", "_cell"], "left_anti").select(*columns).unionByName(
         requests.where(F.col(time).isNull())).select(
@@ -154,19 +177,21 @@ def rate_limit(
     here = F.struct("_stretch", F.lit(False).alias("context"))
     after = F.struct((F.col("_stretch") + 1).alias("_stretch"), F.lit(True).alias("context"))
     placed = per_time.join(cells, ["_key", "_cell"]).select(
-        "_key", "_run", "_us", "n", (F.col("last_cell") * width).alias("last"),
+        "_key", "_run", "alone", "_us", "n", (F.col("last_cell") * width).alias("last"),
         F.explode(F.when(F.col("_cell") == F.col("last_cell"), F.array(here, after)).otherwise(F.array(here))).alias("s"))
     quiet = per_time.join(before, ["_key", "_cell"]).select(
-        "_key", "_run", "_us", "n", F.lit(0).cast("long").alias("last"),
+        "_key", "_run", "alone", "_us", "n", F.lit(0).cast("long").alias("last"),
         F.struct(F.lit(0).cast("long").alias("_stretch"), F.lit(True).alias("context")).alias("s"))
-    times = written(placed.unionByName(quiet).select("_key", "_run", "s._stretch", "_us", "n", "last", "s.context"), "busy-times")
-    rounds = int(most).bit_length()
-    passed = written(passed_counts(times, limit, width, rounds).drop("_stretch"), "passed")
-    # No request was blocked in the quiet window before a run.
-    left = times.where("NOT (context AND _stretch = 0)").join(passed, ["_key", "_run", "_us"]).withColumn(
-        "n", F.col("n") - F.col("passed")).drop("passed")
-    lines = passed_counts(left, 1, width, rounds).select("_key", "_us", F.col("passed").alias("lines"))
-    verdicts = passed.select("_key", "_us", "passed").join(lines, ["_key", "_us"])
+    times = written(placed.unionByName(quiet).select("_key", "_run", "alone", "s._stretch", "_us", "n", "last", "s.context"), "busy-times")
+    verdicts = replayed(times.where("alone AND _stretch = 0"), limit, width)
+    if most:
+        rounds, flood = int(most).bit_length(), times.where("NOT alone").drop("alone")
+        passed = written(passed_counts(flood, limit, width, rounds).drop("_stretch"), "passed")
+        # No request was blocked in the quiet window before a run.
+        left = flood.where("NOT (context AND _stretch = 0)").join(passed, ["_key", "_run", "_us"]).withColumn(
+            "n", F.col("n") - F.col("passed")).drop("passed")
+        lines = passed_counts(left, 1, width, rounds).select("_key", "_us", F.col("passed").alias("lines"))
+        verdicts = verdicts.unionByName(passed.select("_key", "_us", "passed").join(lines, ["_key", "_us"]))
     # Only requests of one client in one microsecond share a window here.
     place = F.row_number().over(Window.partitionBy("_key", "_us").orderBy(tie))
     decided = counted.join(verdicts, ["_key", "_us"]).withColumn("_place", place).select(
