@@ -197,8 +197,9 @@ def _stream_to_table(star: TradeStar, build, name: str) -> DataFrame:
         "maxFilesPerTrigger", 1000).parquet(star.folder)
     rows = source.select("event_id", "ts", F.col("event_type").alias("route"), F.col("user_id").alias("client"))
     store = scratch_path(spark, name)
-    query = build(rows).writeStream.format("parquet").outputMode("append").option("path", store).option(
-        "checkpointLocation", scratch_path(spark, f"{name}-state")).trigger(availableNow=True).start()
+    with limiter.keyed_state(spark):
+        query = build(rows).writeStream.format("parquet").outputMode("append").option("path", store).option(
+            "checkpointLocation", scratch_path(spark, f"{name}-state")).trigger(availableNow=True).start()
     scoring.run_to_end(query)
     return spark.read.parquet(store)
 

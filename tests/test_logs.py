@@ -1,7 +1,10 @@
 import datetime as dt
+import os
 import random
+from contextlib import contextmanager
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,20 +96,53 @@ def test_trailing_volume_matches_brute_force(spark):
         assert got[event] == expected
 
 
+def streamed(spark, tmp_path, files, limit, window_s, **sizes):
+    """(event_id -> verdicts) of a stream that reads one file per micro-batch, and its largest output batch."""
+    source, store = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    for number, rows in enumerate(files):
+        pd.DataFrame(rows, columns=["event_id", "ts", "route", "client"]).astype({"ts": "datetime64[us]", "client": "Int64"}).to_parquet(
+            source / f"{number}.parquet", index=False)
+        os.utime(source / f"{number}.parquet", (number + 1, number + 1))
+    stream = spark.readStream.schema("event_id long, ts timestamp_ntz, route string, client long").option(
+        "maxFilesPerTrigger", 1).parquet(str(source))
+    with limiter.keyed_state(spark):
+        query = limiter.stream_rate_limit(stream, limit, window_s, **sizes).writeStream.format("parquet").option("path", store).option(
+            "checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    rows = spark.read.parquet(store).collect()
+    assert len(rows) == len({r.event_id for r in rows})
+    return {r.event_id: (r.blocked, r.logged) for r in rows}
+
+
 def test_streamed_limit_equals_batch(spark, tmp_path):
     rows = traffic(5, 400)
-    df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, route string, client long").coalesce(1)
-    source, store = str(tmp_path / "in"), str(tmp_path / "out")
-    df.orderBy("ts", "event_id").write.parquet(source)
-    stream = spark.readStream.schema(df.schema).parquet(source)
-    query = limiter.stream_rate_limit(stream, 3, 60).writeStream.format("parquet").option("path", store).option(
-        "checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    got = {r.event_id: (r.blocked, r.logged) for r in spark.read.parquet(store).collect()}
     blocked, logged = sequential(rows, 3, 60)
+    assert streamed(spark, tmp_path, [rows], 3, 60) == {e: (blocked[e], logged[e]) for e in blocked}
+
+
+def test_streamed_limit_merges_the_runs_of_a_flood(spark, tmp_path):
+    """Shuffled rows, one client with most of them, runs and blocks far smaller than a batch; state over three batches."""
+    rows = sorted(traffic(6, 3000), key=lambda r: r[1])
+    rows = [(e, t, route, None if e % 50 == 0 else 1 if e % 3 else c) for e, t, route, c in rows]
+    files = [rows[:1200], rows[1200:1201], rows[1201:]]
+    for part in files:
+        random.Random(len(part)).shuffle(part)
+    with spark_batches(spark, 64):
+        got = streamed(spark, tmp_path, files, 4, 90, run_rows=100, block_rows=7)
+    blocked, logged = sequential(rows, 4, 90)
     assert got == {e: (blocked[e], logged[e]) for e in blocked}
 
 
+@contextmanager
+def spark_batches(spark, rows):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    yield
+    spark.conf.set(name, before)
+
+
 TURNS = [
     (1, 0, "system", "rules"), (1, 1, "user", "Hiiiii!!!"), (1, 2, "assistant", "hello"),
     (1, 3, "user", "Which sellers deliver late?"), (1, 4, "assistant", "these"), (1, 5, "user", "thanks a lot"),
