@@ -1,21 +1,21 @@
 """Rank statistics and the logistic model.
 
 Rows are collapsed to distinct values with counts before anything is ranked. The
-p-values come from ``functions.significance``, applied to one-row results.
+p-values are native expressions (``functions.tails``) on the results; the logistic
+coefficients, which are on the driver anyway, use ``functions.significance``.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from orderloom.functions import significance
+from orderloom.functions import significance, tails
 from orderloom.operators.ordering import average_ranks, median_of
 from orderloom.session import checkpointed
 
@@ -167,23 +167,13 @@ def logit_negative_review(
                 "pseudo_r2 double, n_obs long")
 
 
-def with_p_value(df: DataFrame, columns: Sequence[str], test: Callable[..., float]) -> DataFrame:
-    """Add ``p_value`` to a small result table by applying ``test`` to its statistics."""
-    @F.udf(T.DoubleType())
-    def p(*values):
-        return None if any(v is None for v in values) else float(test(*values))
-
-    return df.withColumn("p_value", p(*[F.col(c) for c in columns]))
-
-
 def spearman_with_p(df: DataFrame) -> DataFrame:
-    return with_p_value(df, ["rho", "n"], significance.spearman_p)
+    return df.withColumn("p_value", tails.spearman_p(F.col("rho"), F.col("n")))
 
 
 def mannwhitney_with_p(df: DataFrame, n1: str, n2: str) -> DataFrame:
-    return with_p_value(df, ["u", n1, n2, "tie_sum"], significance.mannwhitney_upper)
+    return df.withColumn("p_value", tails.mannwhitney_upper(F.col("u"), F.col(n1), F.col(n2), F.col("tie_sum")))
 
 
 def kruskal_with_p(df: DataFrame) -> DataFrame:
-    return with_p_value(df.withColumn("_df", (F.col("n_groups") - 1).cast("int")), ["h", "_df"],
-                        significance.chi2_upper).drop("_df")
+    return df.withColumn("p_value", F.when(F.col("n_groups") > 1, tails.chi2_upper(F.col("h"), F.col("n_groups") - 1)))

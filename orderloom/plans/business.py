@@ -154,11 +154,45 @@ def check_rank(column: str, table: str = "dr") -> str:
     return (f"(rank() OVER (ORDER BY {column}) + (count(*) OVER (PARTITION BY {column}) - 1) / 2::DOUBLE)")
 
 
-def check_rho(label: str, x: str, y: str, table: str) -> str:
-    return f"""SELECT '{label}' AS pair, round(corr(rx, ry), 6) AS rho, count(*) AS n
+def check_rho(label: str, x: str, y: str, table: str, rho: str = "round(corr(rx, ry), 6)") -> str:
+    return f"""SELECT '{label}' AS pair, {rho} AS rho, count(*) AS n
       FROM (SELECT {check_rank(x)} AS rx, {check_rank(y)} AS ry FROM {table})"""
 
 
+def check_tail(density: str, start: str, scale: float = 10.0, points: int = 200_000) -> str:
+    """Integral of ``density`` (over y) from ``start`` up by the midpoint rule on y = start + scale v / (1 - v)."""
+    v = f"((k + 0.5) / {points})"
+    return (f"list_sum(list_transform(range({points}), lambda k: "
+            f"{density.replace('[y]', f'({start} + {scale} * {v} / (1 - {v}))')} * {scale} / ((1 - {v}) * (1 - {v})) / {points}))")
+
+
+def digits(p: str) -> str:
+    return f"CAST(printf('%.4e', CAST({p} AS DOUBLE)) AS DOUBLE)"
+
+
+def check_student(rho: str, n: str) -> str:
+    df = f"({n} - 2)"
+    density = f"exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0) - ({df} + 1) / 2.0 * ln(1 + [y] * [y] / {df})) / sqrt({df} * pi())"
+    return digits("2 * " + check_tail(density, f"(abs({rho}) * sqrt({df} / (1 - {rho} * {rho})))", 1.0))
+
+
+def check_normal(n1: str, n2: str) -> str:
+    n = f"({n1} + {n2})::DOUBLE"
+    z = f"((u - {n1}::DOUBLE * {n2} / 2 - 0.5) / sqrt({n1}::DOUBLE * {n2} / 12 * (({n} + 1) - tie_sum / ({n} * ({n} - 1)))))"
+    tail = check_tail("exp(-[y] * [y] / 2) / sqrt(2 * pi())", f"abs({z})", 1.0)
+    return digits(f"CASE WHEN {z} >= 0 THEN {tail} ELSE 1 - {tail} END")
+
+
+def check_chi2(h: str, groups: str) -> str:
+    a = f"(({groups} - 1) / 2.0)"
+    return digits(check_tail(f"exp(({a} - 1) * ln([y] / 2) - [y] / 2 - lgamma({a})) / 2", h))
+
+
+def significant(df: DataFrame) -> DataFrame:
+    """p-values to five significant digits."""
+    return df.withColumn("p_value", F.when(F.col("p_value").isNotNull(), F.format_string("%.4e", "p_value").cast("double")))
+
+
 REVIEW_PAIRS = {
     "Delivery Delay vs Review Score": ("delay_days", "review_score"),
     "Freight Value vs Review Score": ("freight_value", "review_score"),
@@ -179,32 +213,43 @@ def spearman_category(star: TradeStar) -> DataFrame:
     return statistics.spearman_set(reliable, CATEGORY_PAIRS, x_bounded=True, y_bounded=True)
 
 
-add("spearman_review", lambda s: rounded(spearman_review(s), "rho"), CHECK_STATS + " " + " UNION ALL ".join([
-    check_rho("Delivery Delay vs Review Score", "delay_days", "score", "dr"),
-    check_rho("Freight Value vs Review Score", "freight", "score", "dr"),
-    check_rho("Price vs Review Score", "price", "score", "dr")]))
-add("spearman_category", lambda s: rounded(spearman_category(s), "rho"), CHECK_STATS + """
+def check_spearman_review(rho: str = "round(corr(rx, ry), 6)") -> str:
+    return " UNION ALL ".join([
+        check_rho("Delivery Delay vs Review Score", "delay_days", "score", "dr", rho),
+        check_rho("Freight Value vs Review Score", "freight", "score", "dr", rho),
+        check_rho("Price vs Review Score", "price", "score", "dr", rho)])
+
+
+def check_spearman_category(rho: str = "round(corr(rx, ry), 6)") -> str:
+    return " UNION ALL ".join([
+        check_rho("Complaint Rate vs Avg Rating", "neg_review_rate", "avg_review_score", "hi", rho),
+        check_rho("Negative Sentiment Rate vs Avg Rating", "neg_sentiment_rate", "avg_review_score", "hi", rho)])
+
+
+CHECK_RELIABLE = CHECK_STATS + """
     , hi AS (SELECT category, avg(is_neg_review) AS neg_review_rate, avg(is_neg_sentiment) AS neg_sentiment_rate,
-                    avg(review_score) AS avg_review_score FROM cat GROUP BY 1 HAVING count(*) >= 100) """ + " UNION ALL ".join([
-    check_rho("Complaint Rate vs Avg Rating", "neg_review_rate", "avg_review_score", "hi"),
-    check_rho("Negative Sentiment Rate vs Avg Rating", "neg_sentiment_rate", "avg_review_score", "hi")]))
-add("mannwhitney_late", lambda s: rounded(statistics.mannwhitney_late(delivered_reviews(s)),
-    "ontime_mean", "late_mean", "ontime_neg_review_rate", "late_neg_review_rate"), CHECK_STATS + f"""
-    , r AS (SELECT *, {check_rank('score')} AS rk FROM dr),
-    t AS (SELECT sum(t::DOUBLE ** 3 - t) AS tie_sum FROM (SELECT count(*) AS t FROM dr GROUP BY score))
-    SELECT count(*) FILTER (WHERE is_late = 0) AS ontime_n, count(*) FILTER (WHERE is_late = 1) AS late_n,
+                    avg(review_score) AS avg_review_score FROM cat GROUP BY 1 HAVING count(*) >= 100) """
+CHECK_LATE_TEST = CHECK_STATS + f"""
+    , mr AS (SELECT *, {check_rank('score')} AS rk FROM dr),
+    mt AS (SELECT sum(t::DOUBLE ** 3 - t) AS tie_sum FROM (SELECT count(*) AS t FROM dr GROUP BY score)),
+    mw AS (SELECT count(*) FILTER (WHERE is_late = 0) AS ontime_n, count(*) FILTER (WHERE is_late = 1) AS late_n,
            round(avg(score) FILTER (WHERE is_late = 0), 6) AS ontime_mean, round(avg(score) FILTER (WHERE is_late = 1), 6) AS late_mean,
            sum(rk) FILTER (WHERE is_late = 0) - count(*) FILTER (WHERE is_late = 0) * (count(*) FILTER (WHERE is_late = 0) + 1) / 2::DOUBLE AS u,
-           (SELECT tie_sum FROM t) AS tie_sum, round(avg(is_neg_review) FILTER (WHERE is_late = 0), 6) AS ontime_neg_review_rate,
-           round(avg(is_neg_review) FILTER (WHERE is_late = 1), 6) AS late_neg_review_rate FROM r""")
-add("mannwhitney_freight", lambda s: rounded(statistics.mannwhitney_freight(delivered_reviews(s)),
-    "low_mean", "high_mean", "median_freight"), CHECK_STATS + f"""
-    , m AS (SELECT median(freight) AS mf FROM dr), r AS (SELECT *, freight <= mf AS low, {check_rank('score')} AS rk FROM dr, m),
-    t AS (SELECT sum(t::DOUBLE ** 3 - t) AS tie_sum FROM (SELECT count(*) AS t FROM dr GROUP BY score))
-    SELECT count(*) FILTER (WHERE low) AS low_n, count(*) FILTER (WHERE NOT low) AS high_n,
+           (SELECT tie_sum FROM mt) AS tie_sum, round(avg(is_neg_review) FILTER (WHERE is_late = 0), 6) AS ontime_neg_review_rate,
+           round(avg(is_neg_review) FILTER (WHERE is_late = 1), 6) AS late_neg_review_rate FROM mr)"""
+CHECK_FREIGHT_TEST = CHECK_STATS + f"""
+    , m AS (SELECT median(freight) AS mf FROM dr), mr AS (SELECT *, freight <= mf AS low, {check_rank('score')} AS rk FROM dr, m),
+    mt AS (SELECT sum(t::DOUBLE ** 3 - t) AS tie_sum FROM (SELECT count(*) AS t FROM dr GROUP BY score)),
+    mw AS (SELECT count(*) FILTER (WHERE low) AS low_n, count(*) FILTER (WHERE NOT low) AS high_n,
            round(avg(score) FILTER (WHERE low), 6) AS low_mean, round(avg(score) FILTER (WHERE NOT low), 6) AS high_mean,
            sum(rk) FILTER (WHERE low) - count(*) FILTER (WHERE low) * (count(*) FILTER (WHERE low) + 1) / 2::DOUBLE AS u,
-           (SELECT tie_sum FROM t) AS tie_sum, round(min(mf), 6) AS median_freight FROM r""")
+           (SELECT tie_sum FROM mt) AS tie_sum, round(min(mf), 6) AS median_freight FROM mr)"""
+add("spearman_review", lambda s: rounded(spearman_review(s), "rho"), CHECK_STATS + " " + check_spearman_review())
+add("spearman_category", lambda s: rounded(spearman_category(s), "rho"), CHECK_RELIABLE + check_spearman_category())
+add("mannwhitney_late", lambda s: rounded(statistics.mannwhitney_late(delivered_reviews(s)),
+    "ontime_mean", "late_mean", "ontime_neg_review_rate", "late_neg_review_rate"), CHECK_LATE_TEST + " SELECT * FROM mw")
+add("mannwhitney_freight", lambda s: rounded(statistics.mannwhitney_freight(delivered_reviews(s)),
+    "low_mean", "high_mean", "median_freight"), CHECK_FREIGHT_TEST + " SELECT * FROM mw")
 
 
 def price_banded(star: TradeStar) -> DataFrame:
@@ -216,13 +261,14 @@ CHECK_BANDS = CHECK_STATS + """, pb AS (SELECT score, CASE WHEN price <= 0 THEN
     WHEN price <= 200000 THEN '50-150' WHEN price <= 400000 THEN '150-500' ELSE '>500' END AS g FROM dr)"""
 
 
-def check_kruskal(table: str) -> str:
+def check_kruskal(table: str, select: str = "n_groups, n_rows, round(h, 5) AS h") -> str:
     return f"""
-    , r AS (SELECT g, score, {check_rank('score')} AS rk FROM {table} WHERE g IS NOT NULL),
-    t AS (SELECT sum(t::DOUBLE ** 3 - t) AS tie_sum FROM (SELECT count(*) AS t FROM r GROUP BY score)),
-    s AS (SELECT g, count(*)::DOUBLE AS n, sum(rk) AS rs FROM r GROUP BY 1),
-    k AS (SELECT count(*) AS n_groups, sum(n)::BIGINT AS n_rows, sum(n) AS nn, sum(rs * rs / n) AS ss FROM s)
-    SELECT n_groups, n_rows, round((12 / (nn * (nn + 1)) * ss - 3 * (nn + 1)) / (1 - tie_sum / (nn ** 3 - nn)), 5) AS h FROM k, t"""
+    , kr AS (SELECT g, score, {check_rank('score')} AS rk FROM {table} WHERE g IS NOT NULL),
+    kt AS (SELECT sum(t::DOUBLE ** 3 - t) AS tie_sum FROM (SELECT count(*) AS t FROM kr GROUP BY score)),
+    ks AS (SELECT g, count(*)::DOUBLE AS n, sum(rk) AS rs FROM kr GROUP BY 1),
+    kk AS (SELECT count(*) AS n_groups, sum(n)::BIGINT AS n_rows, sum(n) AS nn, sum(rs * rs / n) AS ss FROM ks),
+    kw AS (SELECT n_groups, n_rows, (12 / (nn * (nn + 1)) * ss - 3 * (nn + 1)) / (1 - tie_sum / (nn ** 3 - nn)) AS h FROM kk, kt)
+    SELECT {select} FROM kw"""
 
 
 add("kruskal_price_bands", lambda s: rounded(
@@ -238,26 +284,37 @@ def reliable_category_scores(star: TradeStar) -> DataFrame:
     return rows.join(enough, "category", "left_semi")
 
 
-add("kruskal_categories", lambda s: rounded(
-    statistics.kruskal(reliable_category_scores(s), "category", "review_score", bounded=True), "h", digits=5), CHECK_STATS + """
+CHECK_CATEGORY_SCORES = CHECK_STATS + """
     , cg AS (SELECT category AS g, review_score AS score FROM cat
-             WHERE category IN (SELECT category FROM cat GROUP BY 1 HAVING count(*) >= 100))""" + check_kruskal("cg"))
+             WHERE category IN (SELECT category FROM cat GROUP BY 1 HAVING count(*) >= 100))"""
+add("kruskal_categories", lambda s: rounded(
+    statistics.kruskal(reliable_category_scores(s), "category", "review_score", bounded=True), "h", digits=5),
+    CHECK_CATEGORY_SCORES + check_kruskal("cg"))
 add("extreme_categories", lambda s: rounded(
     statistics.extreme_categories(business.category_metrics(s)), "avg_review_score", "neg_review_rate"), CHECK_CATEGORIES + """
     , hi AS (SELECT category, count(*) AS review_count, avg(review_score) AS a, avg(is_neg_review) AS r FROM cat GROUP BY 1 HAVING count(*) >= 100)
     SELECT * FROM (SELECT category, review_count, round(a, 6) AS avg_review_score, round(r, 6) AS neg_review_rate, 'top' AS side FROM hi ORDER BY a DESC, category LIMIT 5)
     UNION ALL SELECT * FROM (SELECT category, review_count, round(a, 6), round(r, 6), 'bottom' FROM hi ORDER BY a, category LIMIT 5)""")
 add("logit_negative_review", lambda s: statistics.logit_negative_review(delivered_reviews(s)))
-add("spearman_p_values", lambda s: statistics.spearman_with_p(spearman_review(s)))
-add("mannwhitney_p_value", lambda s: statistics.mannwhitney_with_p(
-    statistics.mannwhitney_late(delivered_reviews(s)), "ontime_n", "late_n"))
-add("spearman_category_p_values", lambda s: statistics.spearman_with_p(spearman_category(s)))
-add("mannwhitney_freight_p_value", lambda s: statistics.mannwhitney_with_p(
-    statistics.mannwhitney_freight(delivered_reviews(s)), "low_n", "high_n"))
-add("kruskal_categories_p_value", lambda s: statistics.kruskal_with_p(
-    statistics.kruskal(reliable_category_scores(s), "category", "review_score", bounded=True)))
-add("kruskal_p_value", lambda s: statistics.kruskal_with_p(
-    statistics.kruskal(price_banded(s), "price_band", "review_score", bounded=True)))
+CHECK_RHO_P = f"SELECT pair, round(rho, 6) AS rho, n, {check_student('rho', 'n')} AS p_value FROM sp"
+H_WITH_P = f"n_groups, n_rows, round(h, 5) AS h, {check_chi2('h', 'n_groups')} AS p_value"
+add("spearman_p_values", lambda s: significant(rounded(statistics.spearman_with_p(spearman_review(s)), "rho")),
+    CHECK_STATS + f", sp AS ({check_spearman_review('corr(rx, ry)')}) {CHECK_RHO_P}")
+add("spearman_category_p_values", lambda s: significant(rounded(statistics.spearman_with_p(spearman_category(s)), "rho")),
+    CHECK_RELIABLE + f", sp AS ({check_spearman_category('corr(rx, ry)')}) {CHECK_RHO_P}")
+add("mannwhitney_p_value", lambda s: significant(rounded(statistics.mannwhitney_with_p(
+    statistics.mannwhitney_late(delivered_reviews(s)), "ontime_n", "late_n"),
+    "ontime_mean", "late_mean", "ontime_neg_review_rate", "late_neg_review_rate")),
+    CHECK_LATE_TEST + f" SELECT *, {check_normal('ontime_n', 'late_n')} AS p_value FROM mw")
+add("mannwhitney_freight_p_value", lambda s: significant(rounded(statistics.mannwhitney_with_p(
+    statistics.mannwhitney_freight(delivered_reviews(s)), "low_n", "high_n"), "low_mean", "high_mean", "median_freight")),
+    CHECK_FREIGHT_TEST + f" SELECT *, {check_normal('low_n', 'high_n')} AS p_value FROM mw")
+add("kruskal_categories_p_value", lambda s: significant(rounded(statistics.kruskal_with_p(
+    statistics.kruskal(reliable_category_scores(s), "category", "review_score", bounded=True)), "h", digits=5)),
+    CHECK_CATEGORY_SCORES + check_kruskal("cg", H_WITH_P))
+add("kruskal_p_value", lambda s: significant(rounded(statistics.kruskal_with_p(
+    statistics.kruskal(price_banded(s), "price_band", "review_score", bounded=True)), "h", digits=5)),
+    CHECK_BANDS + check_kruskal("pb", H_WITH_P))
 
 # --- delivery, exposure, priorities ----------------------------------------------------
 add("late_by_category", lambda s: rounded(business.late_by(

@@ -1,11 +1,13 @@
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from orderloom.functions import metrics, text
+from orderloom.functions import metrics, significance, tails, text
 from orderloom.functions.significance import chi2_upper, mannwhitney_upper, normal_two_sided, spearman_p
 from orderloom.functions.vocabulary import ASPECT_PATTERNS, PRICE_BINS, PRICE_LABELS
+from orderloom.operators import statistics
 
 
 def column(spark, values, schema, expression):
@@ -89,3 +91,30 @@ def test_fold_equals_compatibility_decomposition(spark):
     values = ["Ｇｏｌｐｅ", "ﬁm ﬀ", "m² nº ª ½ ¾", "Ação ÉÜ ñ ç", "™ … ①② ℡", "ǅ Ĳ ŉ", "plain", "e\u0301", "日本 ß ø"]
     expected = [unicodedata.normalize("NFKD", v.lower()).encode("ascii", "ignore").decode() for v in values]
     assert column(spark, [(v,) for v in values], "x string", text.fold(F.col("x"))) == expected
+
+
+def test_tail_expressions_match_the_scalar_functions(spark):
+    """Small and large degrees of freedom, both sides of the middle, and the far tails."""
+    student = [(t, float(df)) for t in (0.0, 1e-3, 0.3, 1.0, -2.5, 9.0, 35.0) for df in (1, 2, 3, 22, 101, 4_000, 90_000)]
+    squared = [(x, df) for x in (1e-3, 0.5, 3.0, 20.0, 120.0, 900.0) for df in (1, 2, 3, 4, 9, 24, 71, 150)]
+    normal = [(z,) for z in (-9.0, -1.0, -0.2, 0.0, 0.2, 1.0, 3.0, 12.0, 30.0)]
+    got = spark.createDataFrame(student, "t double, df double").select("*", tails.student_two_sided(F.col("t"), F.col("df")).alias("p"))
+    for t, df, p in got.collect():
+        assert p == pytest.approx(significance.student_two_sided(t, df), rel=1e-8, abs=1e-300), (t, df)
+    got = spark.createDataFrame(squared, "x double, df long").select("*", tails.chi2_upper(F.col("x"), F.col("df")).alias("p"))
+    for x, df, p in got.collect():
+        expected = significance.chi2_upper(x, df)
+        assert p == pytest.approx(expected, rel=1e-9, abs=1e-300), (x, df)
+    got = spark.createDataFrame(normal, "z double").select("*", tails.normal_upper(F.col("z")).alias("p"))
+    for z, p in got.collect():
+        assert p == pytest.approx(significance.normal_upper(z), rel=1e-11), z
+
+
+def test_p_values_without_a_result(spark):
+    pairs = spark.createDataFrame([(None, 10), (1.0, 10), (0.5, 2), (0.5, 10)], "rho double, n long")
+    assert [r.p_value for r in statistics.spearman_with_p(pairs).collect()][:2] == [None, 0.0]
+    assert np.isnan(statistics.spearman_with_p(pairs).collect()[2].p_value)
+    one = spark.createDataFrame([(1, None), (2, 0.0)], "n_groups long, h double")
+    assert [r.p_value for r in statistics.kruskal_with_p(one).collect()] == [None, 1.0]
+    equal = spark.createDataFrame([(4.0, 2, 4, 210.0), (0.0, 0, 0, None)], "u double, n1 long, n2 long, tie_sum double")
+    assert all(np.isnan(r.p_value) for r in statistics.mannwhitney_with_p(equal, "n1", "n2").collect())
