@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from orderloom.functions.metrics import share_pct
 from orderloom.functions.vocabulary import NO_ASPECT, SEGMENTS, STATE_NAMES
 from orderloom.operators.business import complaint_matrix_long
+from orderloom.operators.quality import union_all
 
 
 def _all_rows() -> WindowSpec:
@@ -123,12 +124,46 @@ def prioritization_report(priorities: DataFrame, min_reviews: int = 100) -> Data
 
 
 def p_label(p: Column) -> Column:
-    return F.when(p == 0, "< 1e-300").otherwise(F.format_string("%.2e", p))
+    return F.when(p == 0, "< 1e-300").when(p.isNotNull(), F.format_string("%.2e", p))
 
 
-def stats_report(tests: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """Readable p-values and a significance flag beside test results."""
-    return tests.withColumn("p_label", p_label(F.col("p_value"))).withColumn(
+TEST_COLUMNS = ("section", "name", "statistic", "n", "mean", "p_value", "odds_ratio")
+
+
+def _section(section: str, df: DataFrame, **columns: Column) -> DataFrame:
+    """Rows of one part of the statistics report; columns it does not have are NULL."""
+    kinds = {"name": "string", "n": "long"}
+    return df.select(F.lit(section).alias("section"), *[
+        columns.get(c, F.lit(None)).cast(kinds.get(c, "double")).alias(c) for c in TEST_COLUMNS[1:]])
+
+
+def stats_report(
+    correlations: DataFrame, lateness: DataFrame, bands: DataFrame, band_scores: DataFrame,
+    logit: DataFrame | None = None, alpha: float = 0.05,
+) -> DataFrame:
+    """All tests of the analysis in one table, with readable p-values and a significance flag.
+
+    Sections: rank correlations, on-time against late scores (test and both means), price bands (test and
+    the mean of each band) and, if given, the logistic model's coefficients and odds ratios. Inputs are
+    results of ``statistics``, a few rows each.
+    """
+    both = F.col("ontime_n") + F.col("late_n")
+    sides = lateness.select(F.explode(F.array(*[
+        F.struct(F.lit(name).alias("name"), F.col(f"{column}_n").alias("n"), F.col(f"{column}_mean").alias("mean"))
+        for name, column in (("on time", "ontime"), ("late", "late"))])).alias("r")).select("r.*")
+    parts = [
+        _section("correlations", correlations, name=F.col("pair"), statistic=F.col("rho"), n=F.col("n"), p_value=F.col("p_value")),
+        _section("ontime_vs_late", lateness, name=F.lit("Mann-Whitney U"), statistic=F.col("u"), n=both, p_value=F.col("p_value")),
+        _section("ontime_vs_late", sides, name=F.col("name"), n=F.col("n"), mean=F.col("mean")),
+        _section("price_bands", bands, name=F.lit("Kruskal-Wallis H"), statistic=F.col("h"), n=F.col("n_rows"), p_value=F.col("p_value")),
+        _section("price_bands", band_scores, name=F.col(band_scores.columns[0]), n=F.col("n"), mean=F.col("mean")),
+    ]
+    if logit is not None:
+        parts.append(_section("logistic_regression", logit, name=F.col("predictor"), statistic=F.col("coef"), n=F.col("n_obs"),
+                              p_value=F.col("p_value"), odds_ratio=F.col("odds_ratio")))
+        parts.append(_section("logistic_regression", logit.where("predictor = 'const'"), name=F.lit("pseudo R2"),
+                              statistic=F.col("pseudo_r2"), n=F.col("n_obs")))
+    return union_all(parts).withColumn("p_label", p_label(F.col("p_value"))).withColumn(
         "significant", F.col("p_value") < alpha)
 
 

@@ -173,19 +173,19 @@ def digits(p: str) -> str:
 def check_student(rho: str, n: str) -> str:
     df = f"({n} - 2)"
     density = f"exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0) - ({df} + 1) / 2.0 * ln(1 + [y] * [y] / {df})) / sqrt({df} * pi())"
-    return digits("2 * " + check_tail(density, f"(abs({rho}) * sqrt({df} / (1 - {rho} * {rho})))", 1.0))
+    return "2 * " + check_tail(density, f"(abs({rho}) * sqrt({df} / (1 - {rho} * {rho})))", 1.0)
 
 
 def check_normal(n1: str, n2: str) -> str:
     n = f"({n1} + {n2})::DOUBLE"
     z = f"((u - {n1}::DOUBLE * {n2} / 2 - 0.5) / sqrt({n1}::DOUBLE * {n2} / 12 * (({n} + 1) - tie_sum / ({n} * ({n} - 1)))))"
     tail = check_tail("exp(-[y] * [y] / 2) / sqrt(2 * pi())", f"abs({z})", 1.0)
-    return digits(f"CASE WHEN {z} >= 0 THEN {tail} ELSE 1 - {tail} END")
+    return f"CASE WHEN {z} >= 0 THEN {tail} ELSE 1 - {tail} END"
 
 
 def check_chi2(h: str, groups: str) -> str:
     a = f"(({groups} - 1) / 2.0)"
-    return digits(check_tail(f"exp(({a} - 1) * ln([y] / 2) - [y] / 2 - lgamma({a})) / 2", h))
+    return check_tail(f"exp(({a} - 1) * ln([y] / 2) - [y] / 2 - lgamma({a})) / 2", h)
 
 
 def significant(df: DataFrame) -> DataFrame:
@@ -296,8 +296,8 @@ add("extreme_categories", lambda s: rounded(
     SELECT * FROM (SELECT category, review_count, round(a, 6) AS avg_review_score, round(r, 6) AS neg_review_rate, 'top' AS side FROM hi ORDER BY a DESC, category LIMIT 5)
     UNION ALL SELECT * FROM (SELECT category, review_count, round(a, 6), round(r, 6), 'bottom' FROM hi ORDER BY a, category LIMIT 5)""")
 add("logit_negative_review", lambda s: statistics.logit_negative_review(delivered_reviews(s)))
-CHECK_RHO_P = f"SELECT pair, round(rho, 6) AS rho, n, {check_student('rho', 'n')} AS p_value FROM sp"
-H_WITH_P = f"n_groups, n_rows, round(h, 5) AS h, {check_chi2('h', 'n_groups')} AS p_value"
+CHECK_RHO_P = f"SELECT pair, round(rho, 6) AS rho, n, {digits(check_student('rho', 'n'))} AS p_value FROM sp"
+H_WITH_P = f"n_groups, n_rows, round(h, 5) AS h, {digits(check_chi2('h', 'n_groups'))} AS p_value"
 add("spearman_p_values", lambda s: significant(rounded(statistics.spearman_with_p(spearman_review(s)), "rho")),
     CHECK_STATS + f", sp AS ({check_spearman_review('corr(rx, ry)')}) {CHECK_RHO_P}")
 add("spearman_category_p_values", lambda s: significant(rounded(statistics.spearman_with_p(spearman_category(s)), "rho")),
@@ -305,10 +305,10 @@ add("spearman_category_p_values", lambda s: significant(rounded(statistics.spear
 add("mannwhitney_p_value", lambda s: significant(rounded(statistics.mannwhitney_with_p(
     statistics.mannwhitney_late(delivered_reviews(s)), "ontime_n", "late_n"),
     "ontime_mean", "late_mean", "ontime_neg_review_rate", "late_neg_review_rate")),
-    CHECK_LATE_TEST + f" SELECT *, {check_normal('ontime_n', 'late_n')} AS p_value FROM mw")
+    CHECK_LATE_TEST + f" SELECT *, {digits(check_normal('ontime_n', 'late_n'))} AS p_value FROM mw")
 add("mannwhitney_freight_p_value", lambda s: significant(rounded(statistics.mannwhitney_with_p(
     statistics.mannwhitney_freight(delivered_reviews(s)), "low_n", "high_n"), "low_mean", "high_mean", "median_freight")),
-    CHECK_FREIGHT_TEST + f" SELECT *, {check_normal('low_n', 'high_n')} AS p_value FROM mw")
+    CHECK_FREIGHT_TEST + f" SELECT *, {digits(check_normal('low_n', 'high_n'))} AS p_value FROM mw")
 add("kruskal_categories_p_value", lambda s: significant(rounded(statistics.kruskal_with_p(
     statistics.kruskal(reliable_category_scores(s), "category", "review_score", bounded=True)), "h", digits=5)),
     CHECK_CATEGORY_SCORES + check_kruskal("cg", H_WITH_P))

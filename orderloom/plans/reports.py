@@ -7,16 +7,18 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orderloom.functions.vocabulary import SEGMENTS, TOPIC_NAMES
+from orderloom.functions.metrics import right_closed_bin
+from orderloom.functions.vocabulary import PRICE_LABELS, SEGMENTS, TOPIC_NAMES
 from orderloom.operators import business, explore, fingerprint, grain, quality, reporting, reviews_text, statistics, topics
 from orderloom.operators import signals as language
 from orderloom.plans.base import Registry
 from orderloom.plans.business import (
-    ASPECTS, CATEGORY_PAIRS, CHECK_CATEGORIES, CHECK_GRAIN, CHECK_LATENESS, CHECK_PRIORITY,
-    CHECK_SENSITIVITY, CHECK_STATS, REVIEW_PAIRS, spearman_category, spearman_review,
+    ASPECTS, CATEGORY_PAIRS, CHECK_BANDS, CHECK_CATEGORIES, CHECK_GRAIN, CHECK_LATE_TEST, CHECK_LATENESS, CHECK_PRIORITY,
+    CHECK_SENSITIVITY, CHECK_STATS, PRICE_BINS, REVIEW_PAIRS, check_chi2, check_kruskal, check_normal, check_spearman_category,
+    check_spearman_review, check_student, delivered_reviews, digits, significant, spearman_category, spearman_review,
 )
-from orderloom.plans.text import CHECK_SIGNALS, CHECK_TAGS, SIGNALS, flagged, tagged
-
+from orderloom.plans.explore import rounded
+from orderloom.plans.text import CHECK_SIGNALS, CHECK_TAGS, CHECK_TERMS, SIGNALS, STOP_WORDS, flagged, tagged
 from orderloom.session import written
 from orderloom.sources.tables import TradeStar
 
@@ -150,14 +152,60 @@ def priority_report(star: TradeStar) -> DataFrame:
 
 
 add("prioritization_report", priority_report, CHECK_PRIORITY_REPORT + " SELECT * FROM prep")
-add("stats_report", lambda s: reporting.stats_report(statistics.spearman_with_p(spearman_review(s))))
+
+
+def statistics_tables(star: TradeStar, odds: bool = False) -> DataFrame:
+    delivered = written(delivered_reviews(star), "delivered")
+    banded = delivered.withColumn("price_band", right_closed_bin(F.col("price"), PRICE_BINS, PRICE_LABELS))
+    correlations = statistics.spearman_set(delivered, REVIEW_PAIRS).unionByName(spearman_category(star))
+    report = reporting.stats_report(
+        statistics.spearman_with_p(correlations),
+        statistics.mannwhitney_with_p(statistics.mannwhitney_late(delivered), "ontime_n", "late_n"),
+        statistics.kruskal_with_p(statistics.kruskal(banded, "price_band", "review_score", bounded=True)),
+        statistics.group_means(banded, "price_band", "review_score"),
+        statistics.logit_negative_review(delivered) if odds else None)
+    return significant(rounded(rounded(report, "mean"), "statistic", digits=5))
+
+
+add("stats_report", statistics_tables, CHECK_BANDS + """
+    , hi AS (SELECT category, avg(is_neg_review) AS neg_review_rate, avg(is_neg_sentiment) AS neg_sentiment_rate,
+                    avg(review_score) AS avg_review_score FROM cat GROUP BY 1 HAVING count(*) >= 100)""" + f"""
+    , sp AS ({check_spearman_review('corr(rx, ry)')} UNION ALL {check_spearman_category('corr(rx, ry)')})
+    """ + CHECK_LATE_TEST[len(CHECK_STATS):] + check_kruskal("pb", "*").replace("SELECT * FROM kw", "") + f""", rep AS (
+    SELECT 'correlations' AS section, pair AS name, rho AS statistic, n, NULL AS mean, {check_student('rho', 'n')} AS p_value FROM sp
+    UNION ALL SELECT 'ontime_vs_late', 'Mann-Whitney U', u, ontime_n + late_n, NULL, {check_normal('ontime_n', 'late_n')} FROM mw
+    UNION ALL SELECT 'ontime_vs_late', 'on time', NULL, ontime_n, ontime_mean, NULL FROM mw
+    UNION ALL SELECT 'ontime_vs_late', 'late', NULL, late_n, late_mean, NULL FROM mw
+    UNION ALL SELECT 'price_bands', 'Kruskal-Wallis H', h, n_rows, NULL, {check_chi2('h', 'n_groups')} FROM kw
+    UNION ALL SELECT 'price_bands', g, NULL, count(*), avg(score), NULL FROM pb WHERE g IS NOT NULL GROUP BY g)
+    SELECT section, name, round(statistic::DOUBLE, 5) AS statistic, n, round(mean::DOUBLE, 6) AS mean, {digits('p_value')} AS p_value, NULL::DOUBLE AS odds_ratio,
+           CASE WHEN p_value = 0 THEN '< 1e-300' ELSE printf('%.2e', p_value) END AS p_label, p_value < 0.05 AS significant FROM rep""")
+add("stats_report_odds", lambda s: statistics_tables(s, odds=True))
 add("aspect_report", lambda s: reporting.aspect_report(summary(s)), CHECK_SUMMARY + " SELECT * FROM rep")
-add("topic_report", lambda s: reporting.topic_report(topics.topic_dimension(
-    s.scored_reviews.groupBy("topic_id").agg(F.count("*").alias("review_count"),
-        F.sort_array(F.collect_set("topic_label")).alias("representative_terms")))).withColumn(
-    "top_terms", F.array_join("top_terms", ", ")), ", names AS (SELECT * FROM (VALUES " + ", ".join(
-    f"({i}, '{n}')" for i, n in TOPIC_NAMES.items()) + """) t(topic_id, label))
-    SELECT topic_id, label, count(*) AS review_count, min(topic_label) AS top_terms FROM b_scored JOIN names USING (topic_id) GROUP BY 1, 2""")
+
+
+def topic_tables(star: TradeStar) -> DataFrame:
+    """Topics of all scored reviews; their terms come from the texts of the same orders."""
+    scored = star.scored_reviews.select("order_id", "topic_id")
+    terms = topics.cluster_terms(star.text_reviews.join(scored, "order_id"), STOP_WORDS, top=10)
+    ranked = terms.groupBy("topic_id").agg(F.sort_array(F.collect_list(F.struct("rank", "term"))).alias("r"))  # ten a topic
+    sizes = scored.groupBy("topic_id").agg(F.count("*").alias("review_count"))
+    found = sizes.join(ranked.select("topic_id", F.col("r.term").alias("representative_terms")), "topic_id", "left")
+    return reporting.topic_report(topics.topic_dimension(found)).withColumn("top_terms", F.array_join("top_terms", ", "))
+
+
+add("topic_report", topic_tables, CHECK_TERMS + ", names AS (SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, '{n}')" for i, n in TOPIC_NAMES.items()) + """) t(topic_id, label)),
+    placed AS (SELECT topic_id, term FROM terms JOIN b_text ON doc = review_id JOIN b_scored USING (order_id)),
+    c AS (SELECT topic_id, term, count(*) AS tf FROM placed GROUP BY 1, 2),
+    voc AS (SELECT term, count(*) AS df FROM c GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT 5000),
+    nc AS (SELECT count(DISTINCT topic_id) AS n FROM b_text JOIN b_scored USING (order_id)),
+    raw2 AS (SELECT topic_id, term, tf * (ln((1 + n)::DOUBLE / (1 + df)) + 1) AS raw FROM c JOIN voc USING (term), nc),
+    sc AS (SELECT topic_id, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY topic_id)), 9) AS score FROM raw2),
+    rk AS (SELECT topic_id, term, row_number() OVER (PARTITION BY topic_id ORDER BY score DESC, term) AS rank FROM sc QUALIFY rank <= 10),
+    tt AS (SELECT topic_id, string_agg(term, ', ' ORDER BY rank) AS top_terms FROM rk GROUP BY 1),
+    sz AS (SELECT topic_id, count(*) AS review_count FROM b_scored GROUP BY 1)
+    SELECT topic_id, label, review_count, top_terms FROM sz JOIN names USING (topic_id) LEFT JOIN tt USING (topic_id)""")
 add("score_histogram", lambda s: reporting.score_histogram(s.reviews),
     "SELECT review_score, count(*) AS n FROM b_reviews GROUP BY 1")
 add("signals_report", lambda s: reporting.signals_report(language.signals_by_type(flagged(s), list(SIGNALS)).withColumn(
