@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from orderloom.functions import vocabulary as v
 from orderloom.functions.vocabulary import (
     FOLLOW_UP_CUES, GENERIC_WORDS, HISTORY_MESSAGES, INJECTION_PATTERNS, MESSAGE_CHARS,
 )
@@ -22,6 +23,7 @@ add = LOGS.add
 
 TERMS = ("order", "ertion", "keit", "theorou", "von", "le", "of the", "in-der", "review")
 SALT = "orderloom"
+LOOK_BEHIND = r"(?<![\w.])"
 
 
 def turns(star: TradeStar) -> DataFrame:
@@ -122,9 +124,29 @@ add("secret_redaction", lambda s: s.raw("documents").select("doc_id", requests.r
     "doc_id", F.sha2("t", 256).alias("digest"), (F.length("t") - F.length(F.replace(F.col("t"), F.lit("[REDACTED]"), F.lit(""))))
     .alias("redacted_chars")), rf""", r AS (SELECT doc_id, regexp_replace(text, '{HEX_SECRET[0]}', '[REDACTED]', 'g') AS t FROM documents)
     SELECT doc_id, sha256(t) AS digest, (length(t) - length(replace(t, '[REDACTED]', '')))::INT AS redacted_chars FROM r""")
+
+
+def check_paths() -> str:
+    """RE2 has no look-behind: the character before a path is captured and put back."""
+    def replaced(text: str, pattern: str, kept: str) -> str:
+        before = pattern.startswith(LOOK_BEHIND)
+        pattern = (r"(^|[^\w.])" + pattern.removeprefix(LOOK_BEHIND) if before else pattern).replace("'", "''")
+        kept = r"\1" + kept.replace(r"\1", r"\2") if before else kept
+        return f"regexp_replace({text}, '{pattern}', '{kept}', 'g')"
+
+    def shortened(text: str) -> str:
+        return replaced(replaced(text, v.WINDOWS_PATH, r"…/\1"), v.UNIX_PATH, r"…/\1")
+
+    hidden = "url"
+    for pattern in v.HIDDEN_PATHS:
+        hidden = replaced(hidden, pattern, v.HIDDEN_PATH)
+    detail = shortened("'open /srv/shop/data/' || page_id || '.csv'")
+    return f"SELECT page_id, sha256({shortened(hidden)}) AS digest, {detail} AS detail FROM pages"
+
+
 add("path_shortening", lambda s: s.raw("pages").select("page_id", F.sha2(
     requests.shorten_paths(requests.hide_paths(F.col("url"))), 256).alias("digest"), requests.shorten_paths(F.concat(
-        F.lit("open /srv/shop/data/"), F.col("page_id").cast("string"), F.lit(".csv"))).alias("detail")))
+        F.lit("open /srv/shop/data/"), F.col("page_id").cast("string"), F.lit(".csv"))).alias("detail")), check_paths())
 add("client_pseudonym", lambda s: s.raw("events").select("user_id").distinct().select(
     "user_id", requests.client_pseudonym(F.col("user_id").cast("string"), SALT).alias("client")),
     f"SELECT DISTINCT user_id, 'client-' || left(sha256('{SALT}' || user_id), 12) AS client FROM events")
