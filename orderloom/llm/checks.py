@@ -89,18 +89,30 @@ def _text(value: str) -> str:
 def _canonical(column: str) -> str:
     line = r"(?m)^[^\p{L}\p{N}\n]*(?:©|\(c\)|copyright\s+(?:©|\(c\)|[0-9]|holder:)|all rights reserved)[^\n]*$"
     out = f"regexp_replace(lower({column}), {_text(line)}, ' ', 'g')"
-    out = f"' ' || trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
+    out = f"' ' || trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', '  ', 'g')) || ' '"
     for kept, other in SPELLINGS:
-        out = f"replace({out}, ' {other} ', ' {kept} ')"
-    return f"trim({out})"
+        out = f"replace({out}, ' {other.replace(' ', '  ')} ', ' {kept.replace(' ', '  ')} ')"
+    return f"trim(replace({out}, '  ', ' '))"
+
+
+def _blocks(column: str) -> str:
+    between = r"\n(?:[^\p{L}\p{N}\n]*\n)+"
+    return f"list_filter(list_transform(string_split_regex({column}, '{between}'), lambda b : {_canonical('b')}), lambda b : b <> '')"
 
 
 LICENSES = f"""
-WITH known AS (SELECT name, sha256({_canonical("t")}) AS h FROM (VALUES {", ".join(f"({_text(k)}, {_text(v)})" for k, v in KNOWN.items())}) k(name, t)),
+WITH texts AS (SELECT name, t FROM (VALUES {", ".join(f"({_text(k)}, {_text(v)})" for k, v in KNOWN.items())}) k(name, t)),
+known AS (SELECT name, sha256({_canonical("t")}) AS h FROM texts),
+known_blocks AS (SELECT name, len(b) AS size, unnest(b) AS block, generate_subscripts(b, 1) AS k FROM (SELECT name, {_blocks("t")} AS b FROM texts)),
 units AS (SELECT doc_id, true AS whole, coalesce(text, '') AS u FROM documents
           UNION ALL SELECT doc_id, false, unnest(string_split(coalesce(text, ''), chr(10))) FROM documents),
+doc_blocks AS (SELECT doc_id, unnest(b) AS block, generate_subscripts(b, 1) AS place FROM (SELECT doc_id, {_blocks("text")} AS b FROM documents
+               WHERE text IS NOT NULL)),
+runs AS (SELECT DISTINCT doc_id, name FROM (SELECT doc_id, name, place - k AS start FROM doc_blocks JOIN known_blocks USING (block)
+         GROUP BY doc_id, name, size, place - k HAVING count(DISTINCT k) = size)),
 hits AS (SELECT doc_id, whole, name FROM (SELECT doc_id, whole, sha256({_canonical("u")}) AS h FROM units
-         WHERE regexp_matches(lower(u), 'licen|permi|software|redistribut|warrant|copyright')) JOIN known USING (h)),
+         WHERE regexp_matches(lower(u), 'licen|permi|software|redistribut|warrant|copyright')) JOIN known USING (h)
+         UNION ALL SELECT doc_id, false, name FROM runs),
 found AS (SELECT doc_id, min(name) FILTER (WHERE whole) AS license,
                  array_to_string(list_sort(list(DISTINCT name) FILTER (WHERE NOT whole)), ',') AS notices FROM hits GROUP BY 1)
 SELECT d.doc_id, license, coalesce(notices, '') AS notices FROM documents d LEFT JOIN found ON found.doc_id = d.doc_id

@@ -56,19 +56,94 @@ required.
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution."""
 
-KNOWN: dict[str, str] = {
-    "MIT": MIT,
-    "MIT (titled)": "MIT License\n\n" + MIT,
-    "ISC": ISC,
-    "ISC (titled)": "ISC License\n\n" + ISC,
-    "BSD-2-Clause": BSD_HEAD + BSD_TAIL,
-    "BSD-3-Clause": BSD_HEAD + BSD_THIRD + BSD_TAIL,
-    "Zlib": ZLIB,
-    "notice: MIT": "Released under the MIT License.",
-    "notice: Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "notice: GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "notice: CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-}
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or
+as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright
+interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the
+detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of
+all present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE
+LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT
+OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+APACHE_HEADER = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+compliance with the License. You may obtain a copy of the License at
+
+http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an
+"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific
+language governing permissions and limitations under the License."""
+
+MPL_HEADER = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL
+was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+
+EPL_HEADER = """This program and the accompanying materials are made available under the terms of the Eclipse Public
+License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"""
+
+BOOST_HEADER = """Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or
+copy at http://www.boost.org/LICENSE_1_0.txt)"""
+
+GNU_HEADER = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name}
+as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later
+version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied
+warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details."""
+
+GNU = (("GPL", "General Public License", ("2", "3")), ("LGPL", "Lesser General Public License", ("2.1", "3")),
+       ("AGPL", "Affero General Public License", ("3",)))
+SPDX_IDS = (
+    "0BSD", "AFL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause",
+    "BSL-1.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC-BY-ND-4.0", "CC-BY-NC-SA-4.0", "CC-BY-NC-ND-4.0",
+    "EPL-1.0", "EPL-2.0", "EUPL-1.2", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC",
+    "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "MIT", "MIT-0", "MPL-2.0", "MS-PL",
+    "NCSA", "OFL-1.1", "PostgreSQL", "Python-2.0", "Unlicense", "Zlib")
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)"), "ISC": ("ISC License", "The ISC License"),
+    "BSD-2-Clause": ("BSD 2-Clause License",), "BSD-3-Clause": ("BSD 3-Clause License",), "Zlib": ("zlib License",)}
+# How notices name licences.
+NAMES = {
+    "MIT": "MIT License", "ISC": "ISC License", "BSD-2-Clause": "BSD 2-Clause License", "BSD-3-Clause": "BSD 3-Clause License",
+    "Apache-2.0": "Apache License, Version 2.0", "MPL-2.0": "Mozilla Public License, version 2.0",
+    "EPL-2.0": "Eclipse Public License, version 2.0", "BSL-1.0": "Boost Software License, Version 1.0"}
+CREATIVE_COMMONS = {
+    "BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives",
+    "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+
+
+def known_texts() -> dict[str, str]:
+    """Name -> text. Whole licences have plain names; "(n)" marks their titled forms, "notice:" shorter statements."""
+    whole = {"MIT": MIT, "ISC": ISC, "BSD-2-Clause": BSD_HEAD + BSD_TAIL, "BSD-3-Clause": BSD_HEAD + BSD_THIRD + BSD_TAIL,
+             "Zlib": ZLIB, "Unlicense": UNLICENSE}
+    known = dict(whole)
+    for name, titles in TITLES.items():
+        for n, title in enumerate(titles):
+            known[f"{name} (titled)" if n == 0 else f"{name} (titled {n + 1})"] = f"{title}\n\n{whole[name]}"
+    for name, wording in NAMES.items():
+        known[f"notice: {name}"] = f"Released under the {wording}." if name == "MIT" else f"Licensed under the {wording}."
+        known[f"notice: {name} (2)"] = f"Licensed under the {wording}." if name == "MIT" else f"Released under the {wording}."
+        known[f"notice: {name} (3)"] = f"This work is licensed under the {wording}."
+    for short, name, versions in GNU:
+        for version in versions:
+            full = version if "." in version else version + ".0"
+            known[f"notice: {short}-{full}"] = f"This work is licensed under the GNU {name}, version {version}."
+            known[f"notice: {short}-{full} (2)"] = f"Licensed under the GNU {name}, version {version}."
+            known[f"header: {short}-{full}-or-later"] = GNU_HEADER.format(name=name, version=version)
+    for short, name in CREATIVE_COMMONS.items():
+        known[f"notice: CC-{short}-4.0"] = f"Licensed under CC {short} 4.0."
+        known[f"notice: CC-{short}-4.0 (2)"] = f"This work is licensed under a Creative Commons {name} 4.0 International License."
+    known |= {"header: Apache-2.0": APACHE_HEADER, "header: MPL-2.0": MPL_HEADER, "header: EPL-2.0": EPL_HEADER,
+              "header: BSL-1.0": BOOST_HEADER}
+    return known | {f"spdx: {i}": f"SPDX-License-Identifier: {i}" for i in SPDX_IDS}
+
+
+KNOWN: dict[str, str] = known_texts()
 
 # Equivalent spellings, each to the first form.
 SPELLINGS: tuple[tuple[str, str], ...] = (
@@ -76,4 +151,5 @@ SPELLINGS: tuple[tuple[str, str], ...] = (
     ("noninfringement", "non infringement"), ("merchantability", "merchantibility"), ("organization", "organisation"),
     ("acknowledgment", "acknowledgement"), ("favor", "favour"), ("copyright holder", "copyright owner"),
     ("copyright holders", "copyright owners"), ("percent", "per cent"), ("program", "programme"),
+    ("http", "https"),
 )

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from samples import DOCS, awkward, prose, rows
 
 from orderloom.llm import (
@@ -684,6 +685,35 @@ def test_any_mapping_of_known_texts_is_scanned(spark):
     assert found == {0: ("PD", "PD"), 1: (None, "PD"), 2: (None, "")}
 
 
+def test_licences_above_code_titles_headers_and_spdx_lines(spark):
+    from orderloom.llm.license_texts import APACHE_HEADER, BSD_HEAD, BSD_TAIL, GNU_HEADER, MIT, UNLICENSE
+
+    commented = "\n".join(f"# {line}".rstrip() for line in APACHE_HEADER.replace("http:", "https:").split("\n"))
+    texts = {
+        "title": ("The MIT License (MIT)\n\nCopyright (c) 2020 A. Nother\n\n" + MIT, "MIT (titled 3)", "MIT,MIT (titled 3)"),
+        "code": (MIT + "\n\nint main() { return 0; }\n\nint more;", None, "MIT"),
+        "header": ("#!/bin/sh\n#\n" + commented + "\n#\n\nexit 0", None, "header: Apache-2.0"),
+        "gnu": ("/*\n *\n" + GNU_HEADER.format(name="Lesser General Public License", version="2.1") + "\n\n*/ x", None, "header: LGPL-2.1-or-later"),
+        "spdx": ("// SPDX-License-Identifier: GPL-2.0-or-later\nint x;", None, "spdx: GPL-2.0-or-later"),
+        "unlicense": (UNLICENSE, "Unlicense", "Unlicense"),
+        "gap": (BSD_HEAD + "\n\nsoftware and other words\n\n" + BSD_TAIL, None, ""),
+        "order": ("\n\n".join(reversed(MIT.split("\n\n"))), None, ""),
+        "twice": ("software licence licence", None, ""),
+    }
+    frame = spark.createDataFrame(rows([t for t, _, _ in texts.values()], range(len(texts))), DOCS)
+    found = {r.doc_id: (r.license, r.notices) for r in licenses.scan(frame).collect()}
+    for k, (name, (_, license, notices)) in enumerate(texts.items()):
+        assert found[k] == (license, notices), name
+    # Two documents of one id do not make one run.
+    halves = spark.createDataFrame(rows(MIT.split("\n\n")[:1] + ["\n\n".join(["x", *MIT.split("\n\n")[1:]])], [5, 5]), DOCS)
+    assert {(r.license, r.notices) for r in licenses.scan(halves).collect()} == {(None, "")}
+
+
+def test_neighbouring_spellings_are_all_replaced(spark):
+    frame = spark.createDataFrame([("licence licence sub-licence sub licence",)], "text string")
+    assert frame.select(licenses.canonical(F.col("text"))).first()[0] == "license license sublicense sub license"
+
+
 def test_repeated_doc_ids_do_not_multiply_the_toxic_sample(spark):
     table = rows([prose(k, 60) + (" scum" * 5 if k % 2 else "") for k in range(40)] * 3, list(range(40)) * 3)
     frame = spark.createDataFrame(table, DOCS)
