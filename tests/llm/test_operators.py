@@ -711,7 +711,7 @@ def test_licences_above_code_titles_headers_and_spdx_lines(spark):
 
 def test_neighbouring_spellings_are_all_replaced(spark):
     frame = spark.createDataFrame([("licence licence sub-licence sub licence",)], "text string")
-    assert frame.select(licenses.canonical(F.col("text"))).first()[0] == "license license sublicense sub license"
+    assert frame.select(licenses.canonical(F.col("text"))).first()[0] == "license license sublicense sublicense"
 
 
 def test_repeated_doc_ids_do_not_multiply_the_toxic_sample(spark):
