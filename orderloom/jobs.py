@@ -12,8 +12,9 @@ from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orderloom.functions.vocabulary import ASPECT_PATTERNS, NO_ASPECT
-from orderloom.operators import business, features, grain, modeling, reviews_text, signals, topics
+from orderloom.functions.metrics import right_closed_bin
+from orderloom.functions.vocabulary import ASPECT_PATTERNS, NO_ASPECT, PRICE_BINS, PRICE_LABELS, SIGNAL_PATTERNS
+from orderloom.operators import business, features, grain, modeling, reporting, reviews_text, signals, statistics, topics
 from orderloom.session import written
 from orderloom.sources import files
 from orderloom.sources.tables import MarketplaceStar
@@ -61,15 +62,50 @@ def score_reviews(
     return star.raw("nlp_reviews")
 
 
+REVIEW_PAIRS = {
+    "Delivery Delay vs Review Score": ("delay_days", "review_score"),
+    "Freight Value vs Review Score": ("freight_value", "review_score"),
+    "Price vs Review Score": ("price", "review_score")}
+CATEGORY_PAIRS = {
+    "Complaint Rate vs Avg Rating": ("neg_review_rate", "avg_review_score"),
+    "Negative Sentiment Rate vs Avg Rating": ("neg_sentiment_rate", "avg_review_score")}
+
+
+def statistical_tests(reviews: DataFrame, categories: DataFrame, category_rows: DataFrame, with_model: bool) -> dict[str, DataFrame]:
+    """All tests: the report table, the freight split, the comparison of categories and its extremes."""
+    delivered = written(statistics.delivered_totals(reviews), "delivered")
+    banded = delivered.withColumn("price_band", right_closed_bin(F.col("price"), PRICE_BINS, PRICE_LABELS))
+    reliable = categories.where("confidence = 'HIGH'")
+    correlations = statistics.spearman_set(delivered, REVIEW_PAIRS).unionByName(
+        statistics.spearman_set(reliable, CATEGORY_PAIRS, x_bounded=True, y_bounded=True))
+    return {
+        "statistics": reporting.stats_report(
+            statistics.spearman_with_p(correlations),
+            statistics.mannwhitney_with_p(statistics.mannwhitney_late(delivered), "ontime_n", "late_n"),
+            statistics.kruskal_with_p(statistics.kruskal(banded, "price_band", "review_score", bounded=True)),
+            statistics.group_means(banded, "price_band", "review_score"),
+            statistics.logit_negative_review(delivered) if with_model else None),
+        "freight_comparison": statistics.mannwhitney_with_p(statistics.mannwhitney_freight(delivered), "low_n", "high_n"),
+        "category_comparison": statistics.kruskal_with_p(statistics.kruskal(
+            category_rows.join(reliable.select("category"), "category", "left_semi"), "category", "review_score", bounded=True)),
+        "extreme_categories": statistics.extreme_categories(categories),
+    }
+
+
 def analyse(
     star: MarketplaceStar, folder: str, min_category: int = 100, min_seller: int = 30,
-    aspects: Sequence[str] = (*ASPECT_PATTERNS, NO_ASPECT),
+    aspects: Sequence[str] = (*ASPECT_PATTERNS, NO_ASPECT), with_model: bool = True,
 ) -> dict[str, DataFrame]:
-    """Group metrics, complaints, exposure, priorities and language signals as CSV tables."""
+    """Group metrics, complaints, tests, exposure, priorities and language signals as CSV tables.
+
+    ``with_model=False`` leaves out the logistic model, which needs delivered reviews of both outcomes.
+    """
     categories = written(business.category_metrics(star, min_category), "category-metrics")
     rows = written(grain.review_level_by(star, "category"), "category-rows")
     reviews = written(grain.review_level(star), "review-level")
-    flagged = signals.flag_signals(reviews_text.text_reviews(star.raw("nlp_reviews")))
+    # Five tables read the flags: fold and match the texts once.
+    flagged = written(signals.flag_signals(reviews_text.text_reviews(star.raw("nlp_reviews"))), "flagged")
+    exposure = business.commercial_exposure(reviews)
     results = {
         "agg_category": categories,
         "agg_seller": business.seller_metrics(star, min_seller),
@@ -80,10 +116,16 @@ def analyse(
         "complaint_matrix_long": business.complaint_matrix_long(rows),
         "late_by_state": business.late_by(reviews, "state", min_category),
         "aspect_by_lateness": business.aspect_by_lateness(reviews),
-        "exposure_sensitivity": business.exposure_sensitivity(business.commercial_exposure(reviews)),
+        "late_by_category": business.late_by(rows, "category", min_category),
+        "commercial_exposure": exposure,
+        "exposure_sensitivity": business.exposure_sensitivity(exposure),
         "business_prioritization": business.prioritization(categories),
         "fraud_signals": signals.signals_overall(flagged),
+        "fraud_signals_by_type": signals.signals_by_type(flagged, list(SIGNAL_PATTERNS)),
         "fraud_sellers": signals.signal_rank(flagged, star.items, "seller_id", min_seller),
+        "fraud_categories": signals.signal_rank(flagged, grain.items_with_category(star), "category", min_category),
+        "fraud_examples": signals.signal_examples(flagged, list(SIGNAL_PATTERNS)),
+        **statistical_tests(reviews, categories, rows, with_model),
     }
     for name, table in results.items():
         files.write_csv(table, f"{folder}/{name}")

@@ -65,6 +65,14 @@ def _ranked_cells(df: DataFrame, group: str, value: str, bounded: bool, carry: s
         "ties", F.col("c") * (n * n - 1))
 
 
+def delivered_totals(reviews: DataFrame) -> DataFrame:
+    """Review-level rows of delivered orders with the order's totals as doubles: what the tests compare."""
+    return reviews.where("delay_days is not null").select(
+        "review_id", "order_id", "review_score", "is_late", "delay_days", "is_neg_review",
+        F.col("order_items_price").cast("double").alias("price"),
+        F.col("order_freight").cast("double").alias("freight_value"))
+
+
 def group_means(df: DataFrame, group: str, value: str) -> DataFrame:
     return df.where(F.col(group).isNotNull()).groupBy(group).agg(
         F.count(value).alias("n"), F.avg(value).alias("mean"))

@@ -135,14 +135,7 @@ add("complaint_matrix", lambda s: rounded(business.complaint_matrix(
 
 def delivered_reviews(star: TradeStar) -> DataFrame:
     """One row per delivered review with order totals as doubles."""
-    return totals_of(grain.review_level(star))
-
-
-def totals_of(reviews: DataFrame) -> DataFrame:
-    return reviews.where("delay_days is not null").select(
-        "review_id", "order_id", "review_score", "is_late", "delay_days", "is_neg_review",
-        F.col("order_items_price").cast("double").alias("price"),
-        F.col("order_freight").cast("double").alias("freight_value"))
+    return statistics.delivered_totals(grain.review_level(star))
 
 
 CHECK_STATS = CHECK_CATEGORIES + """, dr AS (
@@ -355,7 +348,7 @@ add("prioritization", lambda s: rounded(
 def stage_metrics_bundle(star: TradeStar) -> DataFrame:
     """The results as one JSON document; every part is a small aggregated table."""
     reviews = written(grain.review_level(star), "review-level")
-    delivered = written(totals_of(reviews), "delivered")
+    delivered = written(statistics.delivered_totals(reviews), "delivered")
     banded = delivered.withColumn("price_band", right_closed_bin(F.col("price"), PRICE_BINS, PRICE_LABELS))
     categories = written(business.category_metrics(star), "categories")
     exposure = business.commercial_exposure(reviews)

@@ -84,6 +84,13 @@ def test_reviews_and_analysis(star, tmp_path):
     assert sum(r.review_count for r in results["agg_category"].collect()) >= reviewed
     for row in results["complaint_matrix"].collect():
         assert all(0 <= row[c] <= 1 for c in row.asDict() if c != "category")
+    tests = results["statistics"].collect()
+    assert {"correlations", "ontime_vs_late", "price_bands", "logistic_regression"} == {r.section for r in tests}
+    assert all(r.p_value is None or 0 <= r.p_value <= 1 for r in tests)
+    sides = {r.name: r.n for r in tests if r.section == "ontime_vs_late"}
+    assert sides["on time"] + sides["late"] == sides["Mann-Whitney U"] > 0
+    assert sum(r.n for r in results["late_by_category"].collect()) > 0 and results["commercial_exposure"].count() == 1
+    assert all((tmp_path / "out" / name / "_SUCCESS").exists() for name in results)
     again = jobs.build_features(star, if_missing=True)
     assert again.count() == 40
 
