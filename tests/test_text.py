@@ -100,3 +100,34 @@ def test_topic_names_must_match(spark):
         topics.topic_dimension(df, {0: "Zero"})
     names = {r.topic_id: r.business_topic_name for r in topics.topic_dimension(df, {0: "Zero"}, strict=False).collect()}
     assert names == {0: "Zero", 9: "Topic 9"}
+
+
+def test_most_used_terms_leave_rare_words_uncounted(spark):
+    import collections
+    import random
+
+    draw = random.Random(5)
+    texts = [" ".join(draw.choice("abcdefgh") * 2 if draw.random() < 0.7 else f"rare{draw.randrange(4000)}" for _ in range(60))
+             for _ in range(60)]
+    docs = spark.createDataFrame([(i % 3, t) for i, t in enumerate([*texts, None, ""])], "topic_id int, review_comment_message string")
+    words = topics.kept_words(docs, ["aa"], by=["topic_id"])
+    expected, spread = collections.Counter(), collections.defaultdict(set)
+    for i, t in enumerate(texts):
+        kept = [w for w in t.split() if w != "aa"]
+        for term in [*kept, *(f"{a} {b}" for a, b in zip(kept, kept[1:]))]:
+            expected[term] += 1
+            spread[term].add(i)
+    ranked = sorted(expected.items(), key=lambda e: (-e[1], e[0]))
+
+    def top(limit):
+        return topics.most_used(words, lambda known: topics.term_stats(words, known=known), lambda c: c, limit)
+
+    counts, found = top(5)  # ten words are looked at, seven of them often used
+    assert [(r.term, r.tf, r.df) for r in found.orderBy(F.desc("tf"), "term").collect()] == [
+        (t, n, len(spread[t])) for t, n in ranked[:5]]
+    assert counts.count() < 200 < len(expected)
+    counts, found = top(400)  # the last ranks are tied with words left out: all are counted
+    assert [(r.term, r.tf) for r in found.orderBy(F.desc("tf"), "term").collect()] == ranked[:400]
+    assert counts.count() == len(expected)
+    counts, found = top(len(expected) + 1)
+    assert found.count() == len(expected)
