@@ -131,3 +131,57 @@ def test_most_used_terms_leave_rare_words_uncounted(spark):
     assert counts.count() == len(expected)
     counts, found = top(len(expected) + 1)
     assert found.count() == len(expected)
+
+
+def test_known_words_are_counted_and_weighed_without_making_their_terms(spark, monkeypatch):
+    """Terms of the most used words, and vectors, come from codes: no term of a rare word is ever spelled."""
+    texts = ["aa bb aa bb cc", "bb aa zz bb", None, "", "cc bb aa", "zz"]
+    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "review_id long, order_id long, review_comment_message string")
+    words = topics.kept_words(docs, [], by=["review_id", "order_id"])
+    monkeypatch.setattr(topics, "with_pairs", None)
+    got = {r.term: (r.tf, r.df) for r in topics.term_stats(words, known=["bb", "aa"]).collect()}
+    assert got == {"aa": (4, 3), "bb": (5, 3), "aa bb": (2, 1), "bb aa": (3, 3)}
+    per = topics.term_uses(words, ["review_id"], ["aa"]).collect()
+    assert {(r.review_id, r.term, r.tf) for r in per} == {(0, "aa", 2), (1, "aa", 1), (4, "aa", 1)}
+    vocabulary = spark.createDataFrame([("aa", 1.0), ("aa bb", 2.0), ("cc", 3.0)], "term string, idf double")
+    vectors, names = topics.tfidf_vectors(docs, vocabulary, [])
+    rows = {r.review_id: r.features for r in vectors.collect()}
+    assert names == ["aa", "aa bb", "cc"] and len(rows) == 6
+    expected = np.array([2.0, 4.0, 3.0]) / np.sqrt(29.0)
+    assert np.allclose(rows[0].toArray(), expected) and rows[2].numNonzeros() == 0 == rows[5].numNonzeros()
+
+
+def test_all_runs_of_a_clustering_share_their_rounds(spark, monkeypatch):
+    """Every run's rounds are Lloyd's on the first centres that KMeans chose; KMeans itself makes none."""
+    from pyspark.ml.clustering import KMeans
+
+    asked, first = [], []
+
+    class Watched(KMeans):
+        def __init__(self, **options):
+            asked.append(options["maxIter"])
+            super().__init__(**options)
+
+        def fit(self, frame):
+            model = super().fit(frame)
+            first.append(np.array(model.clusterCenters()))
+            return model
+
+    monkeypatch.setattr(topics, "KMeans", Watched)
+    rng = np.random.default_rng(3)
+    points = rng.normal(0, 1, (300, 5))
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.topic_id for r in topics.embedding_topics(df, topics=4, starts=3).collect()}
+    assert asked == [0, 0, 0]
+    ends = []
+    for centers in first:
+        for _ in range(300):
+            apart = ((points[:, None] - centers) ** 2).sum(axis=2)
+            place, cost = apart.argmin(axis=1), apart.min(axis=1).sum()
+            fresh = np.array([points[place == k].mean(axis=0) if (place == k).any() else centers[k] for k in range(len(centers))])
+            still = (((fresh - centers) ** 2).sum(axis=1) <= 1e-8).all()
+            centers = fresh
+            if still:
+                break
+        ends.append((cost, ((points[:, None] - centers) ** 2).sum(axis=2).argmin(axis=1)))
+    assert [got[i] for i in range(300)] == min(ends, key=lambda e: e[0])[1].tolist()
