@@ -1,9 +1,12 @@
 """Alignment of two tokenizers' ids over the same bytes, anchored at tokens that begin with a blank.
 
-Every text is tokenised whole by a byte-level BPE (A) and a sentence-piece BPE (B). Where both have a
-token end before a token that begins with a blank, the text is cut; each cut is checked on the byte
-offsets of both sides. The windows between cuts are short runs of ids that recur all over a corpus,
-so a window's alignment is worked out once per worker for its pair of id tuples and then looked up.
+A byte-level BPE (A) and a sentence-piece BPE (B) both begin a token at a blank between a character that
+is no blank and one that is no white space: A's word pattern begins a word there, and no piece of B
+holds a mark behind another character. Such anchors cut a text into windows whose ids do not depend
+on each other. A worker tokenises and aligns the windows that it has not seen yet, many in one run of
+either tokenizer, checks every cut on the byte offsets of both sides, and remembers them by their
+text. Tokenizers for which this does not hold (another word pattern, normaliser or kind of pieces)
+get each text as one window, and so does a text with a window whose tokens do not spell it.
 
 Inside a window, offsets where tokens of both sides end close a group; the last A and B token of a
 group end together, which links them. How often a pair of ids is linked is counted over all
@@ -24,10 +27,8 @@ import hashlib
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import accumulate
-from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -40,22 +41,28 @@ from orderloom.llm.common import map_batches, written
 
 BLOCK_LINKS = 1_000_000      # links after which a block of documents is closed
 BLOCK_DOCS = 4_000
-HELD_WINDOWS = 600_000       # window alignments that a worker keeps
+HELD_WINDOWS = 300_000       # window alignments that a worker keeps; as many older ones stay until these are full
+LONGEST = 100                # characters of a window that is kept
+RUN_CHARS = 16_000           # characters of new windows, or one window, that are tokenised together
+SLICE_CHARS = 1 << 20        # characters of documents, or one document, that are cut together
 # The word pattern of byte-level vocabularies (a fixed value).
 BYTE_LEVEL_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 MARK = "▁"              # how sentence pieces write a blank
+ANCHOR = re.compile(rf"(?<=[^ {MARK}]) (?=\S)")
+BARE_BLANK = re.compile(rf"{MARK}| \s|^ | $").search      # texts in which a blank may be no anchor
+BARE_ENDS = {"", " ", MARK}                                # ends of windows behind which no anchor can stand
 
 
 class Side:
     """A tokenizer as id lists, with the bytes of every id.
 
     ``lossless``: its tokens spell every text by construction, so their lengths are check enough.
+    ``anchored``: what stands before and behind an anchor is tokenised independently.
     """
 
-    def __init__(self, pieces: list[bytes], encode, lossless: bool = False):
-        self.pieces, self.encode, self.lossless = pieces, encode, lossless
+    def __init__(self, pieces: list[bytes], encode, lossless: bool = False, anchored: bool = False):
+        self.pieces, self.encode, self.lossless, self.anchored = pieces, encode, lossless, anchored
         self.widths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        self.opens = np.fromiter((p[:1] == b" " for p in pieces), bool, len(pieces))
         self.bytes = np.frombuffer(b"".join(pieces), np.uint8)
         self.begins = np.cumsum(self.widths) - self.widths
 
@@ -109,7 +116,8 @@ def byte_level_side(path: str) -> Side:
             "ranks", pat_str=BYTE_LEVEL_WORDS, mergeable_ranks={p: i for i, p in enumerate(pieces)}, special_tokens={})
         long_gap = re.compile(r"\s{2000}").search      # the encoder of ranks recurses once per blank
         # The pattern takes every character and merges only join bytes: nothing of a text is lost.
-        return Side(pieces, lambda text: exact(text) if long_gap(text) else ranks.encode_to_numpy(text, disallowed_special=()), True)
+        return Side(
+            pieces, lambda text: exact(text) if long_gap(text) else ranks.encode_to_numpy(text, disallowed_special=()), True, True)
     return Side(pieces, exact)
 
 
@@ -120,7 +128,19 @@ def sentence_piece_side(path: str) -> Side:
     pieces = [
         bytes([int(model.id_to_piece(i)[3:5], 16)]) if model.is_byte(i)
         else model.id_to_piece(i).replace(MARK, " ").encode() for i in range(model.get_piece_size())]
-    return Side(pieces, model.encode_as_numpy)
+    return Side(pieces, model.encode_as_numpy, anchored=_merges_stop_at_marks(model))
+
+
+def _merges_stop_at_marks(model) -> bool:
+    """Whether a model merges pairs of the text as it is, and never over a mark behind another character."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    spec = sentencepiece_model_pb2.ModelProto.FromString(model.serialized_model_proto())
+    rules, trained = spec.normalizer_spec, spec.trainer_spec
+    return (
+        trained.model_type == trained.BPE and trained.byte_fallback and not trained.treat_whitespace_as_suffix
+        and not rules.precompiled_charsmap and rules.add_dummy_prefix and rules.escape_whitespaces
+        and not rules.remove_extra_whitespaces and not any(MARK in p.piece.lstrip(MARK) for p in spec.pieces))
 
 
 @lru_cache(maxsize=2)
@@ -129,13 +149,15 @@ def sides(a_path: str, b_path: str) -> tuple[Side, Side]:
 
 
 class Aligner:
-    """Cuts tokenised texts into windows and aligns each distinct window once."""
+    """Cuts texts at anchors into windows and aligns each distinct window once."""
 
     def __init__(self, a: Side, b: Side, held: int = HELD_WINDOWS):
         self.a, self.b, self.held = a, b, held
-        self.a_width, self.b_width = a.widths.tolist().__getitem__, b.widths.tolist().__getitem__
-        self.a_text, self.b_text = ([str(i) for i in range(len(side.pieces))].__getitem__ for side in (a, b))
-        self.known: dict[bytes, tuple[str, bytes]] = {}
+        # An id as it stands in the groups' text, with what follows it: more of its side, the other side,
+        # the next group, the next window.
+        self.names = [f"{i}{c}" for side, ends in ((a, ",|"), (b, ",;\n")) for i in range(len(side.pieces)) for c in ends]
+        self.known: dict[str, tuple[str, bytes, int]] = {}     # groups, links, number of ids of A << 32 and of B
+        self.older: dict[str, tuple[str, bytes, int]] = {}
 
     def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of both sides, or none when they do not spell a blank and the text."""
@@ -149,60 +171,122 @@ class Aligner:
                 return None
         return first, second
 
-    def cuts(self, a_ids: np.ndarray, b_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Token positions in both sides of the shared ends before tokens that begin with a blank."""
+    def windows(self, a_ids: np.ndarray, b_ids: np.ndarray) -> tuple[str, np.ndarray]:
+        """Groups of a whole text, and its links in order."""
+        (groups,), links, *_ = self._groups(a_ids, b_ids, self.a.widths[a_ids].sum(keepdims=True))
+        return groups, links
+
+    def _groups(self, a_ids: np.ndarray, b_ids: np.ndarray, ends: np.ndarray) -> tuple[list[str], np.ndarray, list[np.ndarray]]:
+        """The groups' text of each window, all links, and how many links, ids of A and ids of B each window has.
+
+        ``ends``: the byte offsets where windows end.
+        """
         a_ends, b_ends = np.cumsum(self.a.widths[a_ids]), np.cumsum(self.b.widths[b_ids])
-        anchors = []
-        for side, ids, ends in ((self.a, a_ids, a_ends), (self.b, b_ids, b_ends)):
-            opening = np.zeros(int(ends[-1]) + 1, bool)
-            opening[ends[:-1][side.opens[ids[1:]]]] = True
-            anchors.append(opening)
-        shared = anchors[0] & anchors[1]
-        at_a, at_b = np.flatnonzero(shared[a_ends]), np.flatnonzero(shared[b_ends])
-        if not np.array_equal(a_ends[at_a], b_ends[at_b]):
+        at_a, at_b = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
+        if not (np.array_equal(a_ends[at_a], ends) and np.array_equal(b_ends[at_b], ends)):
             raise AssertionError("an anchor is not a token end on both sides")
-        return tuple(np.concatenate([[0], at + 1, [len(ids)]]) for at, ids in ((at_a, a_ids), (at_b, b_ids)))
-
-    def align(self, a_ids: list[int], b_ids: list[int]) -> tuple[str, bytes]:
-        """The groups of one window as text, and its links as pairs of 64-bit numbers."""
-        a_text, b_text = [*map(self.a_text, a_ids)], [*map(self.b_text, b_ids)]
-        if len(a_ids) == 1 or len(b_ids) == 1:          # the ends of the window are all they share
-            return f"{','.join(a_text)}|{','.join(b_text)}", pack("<q", a_ids[-1] << 32 | b_ids[-1])
-        ending = dict(zip(accumulate(map(self.b_width, b_ids)), range(1, len(b_ids) + 1))).get
-        groups, links = [], []
-        begin_a = begin_b = 0
-        for i, end in enumerate(accumulate(map(self.a_width, a_ids)), 1):
-            j = ending(end)
-            if j is not None:
-                groups.append(f"{a_text[begin_a]}|{b_text[begin_b]}" if i == begin_a + 1 and j == begin_b + 1 else
-                              f"{','.join(a_text[begin_a:i])}|{','.join(b_text[begin_b:j])}")
-                links.append(a_ids[i - 1] << 32 | b_ids[j - 1])
-                begin_a, begin_b = i, j
-        return ";".join(groups), pack(f"<{len(links)}q", *links)
+        closing = np.zeros((2, int(ends[-1]) + 1), bool)
+        closing[0, a_ends] = closing[1, b_ends] = True
+        closing = closing[0] & closing[1]
+        closes_a, closes_b = closing[a_ends], closing[b_ends]
+        last_a, last_b = np.flatnonzero(closes_a), np.flatnonzero(closes_b)
+        # In the text each group's ids of A stand before its ids of B.
+        shape = np.empty(len(a_ids) + len(b_ids), np.int64)
+        place = np.arange(len(a_ids)) + np.repeat(np.append(0, last_b[:-1] + 1), np.diff(last_a, prepend=-1))
+        shape[place] = 2 * a_ids.astype(np.int64) + closes_a
+        follows = closes_b.astype(np.int64)
+        follows[at_b] = 2
+        place = np.arange(len(b_ids)) + np.repeat(last_a + 1, np.diff(last_b, prepend=-1))
+        shape[place] = 2 * len(self.a.pieces) + 3 * b_ids.astype(np.int64) + follows
+        texts = "".join(map(self.names.__getitem__, shape.tolist())).split("\n")[:-1]
+        links = a_ids[last_a].astype(np.int64) << 32 | b_ids[last_b]
+        return texts, links, [np.diff(x, prepend=-1) for x in (np.searchsorted(last_a, at_a), at_a, at_b)]
+
+    def cut(self, text: str) -> list[str]:
+        """The windows of a text, without the blanks before them."""
+        if not (self.a.anchored and self.b.anchored):
+            return [text]
+        return text.split(" ") if BARE_BLANK(text) is None else ANCHOR.split(text)
+
+    def _learn(self, new: list[str]) -> Iterator[tuple[str, tuple[str, bytes, int] | None]]:
+        """Each window with its alignment, or none when its tokens do not spell it."""
+        ids = self.tokens(joined := " ".join(new))
+        if ids is None and len(new) > 1:
+            half = len(new) // 2
+            yield from self._learn(new[:half])
+            yield from self._learn(new[half:])
+            return
+        if ids is None:
+            yield new[0], None
+            return
+        widths = map(len, new) if joined.isascii() else (len(w.encode()) for w in new)
+        texts, links, (n_links, n_a, n_b) = self._groups(*ids, np.cumsum(np.fromiter(widths, np.int64, len(new)) + 1))
+        raw, bounds = links.tobytes(), np.append(0, 8 * np.cumsum(n_links)).tolist()
+        sizes = (n_a << 32 | n_b).tolist()
+        yield from zip(new, zip(texts, [raw[p:q] for p, q in zip(bounds, bounds[1:])], sizes))
+
+    def _found(self, windows: Iterable[str]) -> dict[str, tuple[str, bytes, int] | None]:
+        """The alignments of distinct windows: remembered, or worked out now."""
+        found, new, run, size = {}, [], [], 0
+        known, older = self.known.get, self.older.get
+        for window in windows:
+            own = known(window)
+            if own is None:
+                own = older(window)
+                if own is None:
+                    new.append(window)
+                    continue
+                self._keep(window, own)
+            found[window] = own
+        for window in new:
+            if window[-1:] in BARE_ENDS or window[0].isspace():      # no anchor would part it from another
+                found.update(self._learn([window]))
+                continue
+            run.append(window)
+            size += len(window) + 1
+            if size >= RUN_CHARS:
+                found.update(self._learn(run))
+                run, size = [], 0
+        if run:
+            found.update(self._learn(run))
+        for window in new:
+            if found[window] is not None and len(window) <= LONGEST:
+                self._keep(window, found[window])
+        return found
+
+    def _keep(self, window: str, own: tuple[str, bytes, int]) -> None:
+        if len(self.known) >= self.held:
+            self.older, self.known = self.known, {}
+        self.known[window] = own
+
+    def aligned(self, texts: list[str | None]) -> Iterator[tuple[int, int, str, np.ndarray] | None]:
+        """Of each text the number of ids of A and of B, its groups, and its links in order."""
+        first = 0
+        while first < len(texts):
+            last, size = first, 0
+            while last < len(texts) and (last == first or size < SLICE_CHARS):
+                size += len(texts[last] or "")
+                last += 1
+            cut = [self.cut(t) if t else [] for t in texts[first:last]]
+            found = self._found(set().union(*cut))
+            for text, windows in zip(texts[first:last], cut):
+                own = list(map(found.__getitem__, windows))
+                if own and None not in own:
+                    sizes = [f[2] for f in own]
+                    links = np.frombuffer(b"".join([f[1] for f in own]), np.int64)
+                    both = sum(sizes)
+                    yield both >> 32, both & 0xFFFFFFFF, ";".join([f[0] for f in own]), links
+                elif (ids := self.tokens(text)) is not None:
+                    yield len(ids[0]), len(ids[1]), *self.windows(*ids)
+                else:
+                    yield None
+            first = last
 
-    def windows(self, a_ids: np.ndarray, b_ids: np.ndarray) -> tuple[str, np.ndarray]:
-        """Groups of a whole text, and its links in order."""
-        cut_a, cut_b = self.cuts(a_ids, b_ids)
-        # A window's ids of A, a mark, its ids of B: one tuple, as bytes.
-        size_a, number = np.diff(cut_a), np.arange(len(cut_a) - 1)
-        both = np.full(len(a_ids) + len(b_ids) + len(number), -1, "<i4")
-        both[np.arange(len(a_ids)) + np.repeat(cut_b[:-1] + number, size_a)] = a_ids
-        both[np.arange(len(b_ids)) + np.repeat(cut_a[1:] + number + 1, np.diff(cut_b))] = b_ids
-        raw, bounds = both.tobytes(), (4 * (cut_a + cut_b + np.arange(len(cut_a)))).tolist()
-        known = self.known
-        keys = [raw[p:q] for p, q in zip(bounds, bounds[1:])]
-        found = list(map(known.get, keys))
-        if None in found:
-            cut_a, cut_b, a_list, b_list = cut_a.tolist(), cut_b.tolist(), a_ids.tolist(), b_ids.tolist()
-            for k, key in enumerate(keys):
-                if found[k] is None:
-                    found[k] = known.get(key)
-                    if found[k] is None:
-                        if len(known) >= self.held:
-                            known.clear()
-                        found[k] = known[key] = self.align(
-                            a_list[cut_a[k] : cut_a[k + 1]], b_list[cut_b[k] : cut_b[k + 1]])
-        return ";".join([f[0] for f in found]), np.frombuffer(b"".join([f[1] for f in found]), np.int64)
+
+@lru_cache(maxsize=2)
+def _aligner(a_path: str, b_path: str) -> Aligner:
+    """One aligner per worker process, so that the next task finds the windows of the one before."""
+    return Aligner(*sides(a_path, b_path))
 
 
 DOC_ROWS = pa.schema([
@@ -222,7 +306,7 @@ def alignments(
     links each. A block's row has no ``n_a``. ``texts`` keeps the groups themselves.
     """
     def step(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(*sides(a_path, b_path))
+        aligner = _aligner(a_path, b_path)
         task = TaskContext.get().partitionId() << 32
         block, size = 0, 0
         rows: list[tuple] = []
@@ -242,15 +326,13 @@ def alignments(
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), DOC_ROWS)], schema=DOC_ROWS)
 
         for batch in source:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = aligner.tokens(text)
-                if ids is None:
+            for doc_id, found in zip(batch.column(0).to_pylist(), aligner.aligned(batch.column(1).to_pylist())):
+                if found is None:
                     own = np.empty(0, np.int64)
                     rows.append((doc_id, 0, 0, 0, "" if texts else None, ""))
                 else:
-                    groups, own = aligner.windows(*ids)
-                    rows.append((doc_id, len(ids[0]), len(ids[1]), len(own), groups if texts else None,
-                                 hashlib.sha256(groups.encode()).hexdigest()))
+                    n_a, n_b, groups, own = found
+                    rows.append((doc_id, n_a, n_b, len(own), groups if texts else None, hashlib.sha256(groups.encode()).hexdigest()))
                 links.append(np.unique(own, return_counts=True))
                 size += len(own)
                 if size >= block_links or len(rows) >= block_docs:

@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from compare import connect, differences
-from samples import DOCS, awkward, rows
+from samples import DOCS, awkward, prose, rows
 
 from orderloom.llm import checks, crosstoken, lexicon, packing, turnrepair
 
@@ -181,6 +181,35 @@ def test_long_texts_align_whole_and_windows_are_remembered(docs, empty):
     assert crosstoken.aligned(empty, BYTE_BPE, PIECES).collect() == []
 
 
+def test_windows_are_tokenised_once():
+    given = []
+
+    def counting(side):
+        return crosstoken.Side(side.pieces, lambda text: given.append(text) or side.encode(text), side.lossless, side.anchored)
+
+    texts = [prose(seed, 400) for seed in range(8)]
+    aligner = crosstoken.Aligner(*map(counting, crosstoken.sides(BYTE_BPE, PIECES)))
+    found = [(n_a, n_b, groups, [(x >> 32, x & 0xFFFFFFFF) for x in links.tolist()]) for n_a, n_b, groups, links in aligner.aligned(texts)]
+    assert [(p[0], p[1], ";".join(p[2]), p[3]) for p in plain_alignment(texts)] == found
+    assert sum(map(len, given)) < sum(map(len, texts))      # of both sides together
+    given.clear()
+    assert len(list(aligner.aligned(texts))) == len(texts) and given == []
+
+
+@pytest.mark.parametrize("held", [1, 1000])
+def test_windows_at_odd_blanks(held):
+    """Blanks at which a text is not cut, or not parted from other texts' windows."""
+    rng = random.Random(9)
+    words = ["a", "thé", "日本", "'s", "12", "▁", "a▁b", "\n", "\t", "\x85", "\xa0", "\u3000", "\x1c", "", "é", "<s>", "<0x0A>", "\x00", "⁇"]
+    texts = ["".join(rng.choice(words) + rng.choice([" ", " ", "", "  ", "\n", " \n", "\n "]) for _ in range(rng.randint(1, 12))) for _ in range(400)]
+    aligner = crosstoken.Aligner(*crosstoken.sides(BYTE_BPE, PIECES), held=held)
+    for plain, found in zip(plain_alignment(texts), aligner.aligned(texts), strict=True):
+        assert (plain is None) == (found is None)
+        if plain is not None:
+            assert (plain[0], plain[1], ";".join(plain[2])) == found[:3]
+            assert plain[3] == [(x >> 32, x & 0xFFFFFFFF) for x in found[3].tolist()]
+
+
 def test_pair_counts_hold_all_documents(docs):
     frame = docs.where("length(text) < 3000")
     counts = Counter(link for p in plain_alignment([r.text for r in frame.collect()]) if p for link in p[3])
