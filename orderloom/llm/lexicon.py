@@ -3,9 +3,10 @@
 The words of all documents are counted; the most frequent ones are compiled into a minimal acyclic
 transducer: equal suffixes share states, ids that words have in common are put out as early as the
 letters decide them. The transducer is one array file, which Spark's file server hands to the
-executors and which every worker process maps into memory. The distinct words of a batch walk
-through it together; a word that it does not hold is merged exactly, pair by pair, in the order of
-the tokenizer's merges. How many words it holds (``words``) decides the speed alone, never an id.
+executors and which every worker process maps into memory. The distinct words that a worker does not
+remember walk through it together; words that it does not hold are merged exactly, pair by pair, in the
+order of the tokenizer's merges, many words at a time. How many words it holds (``words``) decides the
+speed alone, never an id.
 
 Texts of ASCII and Latin-1 characters are cut into words by the tokenizer's own pattern on Python
 strings; all other texts by the tokenizer's own normaliser and pre-tokenizer, piece by piece between
@@ -42,7 +43,9 @@ from orderloom.operators.ordering import running_totals
 LEXICON_WORDS = 100_000      # words in the transducer; more costs the driver time, fewer the tasks
 LONGEST = 64                 # bytes of a word in it
 SHORT = 64                   # bytes of a word that is merged by looking at all its pairs each time
-HELD_MERGES = 100_000        # merged words that a worker keeps
+TOGETHER = 20_000            # words that are merged in one table
+FEW = 32                     # words that are merged one by one
+HELD_CHUNKS = 150_000        # encoded chunks that a worker keeps; as many older ones stay until these are full
 HELD_WORDS = 300_000         # distinct words that a counting task holds before it hands them on
 # The tokenizer's normaliser, word pattern and word end (fixed values).
 NORMALISER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -87,7 +90,11 @@ class Merges:
         self.last = [vocab[letters[b] + WORD_END] for b in range(256)]
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.added.items()}
-        self.merged: dict[bytes, bytes] = {}     # unseen words of this worker; emptied when it is full
+        keys = np.array([a << 32 | b for a, b in self.rank], np.int64)
+        order = np.argsort(keys)
+        self.pairs, self.pair_ranks = np.append(keys[order], np.int64(1) << 62), np.append(order, len(pairs)).astype(np.int32)
+        self.known: dict[str | bytes, bytes] = {}     # ids of the chunks that this worker has met
+        self.older: dict[str | bytes, bytes] = {}
 
     def ids(self, word: bytes) -> list[int]:
         """Ids of one word: the pair of the earliest merge first, the leftmost of equals."""
@@ -133,6 +140,80 @@ class Merges:
         return [i for i in ids if i >= 0]
 
 
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The place of each pair among the merges, behind all when it has none; negative ids have none."""
+        wanted = left.astype(np.int64) << 32 | right
+        at = np.searchsorted(self.pairs, wanted)
+        return np.where(self.pairs[at] == wanted, self.pair_ranks[at], np.int32(len(self.joined)))
+
+    def packed(self, words: list[bytes]) -> list[bytes]:
+        """Ids of many words as little-endian 32-bit numbers; an added token ends in a byte that ends no UTF-8 text."""
+        out: list[bytes] = [b""] * len(words)
+        bands: dict[int, list[int]] = {}
+        for k, word in enumerate(words):
+            if word.endswith(b"\xff"):
+                out[k] = pack("<i", self.added[word[:-1].decode()])
+            else:
+                bands.setdefault(0 if len(word) > SHORT else max(8, 1 << (len(word) - 1).bit_length()), []).append(k)
+        for width, places in bands.items():
+            if width == 0 or len(places) < FEW:
+                for k in places:
+                    ids = self.ids(words[k])
+                    out[k] = pack(f"<{len(ids)}i", *ids)
+                continue
+            for first in range(0, len(places), TOGETHER):
+                some = places[first : first + TOGETHER]
+                data, cuts = self._merged([words[k] for k in some], width)
+                for k, a, b in zip(some, cuts, cuts[1:]):
+                    out[k] = data[a:b]
+        return out
+
+    def _merged(self, words: list[bytes], width: int) -> tuple[bytes, list[int]]:
+        """Ids of words of at most ``width`` bytes as one run of bytes, and where each word's begin in it.
+
+        One word a row, with an empty place (-1) before and behind it. Each round merges in every row
+        that still has one the pair of the earliest merge, the leftmost of equals. The right one's
+        place becomes empty; ``after`` and ``before`` lead past it.
+        """
+        n, none = len(words), len(self.joined)
+        sizes = np.fromiter(map(len, words), np.int64, n)
+        letters = np.frombuffer(b"".join(words), np.uint8)
+        ids = np.full((n, width + 2), -1, np.int64)
+        ids[:, 1:-1][np.arange(width) < sizes[:, None]] = np.array(self.inner)[letters]
+        ends = np.flatnonzero(sizes)
+        ids[ends, sizes[ends]] = np.array(self.last)[letters[np.cumsum(sizes)[ends] - 1]]
+        after = np.tile(np.arange(1, width + 3), (n, 1))
+        before = np.tile(np.arange(-1, width + 1), (n, 1))
+        ranks = np.full((n, width + 2), none, np.int32)
+        held = ids[:, 1:] >= 0
+        held[:, 1:] &= held[:, :-1].copy()
+        held[:, 0] = False                   # pairs of two letters, by the place of the second
+        row, place = np.nonzero(held)
+        ranks[row, place] = self.ranks(ids[row, place], ids[row, place + 1])
+        joined = np.array(self.joined, np.int64)
+        live = np.arange(n)
+        while len(live):
+            at = ranks[live].argmin(axis=1)
+            best = ranks[live, at]
+            more = best < none
+            live, at, best = live[more], at[more], best[more]
+            gone = after[live, at]
+            right, left = after[live, gone], before[live, at]
+            ids[live, at] = new = joined[best]
+            ids[live, gone] = -1
+            ranks[live, gone] = none
+            after[live, at], before[live, right] = right, at
+            ranks[live, at] = self.ranks(new, ids[live, right])
+            ranks[live, left] = self.ranks(ids[live, left], new)
+        kept = ids >= 0
+        return ids[kept].astype("<i4").tobytes(), np.append(0, 4 * np.cumsum(kept.sum(axis=1))).tolist()
+
+    def keep(self, chunk: str | bytes, ids: bytes) -> None:
+        if len(self.known) >= HELD_CHUNKS:
+            self.older, self.known = self.known, {}
+        self.known[chunk] = ids
+
+
 class Splitter:
     """Cuts a text into chunks, and chunks into words as bytes."""
 
@@ -323,25 +404,28 @@ def _tools(path: str) -> tuple[Merges, Splitter]:
 def batch_ids(texts: list[str | None], merges: Merges, splitter: Splitter, lexicon: Transducer) -> list[bytes]:
     """Ids of each text as little-endian 32-bit numbers."""
     cut = [splitter.chunks(t) if t else [] for t in texts]
-    chunks = list(set().union(*cut))
-    parts = [splitter.of(c) for c in chunks]
+    whole, new = {}, []
+    known, older = merges.known.get, merges.older.get
+    for chunk in set().union(*cut):
+        own = known(chunk)
+        if own is None:
+            own = older(chunk)
+            if own is None:
+                new.append(chunk)
+                continue
+            merges.keep(chunk, own)
+        whole[chunk] = own
+    parts = [splitter.of(c) for c in new]
     words = list(set().union(*parts))
     found, begins, ids = lexicon.walk(words)
     data, cuts = ids.astype("<i4").tobytes(), (4 * begins).tolist()
     value = {word: data[a:b] for word, a, b in zip(words, cuts, cuts[1:])}
-    for k in np.flatnonzero(~found).tolist():
-        word = words[k]
-        # No UTF-8 text ends in this byte: an added token.
-        own = merges.merged.get(word)
-        if own is None:
-            part = [merges.added[word[:-1].decode()]] if word.endswith(b"\xff") else merges.ids(word)
-            own = pack(f"<{len(part)}i", *part)
-            if len(merges.merged) >= HELD_MERGES:
-                merges.merged.clear()
-            if len(word) <= LONGEST:
-                merges.merged[word] = own
-        value[word] = own
-    whole = {c: value[p[0]] if len(p) == 1 else b"".join(map(value.__getitem__, p)) for c, p in zip(chunks, parts)}
+    unseen = [words[k] for k in np.flatnonzero(~found).tolist()]
+    value.update(zip(unseen, merges.packed(unseen)))
+    for chunk, part in zip(new, parts):
+        whole[chunk] = own = value[part[0]] if len(part) == 1 else b"".join(map(value.__getitem__, part))
+        if len(chunk) <= LONGEST:
+            merges.keep(chunk, own)
     return [b"".join(map(whole.__getitem__, c)) for c in cut]
 
 
@@ -349,7 +433,8 @@ def encoded(docs: DataFrame, tokenizer: str, words: int = LEXICON_WORDS) -> Data
     """doc_id and ids (array of int) of every text."""
     sc = docs.sparkSession.sparkContext
     merges = Merges(tokenizer)
-    entries = [(w, tuple(merges.ids(w))) for w in sorted(frequent_words(docs, tokenizer, words)) if not w.endswith(b"\xff")]
+    held = [w for w in sorted(frequent_words(docs, tokenizer, words)) if not w.endswith(b"\xff")]
+    entries = [(w, tuple(memoryview(ids).cast("i"))) for w, ids in zip(held, merges.packed(held))]
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     file = os.path.join(tempfile.mkdtemp(prefix="orderloom-"), name)
     compile_transducer(entries).tofile(file)

@@ -61,6 +61,38 @@ def test_merging_equals_the_library(whole):
         assert np.frombuffer(data, "<i4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_many_words_merge_as_one_word_does(whole):
+    merges, rng = lexicon.Merges(WORD_BPE), random.Random(6)
+    words = ["".join(rng.choices("aeinorstthingly", k=rng.choice([1, 2, 4, 7, 8, 9, 15, 17, 33, 64, 65, 90]))) for _ in range(900)]
+    words += ["a" * k for k in range(1, 100)] + ["abaab" * k for k in range(1, 20)]
+    data = merges.packed([w.encode() for w in words] + [bytes(rng.choices(range(254), k=30)) for _ in range(50)] + [b"", b"<|endoftext|>\xff"])
+    found = [np.frombuffer(d, "<i4").tolist() for d in data]
+    assert found[: len(words)] == [whole.encode(w, add_special_tokens=False).ids for w in words]
+    assert found[-2:] == [[], [merges.added["<|endoftext|>"]]]
+
+
+@pytest.mark.parametrize("held", [2, 100_000])
+def test_chunks_are_encoded_once(whole, monkeypatch, held):
+    monkeypatch.setattr(lexicon, "HELD_CHUNKS", held)
+    walked = []
+
+    class Watched(lexicon.Transducer):
+        def walk(self, words):
+            walked.extend(words)
+            return super().walk(words)
+
+    merges = lexicon.Merges(WORD_BPE)
+    splitter, nothing = lexicon.Splitter(WORD_BPE, merges.added), Watched(lexicon.compile_transducer([]))
+    texts = [prose(seed, 200) for seed in range(4)] + odd_texts(5)
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    for again in (False, True):
+        walked.clear()
+        found = lexicon.batch_ids(texts, merges, splitter, nothing)
+        assert [np.frombuffer(d, "<i4").tolist() for d in found] == want
+        assert len(merges.known) <= held and len(merges.older) <= held
+    assert held == 2 or all(len(w) > lexicon.LONGEST for w in walked)
+
+
 def test_transducer_is_minimal_and_exact():
     rng = random.Random(4)
     stems, ends = [b"walk", b"talk", b"t", b"st", b"re"], [b"", b"s", b"ed", b"ing", b"ings"]
