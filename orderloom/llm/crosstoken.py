@@ -132,9 +132,14 @@ def sentence_piece_side(path: str) -> Side:
 
 
 def _merges_stop_at_marks(model) -> bool:
-    """Whether a model merges pairs of the text as it is, and never over a mark behind another character."""
-    from sentencepiece import sentencepiece_model_pb2
+    """Whether a model merges pairs of the text as it is, and never over a mark behind another character.
 
+    Without the protobuf library the model cannot be read for it: then texts stay whole.
+    """
+    try:
+        from sentencepiece import sentencepiece_model_pb2
+    except ImportError:
+        return False
     spec = sentencepiece_model_pb2.ModelProto.FromString(model.serialized_model_proto())
     rules, trained = spec.normalizer_spec, spec.trainer_spec
     return (
@@ -152,7 +157,7 @@ class Aligner:
     """Cuts texts at anchors into windows and aligns each distinct window once."""
 
     def __init__(self, a: Side, b: Side, held: int = HELD_WINDOWS):
-        self.a, self.b, self.held = a, b, held
+        self.a, self.b, self.held, self.anchored = a, b, held, a.anchored and b.anchored
         # An id as it stands in the groups' text, with what follows it: more of its side, the other side,
         # the next group, the next window.
         self.names = [f"{i}{c}" for side, ends in ((a, ",|"), (b, ",;\n")) for i in range(len(side.pieces)) for c in ends]
@@ -204,7 +209,7 @@ class Aligner:
 
     def cut(self, text: str) -> list[str]:
         """The windows of a text, without the blanks before them."""
-        if not (self.a.anchored and self.b.anchored):
+        if not self.anchored:
             return [text]
         return text.split(" ") if BARE_BLANK(text) is None else ANCHOR.split(text)
 
@@ -239,7 +244,7 @@ class Aligner:
                 self._keep(window, own)
             found[window] = own
         for window in new:
-            if window[-1:] in BARE_ENDS or window[0].isspace():      # no anchor would part it from another
+            if not self.anchored or window[-1:] in BARE_ENDS or window[0].isspace():   # no anchor would part it from another
                 found.update(self._learn([window]))
                 continue
             run.append(window)

@@ -242,6 +242,19 @@ def test_windows_at_odd_blanks(held):
             assert plain[3] == [(x >> 32, x & 0xFFFFFFFF) for x in found[3].tolist()]
 
 
+@pytest.mark.parametrize("free", [0, 1])
+def test_tokenizers_without_anchors_get_whole_texts(free):
+    """Equal results, and never two texts in one run, when either side's files promise no anchors."""
+    given = []
+    both = [crosstoken.Side(s.pieces, lambda text, s=s: given.append(text) or s.encode(text), s.lossless, k == free)
+            for k, s in enumerate(crosstoken.sides(BYTE_BPE, PIECES))]
+    texts = [prose(seed, 30) for seed in range(5)] + ["a b", "▁ x", None, "", "\n c"]
+    for plain, found in zip(plain_alignment(texts), crosstoken.Aligner(*both).aligned(texts), strict=True):
+        assert (plain is None) == (found is None)
+        assert plain is None or (plain[0], plain[1], ";".join(plain[2])) == found[:3]
+    assert set(given) == {t for t in texts if t} | {" " + t for t in texts if t}
+
+
 def test_pair_counts_hold_all_documents(docs):
     frame = docs.where("length(text) < 3000")
     counts = Counter(link for p in plain_alignment([r.text for r in frame.collect()]) if p for link in p[3])
